@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches, table
-from .tokens import VOCABULARY, Encoder
+from .tokens import VOCABULARY, encoder
 
 WINDOW = 2048
 #: Ids of the documents that one block packs (4 bytes each).
@@ -176,12 +176,12 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
     def work(it):
         from pyspark import TaskContext
 
-        encoder, number = Encoder(vocabulary), TaskContext.get().partitionId() << 32
+        encode_all, number = encoder(vocabulary).encode, TaskContext.get().partitionId() << 32
         end, ids, names, size = np.array([end_id], "<u4").tobytes(), [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 64):
-                for d, x in zip(doc_ids[at : at + 64], encoder.encode([t or "" for t in texts.slice(at, 64).to_pylist()])):
+                for d, x in zip(doc_ids[at : at + 64], encode_all([t or "" for t in texts.slice(at, 64).to_pylist()])):
                     ids.append(np.frombuffer(x + end, "<u4"))
                     names.append(d)
                     size += len(ids[-1])

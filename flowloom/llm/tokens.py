@@ -17,53 +17,82 @@ SEGMENT_IDS = 1 << 21
 #: Segment starts (24 bytes each) are broadcast to the reader up to this many; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
 #: Entries of the cache of encoded chunks in a worker; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 class Encoder:
     """tokenizers' ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's byte-level pattern never lets a token cross from a non-space into a single following space, so a text
-    falls into chunks at such spaces that encode alone as they do in the text. Each chunk is encoded once by the library
-    and cached; runs of spaces stay in one chunk.
+    The byte-level pattern always begins a token at a space that a non-space follows, and what stands before encodes as it
+    does alone. So a text falls into a head and parts after such spaces; each distinct part is encoded once by the library
+    (many in one call, and cut by the bytes that each id stands for) and cached.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES):
         import os
+        import re
 
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, {}
-
-    def chunks(self, text: str) -> list[str]:
+        self.joined = re.compile(r" (?=\s|\Z)").search
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
+
+    def parts(self, text: str) -> list[str]:
+        """The head, then what follows each space that a non-space follows (without that space)."""
         parts = text.split(" ")
-        if "" not in parts:
-            return [parts[0], *[" " + x for x in parts[1:]]]
-        out, held = [], ""
-        for i, x in enumerate(parts):
-            held += " " * (i > 0) + x
-            if x:
-                out.append(held)
-                held = ""
-        return [*out, held] if held else out
+        if not self.joined(text):
+            return parts
+        out = parts[:1]
+        for x in parts[1:]:
+            if not x or x[0].isspace():
+                out[-1] += " " + x
+            else:
+                out.append(x)
+        return out
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        ids = self._ids([" " + " ".join(parts)])[0]
+        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+        raw, at = ids.tobytes(), 0
+        for x, cut in zip(parts, (cuts * 4).tolist()):
+            self.cache[x] = raw[at:cut]
+            at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, out = [self.chunks(x) for x in texts], []
-        missing: list[str] = []
-        for chunks in split:
-            new = {x for x in chunks if x not in self.cache}
+        split = [self.parts(x) for x in texts]
+        heads = self._ids([x[0] for x in split])
+        for x in split:
+            del x[0]
+        found = [list(map(self.cache.get, x)) for x in split]
+        new = {x for parts, ids in zip(split, found) if None in ids for x, y in zip(parts, ids) if y is None}
+        if new:
             if len(self.cache) + len(new) > self.entries:
                 self.cache.clear()
-                new = set(chunks)
-            missing = list(new)
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for x, y in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.cache[x] = np.array(y.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.cache.__getitem__, chunks)))
-        return out
+            self._learn(list(new))
+            get = self.cache.get
+            found = [[get(x) if y is None else y for x, y in zip(parts, ids)] if None in ids else ids for parts, ids in zip(split, found)]
+        return [head.tobytes() + b"".join(ids) for head, ids in zip(heads, found)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """The encoder of this worker process, whose cache serves all of its tasks."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -156,12 +185,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
     def encode(it):
         from pyspark import TaskContext
 
-        shard, number, encoder, end = TaskContext.get().partitionId(), 0, Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        shard, number, encode_all, end = TaskContext.get().partitionId(), 0, encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
         held_docs, held, size = [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 64):
-                for d, x in zip(doc_ids[at : at + 64], encoder.encode([t or "" for t in texts.slice(at, 64).to_pylist()])):
+                for d, x in zip(doc_ids[at : at + 64], encode_all([t or "" for t in texts.slice(at, 64).to_pylist()])):
                     x += end
                     if held and size + len(x) // 4 > SEGMENT_IDS:
                         yield batches(_segment(shard, number, held_docs, held))
