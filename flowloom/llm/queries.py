@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .decontam import op6_decontamination
 from .packing import op8_packing
+from .pii import op7_pii
+from .simhash import op3_simhash
 from .tokens import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_simhash": op3_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
 }
 
