@@ -180,8 +180,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
         end, ids, names, size = np.array([end_id], "<u4").tobytes(), [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 64):
-                for d, x in zip(doc_ids[at : at + 64], encode_all([t or "" for t in texts.slice(at, 64).to_pylist()])):
+            for at in range(0, len(doc_ids), 8):
+                for d, x in zip(doc_ids[at : at + 8], encode_all([t or "" for t in texts.slice(at, 8).to_pylist()])):
                     ids.append(np.frombuffer(x + end, "<u4"))
                     names.append(d)
                     size += len(ids[-1])

@@ -61,12 +61,13 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        ids = self._ids([" " + " ".join(parts)])[0]
+        cut = [parts[i : i + 64] for i in range(0, len(parts), 64)]
+        ids = np.concatenate(self._ids([" " + " ".join(x) for x in cut]))
         ends = np.cumsum([len(x.encode()) + 1 for x in parts])
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-        raw, at = ids.tobytes(), 0
+        raw, at, cache = ids.tobytes(), 0, self.cache
         for x, cut in zip(parts, (cuts * 4).tolist()):
-            self.cache[x] = raw[at:cut]
+            cache[x] = raw[at:cut]
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -189,8 +190,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
         held_docs, held, size = [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 64):
-                for d, x in zip(doc_ids[at : at + 64], encode_all([t or "" for t in texts.slice(at, 64).to_pylist()])):
+            for at in range(0, len(doc_ids), 8):
+                for d, x in zip(doc_ids[at : at + 8], encode_all([t or "" for t in texts.slice(at, 8).to_pylist()])):
                     x += end
                     if held and size + len(x) // 4 > SEGMENT_IDS:
                         yield batches(_segment(shard, number, held_docs, held))
