@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .classlm import op4_class_lm
 from .decontam import op6_decontamination
 from .packing import op8_packing
 from .pii import op7_pii
 from .simhash import op3_simhash
 from .tokens import op1_token_ids
+from .toxicity import op2_toxicity
+from .urlgraph import op10_url_graph
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_class_lm": op4_class_lm,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
+    "op10_url_graph": op10_url_graph,
 }
 
 ORACLE_SQL: dict[str, str] = {}
