@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .audio import op5_chroma
+from .chaining import op9_chaining
 from .classlm import op4_class_lm
 from .decontam import op6_decontamination
 from .packing import op8_packing
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_class_lm": op4_class_lm,
+    "op5_chroma": op5_chroma,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
+    "op9_chaining": op9_chaining,
     "op10_url_graph": op10_url_graph,
 }
 
