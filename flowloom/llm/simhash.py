@@ -10,12 +10,14 @@ the links. Components are the same either way.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches, components, int64, table, texts_of
+from .common import SPACE_WORDS, Workspace, batches, components, grams, int64, mix, passes, table, texts_of, word_hashes, words_in
 
 #: Fingerprints under one segment value beyond which the value's links are found in blocks.
 HOT = 64
@@ -125,21 +127,175 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without all but the smallest doc_id of each component.
+# ---------------------------------------------------------------- similar texts
+
+#: Similar texts: 64-bit words of the fingerprint of five-word shingles that is verified, and of the fingerprint of single
+#: words whose segments are looked up. An edit changes five shingles but one word, so segments of words stay more often equal.
+SHINGLE, CHECKED, LOOKED_UP, SEGMENT = 5, 4, 3, 24
+SKETCH = "doc_id long, id long, w array<long>, f array<long>"
+#: Bits beyond the expected distance up to which shingle sets are compared; documents up to which those sets are picked by a
+#: broadcast set of ids (16 bytes each).
+SLACK, BROADCAST_IDS = 10, 500_000
+
+
+def distance(similarity: float, bits: int) -> int:
+    """Differing bits, of so many, that two sets of this Jaccard similarity have on average."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    """A SimHash of `words` 64-bit words over distinct hashes; zero without any."""
+    out, n = [], len(hashes)
+    for k in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, STEP):
+            h = mix(hashes[at : at + STEP] + np.uint64(0xA0761D6478BD642F * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def _shingled(batch: pa.RecordBatch):
+    """Yields (rows, distinct words, distinct shingles, number that all texts of the same shingles have) of a batch (doc_id, text)."""
+    for at, n, data, offsets in passes(batch.column(1)):
+        s, e, rows = words_in(data, offsets, SPACE_WORDS)
+        h, cut = word_hashes(data, s, e, SPACE_WORDS), np.searchsorted(rows, np.arange(n + 1))
+        own = [h[cut[i] : cut[i + 1]] for i in range(n)]
+        sets = [np.unique(grams(x, min(SHINGLE, max(len(x), 1)))) for x in own]
+        ids = np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x)) for x in sets], np.uint64)
+        yield batch.slice(at, n), own, sets, int64(ids)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, id (of the set of shingles), fingerprints of distinct words (w) and of distinct shingles (f).
+
+    A shingle is five words, or all of them where there are fewer.
+    """
+
+    def work(it):
+        longs = pa.list_(pa.int64())
+        for batch in it:
+            for part, own, sets, ids in _shingled(batch):
+                w, f = [_majority(np.unique(x), LOOKED_UP) for x in own], [_majority(x, CHECKED) for x in sets]
+                yield batches({"doc_id": part.column(0), "id": ids, "w": pa.array(w, longs), "f": pa.array(f, longs)})
+
+    return docs.selectExpr("CAST(doc_id AS long) doc_id", "CAST(text AS string) text").mapInArrow(work, SKETCH)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, id and the distinct shingles as 32-bit hashes."""
+
+    def work(it):
+        for batch in it:
+            for part, _, sets, ids in _shingled(batch):
+                yield batches({"doc_id": part.column(0), "id": ids, "shingles": pa.array([x.astype(np.uint32).view(np.int32) for x in sets], pa.list_(pa.int32()))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, id long, shingles array<int>")
+
+
+def verified(work: Workspace, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of ids those whose sets of shingles are that similar (Jaccard)."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    needed = work.keep(distinct.select("id", F.col("root").alias("doc_id")).join(ids, "id"), "needed")
+    few = needed.count() <= BROADCAST_IDS
+    pick = F.broadcast(needed.select("doc_id")) if few else needed.select("doc_id")
+    texts = docs.select("doc_id", "text").join(pick.distinct() if not few else pick, "doc_id", "left_semi")
+    sets = work.keep(shingle_sets(texts).join(F.broadcast(needed) if few else needed, ["doc_id", "id"], "left_semi"), "sets")
+    both = pairs.join(sets.selectExpr("id AS a", "shingles AS x"), "a").join(sets.selectExpr("id AS b", "shingles AS y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = HOT, block: int = BLOCK // 4) -> DataFrame:
+    """Links (a, b) between ids of distinct (id, root, w, f) whose texts (the rows of docs with doc_id = root) are so similar.
+
+    Candidates: a 24-bit segment of w differs in one bit at most. The first 64 bits of f thin them in the join, by a bound
+    that similar texts pass but for a few in ten thousand; then all bits of f do; then the sets of shingles are compared.
+    In crowded segment values all bits of f decide, in blocks.
+    """
+    bound, most = distance(similarity, 64 * CHECKED), distance(similarity, 64) + 11
+    parts = 64 * LOOKED_UP // SEGMENT
+
+    def segment(k: int) -> Column:
+        word, shift = divmod(k * SEGMENT, 64)
+        low = F.shiftrightunsigned(F.get("w", word), shift)
+        if shift + SEGMENT > 64:
+            low = low.bitwiseOR(F.shiftleft(F.get("w", word + 1), 64 - shift))
+        return low.bitwiseAND(F.lit((1 << SEGMENT) - 1)).bitwiseOR(F.lit(k << SEGMENT))
+
+    keys = distinct.select("id", F.get("f", 0).alias("c"), F.array(*[segment(k).cast("long") for k in range(parts)]).alias("keys"))
+    exact = keys.select("id", "c", F.explode("keys").alias("key"))
+    flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT)]])
+    probes = exact.select("id", "c", "key", F.explode(flips).alias("flip")).select("id", "c", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+    heavy = work.keep(exact.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
+    crowded = heavy.limit(1).count() > 0
+    cold = exact.join(heavy, "key", "left_anti") if crowded else exact
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    met = (F.col("p.key") == F.col("e.key")) & (F.col("p.id") < F.col("e.id")) & (apart(F.col("p.c"), F.col("e.c")) <= most)
+    pairs = probes.alias("p").join(cold.alias("e"), met).select(F.col("p.id").alias("a"), F.col("e.id").alias("b")).distinct()
+    pairs = pairs.join(distinct.selectExpr("id AS a", "f AS x"), "a").join(distinct.selectExpr("id AS b", "f AS y"), "b")
+    away = F.aggregate(F.zip_with("x", "y", lambda x, y: apart(x, y)), F.lit(0), lambda n, k: n + k)
+    near = work.keep(pairs.where(away <= bound + SLACK).select("a", "b"), "near")
+    found = verified(work, docs, distinct, near, similarity)
+    if not crowded:
+        return found
+    items = work.keep(probes.join(heavy, "key").select("key", "id"), "items")
+    blocks = items.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = items.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(distinct.select("id", "f"), "id")
+    groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "f")).alias("items"))
+
+    def compare(it):
+        for batch in it:
+            for group in batch.column(0):
+                values = group.values
+                ids = values.field("id").to_numpy()
+                rest = np.unique(np.column_stack([ids, values.field("f").flatten().to_numpy().reshape(-1, CHECKED)]), axis=0)
+                out = []
+                while len(rest) > 1:
+                    root, frontier, rest = rest[0, 0], [rest[0, 1:]], rest[1:]
+                    while frontier and len(rest):
+                        near = np.bitwise_count((rest[:, 1:] ^ frontier.pop()).view(np.uint64)).sum(axis=1) <= bound
+                        if near.any():
+                            hits, rest = rest[near], rest[~near]
+                            frontier.extend(hits[:, 1:])
+                            out.extend((root, x) for x in hits[:, 0])
+                x = np.array(out, np.int64).reshape(-1, 2)
+                yield batches({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1])})
+
+    return found.union(groups.select("items").mapInArrow(compare, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links between similar texts (equal ones included).
+
+    Null and empty texts have no words and are equal. Rows of null doc_id are left out. An empty table gives no rows.
+    """
+    work = Workspace(docs.sparkSession, "simhash-similar")
+    docs = docs.where("doc_id IS NOT NULL")
+    made = work.keep(sketches(docs), "sketches")
+    distinct = work.keep(made.groupBy("id").agg(F.min("doc_id").alias("root"), F.first("w").alias("w"), F.first("f").alias("f")), "distinct")
+    labels = components(work, work.keep(similar_links(work, docs, distinct, similarity), "links"))
+    named = distinct.select("id", "root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = named.groupBy("label").agg(F.min("root").alias("component_id"))
+    return made.select("doc_id", "id").join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs without all but the smallest doc_id of each group of similar texts.
 
     Rows of null doc_id can't be told apart and stay. Of rows that repeat a doc_id one stays (the smallest by its text's hash).
     """
     work = Workspace(docs.sparkSession, "simhash-keep")
-    found = work.keep(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = work.keep(similar_groups(docs, similarity), "found")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.limit(1).count():
-        again = kept.join(repeated, "doc_id", "left_semi")
+        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
         first = again.groupBy("doc_id").agg(F.min_by(F.struct(*again.columns), F.xxhash64("text")).alias("row"))
         kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(first.select("row.*").select(*docs.columns))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
