@@ -20,12 +20,24 @@ BROADCAST_SEGMENTS = 500_000
 CACHE_ENTRIES = 1_000_000
 
 
+class _Cache(dict):
+    """Ids of known pieces; notes the others."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self.missed.append(piece)
+        return b""
+
+
 class Encoder:
     """tokenizers' ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The byte-level pattern always begins a token at a space that a non-space follows, and what stands before encodes as it
-    does alone. So a text falls into a head and parts after such spaces; each distinct part is encoded once by the library
-    (many in one call, and cut by the bytes that each id stands for) and cached.
+    The byte-level pattern always begins a token at white space that a non-space follows, and at a comma or stop that a
+    letter or digit stands before; what stands before such a place encodes as it does alone. So a text falls into pieces
+    there; each distinct piece is encoded once by the library (many in one call, and cut by the bytes that each id stands
+    for) and cached. Where white space or punctuation stands together, pieces are larger.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES):
@@ -36,54 +48,73 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, {}
-        self.joined = re.compile(r" (?=\s|\Z)").search
+        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, _Cache()
+        self.spaced = re.compile(r"\s\s|\s\Z|\A\s|\0").search
+        self.marked = re.compile(r"(?:[\W_]|\A)[.,](?:\s|\Z)").search
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
 
-    def parts(self, text: str) -> list[str]:
-        """The head, then what follows each space that a non-space follows (without that space)."""
-        parts = text.split(" ")
-        if not self.joined(text):
-            return parts
-        out = parts[:1]
-        for x in parts[1:]:
-            if not x or x[0].isspace():
-                out[-1] += " " + x
-            else:
-                out.append(x)
-        return out
+    def pieces(self, text: str) -> list[str]:
+        """Parts whose ids, one after the other, are the text's; the first may begin with anything."""
+        if self.spaced(text):
+            parts = text.split(" ")
+            out = parts[:1]
+            for x in parts[1:]:
+                if not x or x[0].isspace():
+                    out[-1] += " " + x
+                else:
+                    out.append(" " + x)
+            return out
+        plain = self.marked(text)
+        text = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        if not plain:
+            text = (text + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0")[:-1]
+        return text.split("\0")
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        cut = [parts[i : i + 64] for i in range(0, len(parts), 64)]
-        ids = np.concatenate(self._ids([" " + " ".join(x) for x in cut]))
-        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+    def _learn(self, pieces: set[str]) -> None:
+        cache = self.cache
+        single = {x for x in pieces if not x[:1].isspace() or any(t in x for t in self.added)}  # an added token ends what is before it
+        alone = list(single)
+        for x, ids in zip(alone, self._ids(alone)):
+            cache[x] = ids.tobytes()
+        rest = [x for x in pieces if x not in single]  # one white space and a non-space: they begin a token anywhere
+        if not rest:
+            return
+        ids = np.concatenate(self._ids(["".join(rest[i : i + 64]) for i in range(0, len(rest), 64)]))
+        ends = np.cumsum([len(x.encode()) for x in rest])
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-        raw, at, cache = ids.tobytes(), 0, self.cache
-        for x, cut in zip(parts, (cuts * 4).tolist()):
+        raw, at = ids.tobytes(), 0
+        for x, cut in zip(rest, (cuts * 4).tolist()):
             cache[x] = raw[at:cut]
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(x) for x in texts]
+        cache, split = self.cache, [self.pieces(x) for x in texts]
         heads = self._ids([x[0] for x in split])
-        for x in split:
-            del x[0]
-        found = [list(map(self.cache.get, x)) for x in split]
-        new = {x for parts, ids in zip(split, found) if None in ids for x, y in zip(parts, ids) if y is None}
-        if new:
-            if len(self.cache) + len(new) > self.entries:
-                self.cache.clear()
-            self._learn(list(new))
-            get = self.cache.get
-            found = [[get(x) if y is None else y for x, y in zip(parts, ids)] if None in ids else ids for parts, ids in zip(split, found)]
-        return [head.tobytes() + b"".join(ids) for head, ids in zip(heads, found)]
+        out, again = [], []
+        for i, (head, pieces) in enumerate(zip(heads, split)):
+            pieces[0] = ""
+            known = len(cache.missed)
+            out.append(head.tobytes() + b"".join(map(cache.__getitem__, pieces)))
+            if len(cache.missed) > known:
+                again.append(i)
+        if cache.missed:
+            new, cache.missed = set(cache.missed), []
+            if len(cache) + len(new) > self.entries:
+                cache.clear()
+                cache[""] = b""
+                new = {x for i in again for x in split[i]} - {""}
+            self._learn(new)
+            for i in again:
+                out[i] = heads[i].tobytes() + b"".join(map(cache.__getitem__, split[i]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
