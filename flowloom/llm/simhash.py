@@ -193,25 +193,41 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, id long, shingles array<int>")
 
 
-def verified(work: Workspace, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of ids those whose sets of shingles are that similar (Jaccard)."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    needed = work.keep(distinct.select("id", F.col("root").alias("doc_id")).join(ids, "id"), "needed")
+def sets_of(work: Workspace, docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of some ids of distinct (id, root), from the rows of docs whose doc_id is the root."""
+    needed = work.keep(distinct.select("id", F.col("root").alias("doc_id")).join(ids.distinct(), "id"), "needed")
     few = needed.count() <= BROADCAST_IDS
-    pick = F.broadcast(needed.select("doc_id")) if few else needed.select("doc_id")
-    texts = docs.select("doc_id", "text").join(pick.distinct() if not few else pick, "doc_id", "left_semi")
-    sets = work.keep(shingle_sets(texts).join(F.broadcast(needed) if few else needed, ["doc_id", "id"], "left_semi"), "sets")
-    both = pairs.join(sets.selectExpr("id AS a", "shingles AS x"), "a").join(sets.selectExpr("id AS b", "shingles AS y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    pick = F.broadcast(needed) if few else needed
+    texts = docs.select("doc_id", "text").join(pick.select("doc_id"), "doc_id", "left_semi")
+    return work.keep(shingle_sets(texts).join(pick, ["doc_id", "id"], "left_semi").select("id", "shingles"), "sets")
+
+
+def exact_forest(ids: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], bound: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (root, other) that join the same ids as all pairs of that similarity would; far fingerprints aren't compared by set."""
+    rest, out = np.arange(len(ids)), []
+    while len(rest) > 1:
+        root, frontier, rest = rest[0], [rest[0]], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            near = np.flatnonzero(np.bitwise_count((prints[rest] ^ prints[x]).view(np.uint64)).sum(axis=1) <= bound)
+            hits = []
+            for k in near.tolist():
+                y = rest[k]
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if common >= similarity * (len(sets[x]) + len(sets[y]) - common):
+                    hits.append(k)
+            out.extend((int(ids[root]), int(ids[rest[k]])) for k in hits)
+            frontier.extend(rest[hits].tolist())
+            rest = np.delete(rest, hits)
+    return out
 
 
-def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = HOT, block: int = BLOCK // 4) -> DataFrame:
+def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = 4, block: int = 1024) -> DataFrame:
     """Links (a, b) between ids of distinct (id, root, w, f) whose texts (the rows of docs with doc_id = root) are so similar.
 
     Candidates: a 24-bit segment of w differs in one bit at most. The first 64 bits of f thin them in the join, by a bound
     that similar texts pass but for a few in ten thousand; then all bits of f do; then the sets of shingles are compared.
-    In crowded segment values all bits of f decide, in blocks.
+    Segment values that more than `hot` ids have are compared in pairs of blocks, each of which returns a forest of its links.
     """
     bound, most = distance(similarity, 64 * CHECKED), distance(similarity, 64) + 11
     parts = 64 * LOOKED_UP // SEGMENT
@@ -236,31 +252,31 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
     pairs = pairs.join(distinct.selectExpr("id AS a", "f AS x"), "a").join(distinct.selectExpr("id AS b", "f AS y"), "b")
     away = F.aggregate(F.zip_with("x", "y", lambda x, y: apart(x, y)), F.lit(0), lambda n, k: n + k)
     near = work.keep(pairs.where(away <= bound + SLACK).select("a", "b"), "near")
-    found = verified(work, docs, distinct, near, similarity)
+    ids = near.selectExpr("a AS id").union(near.selectExpr("b AS id"))
+    if crowded:
+        items = work.keep(probes.join(heavy, "key").select("key", "id"), "items")
+        ids = ids.union(items.select("id"))
+    sets = sets_of(work, docs, distinct, ids)
+    both = near.join(sets.selectExpr("id AS a", "shingles AS x"), "a").join(sets.selectExpr("id AS b", "shingles AS y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
     if not crowded:
         return found
-    items = work.keep(probes.join(heavy, "key").select("key", "id"), "items")
     blocks = items.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = items.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(distinct.select("id", "f"), "id")
-    groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "f")).alias("items"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(distinct.select("id", "f").join(sets, "id"), "id")
+    groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "f", "shingles")).alias("items"))
 
     def compare(it):
         for batch in it:
             for group in batch.column(0):
                 values = group.values
-                ids = values.field("id").to_numpy()
-                rest = np.unique(np.column_stack([ids, values.field("f").flatten().to_numpy().reshape(-1, CHECKED)]), axis=0)
-                out = []
-                while len(rest) > 1:
-                    root, frontier, rest = rest[0, 0], [rest[0, 1:]], rest[1:]
-                    while frontier and len(rest):
-                        near = np.bitwise_count((rest[:, 1:] ^ frontier.pop()).view(np.uint64)).sum(axis=1) <= bound
-                        if near.any():
-                            hits, rest = rest[near], rest[~near]
-                            frontier.extend(hits[:, 1:])
-                            out.extend((root, x) for x in hits[:, 0])
-                x = np.array(out, np.int64).reshape(-1, 2)
+                ids, first = np.unique(values.field("id").to_numpy(), return_index=True)
+                prints = values.field("f").flatten().to_numpy().reshape(-1, CHECKED)[first]
+                shingles = values.field("shingles")
+                pairs = exact_forest(ids, prints, [np.sort(shingles[int(k)].values.to_numpy()) for k in first], bound + SLACK, similarity)
+                x = np.array(pairs, np.int64).reshape(-1, 2)
                 yield batches({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1])})
 
     return found.union(groups.select("items").mapInArrow(compare, "a long, b long"))
