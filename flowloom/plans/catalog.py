@@ -353,3 +353,44 @@ def normalise_alerts(s, d):
     raw = e.select(F.concat(line, F.lit("")).alias("value"), "event_id")
     fields = raw.withColumn("fields", alert_files.as_object(F.col("value")))
     return alert_files.normalised(fields, "event_id")
+
+
+# ---------------------------------------------------------------- models
+
+
+def dataset(s, d):
+    """Flow features with context, the rule's verdict as label, and hosts as captures."""
+    f = FL.context(L.rule_verdict(flw(s, d)).drop("confidence"))
+    return f.withColumn("label", F.col("verdict")).drop("verdict", "is_anomaly").withColumn("host", F.col("src"))
+
+
+@query
+def rf_predict(s, d):
+    """Share right and mean confidence of a forest on held-out flows, by label."""
+    from ..ml import classify as C
+
+    rows = C.stratified(dataset(s, d), "label", 0.75).persist()
+    features = FL.feature_set("D")
+    model = C.fit(rows.where("part = 'train'"), features, trees=20, depth=8)
+    got = C.predict(model, rows.where("part = 'test'"))
+    return got.groupBy("label").agg(F.count("*").alias("flows"), F.round(F.avg((F.col("verdict") == F.col("label")).cast("double")), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query
+def iforest_flags(s, d):
+    """Flag rate of an isolation forest on the earlier half of normal flows, over all flows by label."""
+    from ..ml.forest import IsolationForest
+
+    rows = dataset(s, d).persist()
+    model = IsolationForest.fit(rows.where("label = 'normal'"), FL.feature_set("D"))
+    return rows.groupBy("label").agg(F.count("*").alias("flows"), F.round(100 * F.avg(model.flags().cast("double")), 6).alias("flag_rate"))
+
+
+@query
+def loco_scores(s, d):
+    """Share right for three hosts, each by a model of all others."""
+    from ..ml import classify as C
+
+    rows = dataset(s, d).where("host IN ('10.0.1.1', '10.0.2.1', '10.0.2.2')")
+    got = C.leave_one_out(rows.withColumn("capture", F.col("host")), FL.feature_set("D"), trees=5, depth=5)
+    return s.createDataFrame(got, "capture string, label string, flows long, accuracy double")

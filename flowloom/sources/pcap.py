@@ -219,6 +219,7 @@ class PcapSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PcapSource)
 
 
