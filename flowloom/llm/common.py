@@ -50,6 +50,16 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids (8 bytes each) up to which a kept table of them is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without rows of these doc_ids, a kept table of one column; rows of null doc_id stay."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 # ---------------------------------------------------------------- Arrow texts
 
 

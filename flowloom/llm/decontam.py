@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Workspace, batches, grams, passes, table, word_hashes, words_in
+from .common import LETTER_WORDS, Workspace, batches, drop_ids, grams, passes, table, word_hashes, words_in
 
 #: Bytes of item texts that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -160,7 +160,7 @@ def digests(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that hold an item's window. Rows of null doc_id stay; rows that share a doc_id go together."""
     hit = shared_spans(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return drop_ids(docs, Workspace(docs.sparkSession, "decontam-hit").keep(hit, "hit"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Workspace, batches, components, grams, int64, mix, passes, table, texts_of, word_hashes, words_in
+from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, mix, passes, table, texts_of, word_hashes, words_in
 
 #: Fingerprints under one segment value beyond which the value's links are found in blocks.
 HOT = 64
@@ -135,7 +135,7 @@ SHINGLE, CHECKED, LOOKED_UP, SEGMENT = 5, 4, 3, 24
 SKETCH = "doc_id long, id long, w array<long>, f array<long>"
 #: Bits beyond the expected distance up to which shingle sets are compared; documents up to which those sets are picked by a
 #: broadcast set of ids (16 bytes each).
-SLACK, BROADCAST_IDS = 10, 500_000
+SLACK, BROADCAST_PAIRS = 10, 500_000
 
 
 def distance(similarity: float, bits: int) -> int:
@@ -196,7 +196,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def sets_of(work: Workspace, docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of some ids of distinct (id, root), from the rows of docs whose doc_id is the root."""
     needed = work.keep(distinct.select("id", F.col("root").alias("doc_id")).join(ids.distinct(), "id"), "needed")
-    few = needed.count() <= BROADCAST_IDS
+    few = needed.count() <= BROADCAST_PAIRS
     pick = F.broadcast(needed) if few else needed
     texts = docs.select("doc_id", "text").join(pick.select("doc_id"), "doc_id", "left_semi")
     return work.keep(shingle_sets(texts).join(pick, ["doc_id", "id"], "left_semi").select("id", "shingles"), "sets")
@@ -222,7 +222,7 @@ def exact_forest(ids: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], bo
     return out
 
 
-def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = 4, block: int = 1024) -> DataFrame:
+def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = 16, block: int = 1024) -> DataFrame:
     """Links (a, b) between ids of distinct (id, root, w, f) whose texts (the rows of docs with doc_id = root) are so similar.
 
     Candidates: a 24-bit segment of w differs in one bit at most. The first 64 bits of f thin them in the join, by a bound
@@ -305,7 +305,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     work = Workspace(docs.sparkSession, "simhash-keep")
     found = work.keep(similar_groups(docs, similarity), "found")
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = drop_ids(docs, work.keep(gone, "gone"))
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.limit(1).count():
         again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)

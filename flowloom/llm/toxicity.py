@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Workspace, batches, passes, table, word_hashes, words_in
+from .common import LETTER_WORDS, Workspace, batches, drop_ids, passes, table, word_hashes, words_in
 
 GRADES = 3
 #: Labelled rows the model is fitted on at most (those of least hash), and words it weighs at most (the most frequent).
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """docs without the rejected ones; rows of null doc_id stay, rows that share a doc_id go together."""
     bad = score(docs, train(docs, labels), reject).where("rejected").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return drop_ids(docs, Workspace(docs.sparkSession, "toxicity-bad").keep(bad, "bad"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
