@@ -34,10 +34,10 @@ class _Cache(dict):
 class Encoder:
     """tokenizers' ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The byte-level pattern always begins a token at white space that a non-space follows, and at a comma or stop that a
-    letter or digit stands before; what stands before such a place encodes as it does alone. So a text falls into pieces
-    there; each distinct piece is encoded once by the library (many in one call, and cut by the bytes that each id stands
-    for) and cached. Where white space or punctuation stands together, pieces are larger.
+    The byte-level pattern always begins a token at white space that a non-space follows, and what stands before encodes as
+    it does alone. So a text falls into a head and pieces at such spaces and line ends; each distinct piece is encoded once by
+    the library (many in one call, and cut by the bytes that each id stands for) and cached. White space that stands
+    together stays in one piece. A piece is kept without its space; one that begins a line is kept with the line end.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES):
@@ -49,8 +49,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, _Cache()
-        self.spaced = re.compile(r"\s\s|\s\Z|\A\s|\0").search
-        self.marked = re.compile(r"(?:[\W_]|\A)[.,](?:\s|\Z)").search
+        self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
@@ -59,39 +58,36 @@ class Encoder:
             self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
 
     def pieces(self, text: str) -> list[str]:
-        """Parts whose ids, one after the other, are the text's; the first may begin with anything."""
-        if self.spaced(text):
-            parts = text.split(" ")
-            out = parts[:1]
-            for x in parts[1:]:
-                if not x or x[0].isspace():
-                    out[-1] += " " + x
-                else:
-                    out.append(" " + x)
-            return out
-        plain = self.marked(text)
-        text = text.replace(" ", "\0 ").replace("\n", "\0\n")
-        if not plain:
-            text = (text + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0")[:-1]
-        return text.split("\0")
+        """The head, then pieces whose ids, one after the other, follow the head's."""
+        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or self.other_space(text)):
+            return text.replace("\n", " \n").split(" ")
+        parts = text.split(" ")
+        out = parts[:1]
+        for x in parts[1:]:
+            if not x or x[0].isspace():
+                out[-1] += " " + x
+            else:
+                out.append(x)
+        return out
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        cache = self.cache
-        single = {x for x in pieces if not x[:1].isspace() or any(t in x for t in self.added)}  # an added token ends what is before it
-        alone = list(single)
-        for x, ids in zip(alone, self._ids(alone)):
-            cache[x] = ids.tobytes()
-        rest = [x for x in pieces if x not in single]  # one white space and a non-space: they begin a token anywhere
-        if not rest:
+        whole = [(x, x if x[0] == "\n" else " " + x) for x in pieces]
+        # An added token ends what stands before it, so a piece that holds one is encoded alone.
+        single = [x for x in whole if any(t in x[1] for t in self.added)]
+        if single:
+            for (x, _), ids in zip(single, self._ids([y for _, y in single])):
+                self.cache[x] = ids.tobytes()
+            whole = [x for x in whole if x[0] not in self.cache]
+        if not whole:
             return
-        ids = np.concatenate(self._ids(["".join(rest[i : i + 64]) for i in range(0, len(rest), 64)]))
-        ends = np.cumsum([len(x.encode()) for x in rest])
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-        raw, at = ids.tobytes(), 0
-        for x, cut in zip(rest, (cuts * 4).tolist()):
+        texts = [y for _, y in whole]
+        ids = np.concatenate(self._ids(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)]))
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(y.encode()) for y in texts]), "left") + 1
+        raw, at, cache = ids.tobytes(), 0, self.cache
+        for (x, _), cut in zip(whole, (cuts * 4).tolist()):
             cache[x] = raw[at:cut]
             at = cut
 
@@ -100,7 +96,7 @@ class Encoder:
         heads = self._ids([x[0] for x in split])
         out, again = [], []
         for i, (head, pieces) in enumerate(zip(heads, split)):
-            pieces[0] = ""
+            del pieces[0]
             known = len(cache.missed)
             out.append(head.tobytes() + b"".join(map(cache.__getitem__, pieces)))
             if len(cache.missed) > known:
@@ -109,8 +105,7 @@ class Encoder:
             new, cache.missed = set(cache.missed), []
             if len(cache) + len(new) > self.entries:
                 cache.clear()
-                cache[""] = b""
-                new = {x for i in again for x in split[i]} - {""}
+                new = {x for i in again for x in split[i]}
             self._learn(new)
             for i in again:
                 out[i] = heads[i].tobytes() + b"".join(map(cache.__getitem__, split[i]))
