@@ -17,6 +17,7 @@ from ..operators import labels as L
 from ..operators import policy as P
 from ..operators import windows as W
 from ..sources import adapters, alert_files
+from . import analysis as AN
 from . import reports as R
 from .oracles import FEATURE_DOUBLES, FEATURE_LIST
 
@@ -394,3 +395,76 @@ def loco_scores(s, d):
     rows = dataset(s, d).where("host IN ('10.0.1.1', '10.0.2.1', '10.0.2.2')")
     got = C.leave_one_out(rows.withColumn("capture", F.col("host")), FL.feature_set("D"), trees=5, depth=5)
     return s.createDataFrame(got, "capture string, label string, flows long, accuracy double")
+
+
+# ---------------------------------------------------------------- comparisons
+
+PROFILE = ["packets", "fwd_bytes", "duration", "pkt_len_mean"]
+
+
+@query
+def nearest_profile(s, d):
+    f = flw(s, d)
+    got = AN.nearest_profile(f.where("src = '10.0.2.1'"), f.where("src <> '10.0.2.1' AND src LIKE '10.0.%.1'"), "src", PROFILE)
+    return got.select("feature", F.round("target", 6).alias("target"), "nearest", "outside")
+
+
+@query
+def relative_gap(s, d):
+    f = flw(s, d).where("proto <> 'ICMP'").withColumn("side", F.col("proto") == "UDP")
+    got = R.relative_gap(f, "side", ["fwd_bytes", "packets", "pkt_len_mean"])
+    return got.select("feature", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "gap")], "marked")
+
+
+@query
+def payload_stats(s, d):
+    return AN.payload_stats(adapters.packets(s, d))
+
+
+@query
+def direction_check(s, d):
+    return AN.direction_check(adapters.packets(s, d))
+
+
+@query
+def probe_ports(s, d):
+    return AN.probe_ports(win(s, d)).select("window_id", "src", "dst", "ports", "probe_ports", "ephemeral")
+
+
+@query
+def session_summary(s, d):
+    x = AN.session(win(s, d))
+    return x.select("packets", "windows", F.round(AN.session_hours(F.col("start_us"), F.lit(None), F.col("last_us")), 6).alias("hours"))
+
+
+@query
+def packet_lines(s, d):
+    return AN.describe(adapters.packets(s, d))
+
+
+@query
+def window_growth(s, d):
+    """Packets of each window against the one before, within ten-minute stretches of one capture."""
+    w = win(s, d).groupBy("capture", "window_id", "window_us").agg(F.count("*").alias("packets"))
+    before = F.lag("packets").over(Window.partitionBy("capture", F.floor(F.col("window_us") / (600 * K.SECOND_US))).orderBy("window_id"))
+    return w.select("window_id", "packets", F.round(F.col("packets") / before, 6).alias("ratio"))
+
+
+@query
+def unsure_incidents(s, d):
+    """Incidents, each with the layer that raised it and whether a model's unsure verdict stands on its source and kind."""
+    a = adapters.alerts(s, d)
+    pairs = a.where("confidence < 0.1").select("src", "kind").distinct().withColumn("unsure", F.lit(True))
+    got = found(s, d).join(pairs, ["src", "kind"], "left")
+    layer = F.when(F.col("kind") == "anomaly", "anomaly").when(F.col("confidence").isNull(), "tracker").otherwise("model")
+    return got.select("src", "kind", "first_us", layer.alias("layer"), F.coalesce("unsure", F.lit(False)).alias("unsure"))
+
+
+@query
+def family_counts(s, d):
+    return adapters.alerts(s, d).groupBy(X.family().alias("family")).agg(F.count("*").alias("alerts"), F.count_if("notified").alias("notified"))
+
+
+@query
+def evaluation_totals(s, d):
+    return R.totals(R.evaluate(adapters.alerts(s, d), expected(s)))

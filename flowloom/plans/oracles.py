@@ -136,4 +136,21 @@ SELECT event_id, d.src AS source, d.dst AS destination, s.t_us IS NOT NULL AS no
     "normalise_alerts": """WITH j AS (SELECT event_id, user_id, event_type, value, event_id % 5 AS v FROM events WHERE event_id % 7 NOT IN (5, 6))
 SELECT event_id, CASE v WHEN 4 THEN 'unknown' ELSE concat('10.0.0.', CAST(user_id % 20 AS STRING)) END AS src, CASE WHEN v IN (0, 1) THEN concat('192.168.1.', CAST(user_id % 4 AS STRING)) ELSE 'unknown' END AS dst, lower(event_type) AS kind,
 CASE v WHEN 0 THEN 1704067200.0 + event_id WHEN 1 THEN 1704067200.0 + event_id WHEN 2 THEN 1704067200.0 WHEN 3 THEN 1704067200.0 ELSE 0.0 END AS seconds, CASE WHEN v IN (0, 2) THEN round(value - floor(value), 2) END AS confidence FROM j""",
+    "nearest_profile": f"""{FLOWS}, ff AS (SELECT src, CAST(packets AS DOUBLE) AS packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, round(duration, 4) AS duration, CAST(pkt_len_mean AS DOUBLE) AS pkt_len_mean FROM f WHERE src LIKE '10.0.%.1'),
+u AS (UNPIVOT ff ON packets, fwd_bytes, duration, pkt_len_mean INTO NAME feature VALUE v), m AS (SELECT src, feature, quantile_cont(v, 0.5) AS med FROM u GROUP BY ALL),
+tg AS (SELECT feature, med AS target FROM m WHERE src = '10.0.2.1'), kn AS (SELECT * FROM m WHERE src <> '10.0.2.1')
+SELECT feature, round(target, 6) AS target, arg_min(src, (abs(med - target), src)) AS nearest, target < min(med) OR target > max(med) AS outside FROM kn JOIN tg USING (feature) GROUP BY feature, target""",
+    "relative_gap": f"""{FLOWS}, ff AS (SELECT proto = 'UDP' AS side, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(packets AS DOUBLE) AS packets, CAST(pkt_len_mean AS DOUBLE) AS pkt_len_mean FROM f WHERE proto <> 'ICMP'),
+u AS (UNPIVOT ff ON fwd_bytes, packets, pkt_len_mean INTO NAME feature VALUE v), m AS (SELECT feature, avg(v) FILTER (WHERE side) AS a, avg(v) FILTER (WHERE NOT side) AS b FROM u GROUP BY feature)
+SELECT feature, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(abs(a - b) / greatest(abs(a), abs(b)), 6) AS gap, abs(a - b) / greatest(abs(a), abs(b)) > 0.5 AS marked FROM m""",
+    "payload_stats": f"WITH {PACKETS} SELECT src, count(*) AS packets, min(payload_len) AS payload_min, max(payload_len) AS payload_max, count(*) FILTER (WHERE payload_len > 0) AS with_payload FROM p WHERE proto = 'TCP' GROUP BY src",
+    "direction_check": f"""{FLOWS}, o AS (SELECT *, first_value(src) OVER q AS fsrc, first_value(sport) OVER q AS fsport FROM k WINDOW q AS (PARTITION BY fk ORDER BY pkt_no))
+SELECT count(*) AS packets, count(*) FILTER (WHERE src <> fsrc) AS real_replies, count(*) FILTER (WHERE src <> fsrc OR sport <> fsport) AS counted_replies, count(*) FILTER (WHERE src = dst) AS same_address FROM o""",
+    "probe_ports": f"{WINDOWS} SELECT window_id, src, dst, count(DISTINCT dport) AS ports, count(DISTINCT dport) FILTER (WHERE flags & 16 = 0) AS probe_ports, count(DISTINCT dport) FILTER (WHERE dport >= 32768) AS ephemeral FROM w WHERE proto = 'TCP' GROUP BY ALL",
+    "session_summary": f"{WINDOWS} SELECT count(*) AS packets, count(DISTINCT window_id) AS windows, round((max(ts_us) - min(ts_us)) / 3.6e9, 6) AS hours FROM w",
+    "packet_lines": f"WITH {PACKETS} SELECT pkt_no, concat(coalesce(proto, 'other'), ' ', src, CASE WHEN sport IS NOT NULL THEN concat(':', sport) ELSE '' END, ' -> ', dst, CASE WHEN dport IS NOT NULL THEN concat(':', dport) ELSE '' END, ' ', frame_len, ' bytes') AS line FROM p",
+    "window_growth": f"{WINDOWS}, c AS (SELECT window_id, window_us, count(*) AS packets FROM w GROUP BY ALL) SELECT window_id, packets, round(packets / lag(packets) OVER (PARTITION BY CAST(floor(window_us / 600000000) AS BIGINT) ORDER BY window_id), 6) AS ratio FROM c",
+    "unsure_incidents": f"{INCIDENTS} SELECT src, kind, first_us, CASE WHEN kind = 'anomaly' THEN 'anomaly' WHEN confidence IS NULL THEN 'tracker' ELSE 'model' END AS layer, EXISTS (SELECT 1 FROM a WHERE a.src = inc.src AND a.kind = inc.kind AND a.confidence < 0.1) AS unsure FROM inc",
+    "family_counts": f"WITH {ALERTS} SELECT CASE WHEN kind IN ('port_scan', 'slow_scan') THEN 'recon' WHEN kind = 'brute_force' THEN 'access' WHEN kind = 'dos' THEN 'flood' ELSE 'anomaly' END AS family, count(*) AS alerts, count(*) FILTER (WHERE notified) AS notified FROM a GROUP BY ALL",
+    "evaluation_totals": f"WITH {ALERTS}, ex(capture, expected) AS (VALUES ('cap0', 'port_scan'), ('cap1', 'brute_force'), ('cap2', 'dos'), ('cap3', 'port_scan'), ('cap9', 'slowloris')), e AS (SELECT ex.capture, count(event_id) AS logged, count(*) FILTER (WHERE notified) AS notified, count(event_id) > 0 AS detected, coalesce(bool_or(kind = expected), false) AS correct, coalesce(bool_or(kind = expected AND notified), false) AS correct_shown FROM ex LEFT JOIN a USING (capture) GROUP BY ALL) SELECT count(*) AS captures, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct_shown) AS shown, CAST(sum(logged) AS BIGINT) AS logged, CAST(sum(notified) AS BIGINT) AS notified FROM e",
 }
