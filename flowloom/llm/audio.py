@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches, table
+from .common import Workspace, batches, large_rows, table
 
 RATE, FRAME, HOP = 4000, 1024, 256
 LOW_HZ, HIGH_HZ = 60.0, 1800.0
@@ -194,6 +194,8 @@ def search(prints: DataFrame, queries: DataFrame, error: float = ERROR) -> DataF
 
         found = found.union(q.join(held, ["v", "i"]).select("qs", "es").mapInArrow(compare, ALIGNED))
         found = found.groupBy("query", "class").agg(F.min_by(F.struct("offset", "overlap", "error"), F.struct("error", -F.col("overlap"), "offset")).alias("m")).select("query", "class", "m.*")
+    with large_rows(prints.sparkSession):
+        found = work.keep(found, "found")
     return found.join(classes.select("class", "copies"), "class").select("query", "class", "copies", "offset", "overlap", "error")
 
 

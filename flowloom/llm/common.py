@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,20 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def large_rows(spark: SparkSession, rows: int = 8):
+    """While tables whose rows hold gathered groups are written: so few rows an Arrow batch, and so few groups at a time in a task."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    was = [spark.conf.get(k) for k in keys]
+    for k in keys:
+        spark.conf.set(k, str(rows))
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, was):
+            spark.conf.set(k, v)
+
+
 #: Ids (8 bytes each) up to which a kept table of them is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, mix, passes, table, texts_of, word_hashes, words_in
+from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, table, texts_of, word_hashes, words_in
 
 #: Fingerprints under one segment value beyond which the value's links are found in blocks.
 HOT = 64
@@ -120,7 +120,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     work = Workspace(docs.sparkSession, "simhash")
     fps = work.keep(fingerprints(docs, shingle), "fps")
     distinct = work.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("root")), "distinct")
-    labels = components(work, links(work, distinct.select("fp"), radius))
+    with large_rows(docs.sparkSession, 256):
+        found = work.keep(links(work, distinct.select("fp"), radius), "links")
+    labels = components(work, found)
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.groupBy("label").agg(F.min("root").alias("component_id"))
     of = named.join(smallest, "label").select("fp", "component_id")
@@ -222,7 +224,7 @@ def exact_forest(ids: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], bo
     return out
 
 
-def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = 16, block: int = 1024) -> DataFrame:
+def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similarity: float = 0.8, hot: int = 16, block: int = 512) -> DataFrame:
     """Links (a, b) between ids of distinct (id, root, w, f) whose texts (the rows of docs with doc_id = root) are so similar.
 
     Candidates: a 24-bit segment of w differs in one bit at most. The first 64 bits of f thin them in the join, by a bound
@@ -291,7 +293,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     made = work.keep(sketches(docs), "sketches")
     distinct = work.keep(made.groupBy("id").agg(F.min("doc_id").alias("root"), F.first("w").alias("w"), F.first("f").alias("f")), "distinct")
-    labels = components(work, work.keep(similar_links(work, docs, distinct, similarity), "links"))
+    found = similar_links(work, docs, distinct, similarity)
+    with large_rows(docs.sparkSession):
+        found = work.keep(found, "links")
+    labels = components(work, found)
     named = distinct.select("id", "root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("root").alias("component_id"))
     return made.select("doc_id", "id").join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
