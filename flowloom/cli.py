@@ -34,8 +34,8 @@ def detect(spark: SparkSession, capture: str, out: str, after_s: float | None =
     packets = spark.read.format("pcap").load(capture)
     if after_s is not None:
         packets = windows.after(packets, int(after_s * K.SECOND_US))
-    packets = windows.anchored(packets)
-    rows = flows.context(flows.flows(packets))
+    packets = windows.anchored(packets).persist()
+    rows = flows.context(flows.flows(packets)).persist()
     scored = score(rows)
     shown = labels.with_unsure(policy.apply_policy(alerts.unified(packets, rows, scored)), labels.campaigns(scored))
     stamped = shown.withColumn("timestamp", F.date_format(F.timestamp_micros("window_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

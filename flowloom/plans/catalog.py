@@ -191,9 +191,9 @@ def alert_policy(s, d):
 
 @query
 def detect(s, d):
-    """All detectors, labels and the policy over one capture."""
-    p = win(s, d)
-    f = FL.flows(p)
+    """All detectors, labels and the policy over one capture. Nine branches read the windowed packets and the flows, so both are kept."""
+    p = win(s, d).persist()
+    f = FL.flows(p).persist()
     scored = L.rule_verdict(f)
     out = L.with_unsure(P.apply_policy(A.unified(p, f, scored)), L.campaigns(scored))
     return out.select("window_id", "kind", "source", "destination", "num_flows", "num_ports", "confidence", "description", "family", "notified", "suppressed_repeats", F.col("model_unsure.verdict").alias("unsure"))
