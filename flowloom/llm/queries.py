@@ -6,6 +6,7 @@ from .audio import op5_chroma
 from .chaining import op9_chaining
 from .classlm import op4_class_lm
 from .decontam import op6_decontamination
+from .oracles import ORACLE_SQL
 from .packing import op8_packing
 from .pii import op7_pii
 from .simhash import op3_simhash
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_url_graph": op10_url_graph,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
