@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass holds at most (a single longer text makes a pass of its own).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 512 << 10
+#: Rows that are copied out of an Arrow batch at once.
+PASS_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,19 +86,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def passes(column: pa.Array):
-    """Yields (first row, row count, bytes, offsets) over a string column, PASS_BYTES at a time; null is empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        end = int(np.searchsorted(offsets, offsets[at] + PASS_BYTES, "right")) - 1
-        end = min(max(end, at + 1), len(column))
-        yield at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
+    """Yields (first row, row count, bytes, offsets) over a string column, PASS_BYTES and PASS_ROWS at a time; null is empty."""
+    for first in range(0, len(column), PASS_ROWS):
+        part = column.slice(first, PASS_ROWS).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(part):
+            end = int(np.searchsorted(offsets, offsets[at] + PASS_BYTES, "right")) - 1
+            end = min(max(end, at + 1), len(part))
+            yield first + at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+            at = end
 
 
 def byte_tables(delimiters: str) -> tuple[np.ndarray, np.ndarray]:
