@@ -20,17 +20,6 @@ BROADCAST_SEGMENTS = 500_000
 CACHE_ENTRIES = 1_000_000
 
 
-class _Cache(dict):
-    """Ids of known pieces; notes the others."""
-
-    def __init__(self):
-        self.missed: list[str] = []
-
-    def __missing__(self, piece: str) -> bytes:
-        self.missed.append(piece)
-        return b""
-
-
 class Encoder:
     """tokenizers' ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -48,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, _Cache()
+        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, {}
         self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -73,43 +62,49 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        whole = [(x, x if x[0] == "\n" else " " + x) for x in pieces]
-        # An added token ends what stands before it, so a piece that holds one is encoded alone.
-        single = [x for x in whole if any(t in x[1] for t in self.added)]
-        if single:
-            for (x, _), ids in zip(single, self._ids([y for _, y in single])):
-                self.cache[x] = ids.tobytes()
-            whole = [x for x in whole if x[0] not in self.cache]
-        if not whole:
-            return
-        texts = [y for _, y in whole]
+    def _learn(self, pieces: list[str]) -> None:
+        cache, texts = self.cache, [x if x[0] == "\n" else " " + x for x in pieces]
+        joined = "".join(texts)
+        if any(t in joined for t in self.added):  # such a token ends what stands before it, so its piece is encoded alone
+            alone = {x for x in texts if any(t in x for t in self.added)}
+            for x, y in zip(pieces, texts):
+                if y in alone:
+                    cache[x] = self._ids([y])[0].tobytes()
+            pieces = [x for x, y in zip(pieces, texts) if y not in alone]
+            texts = [y for y in texts if y not in alone]
+            if not pieces:
+                return
         ids = np.concatenate(self._ids(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)]))
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(y.encode()) for y in texts]), "left") + 1
-        raw, at, cache = ids.tobytes(), 0, self.cache
-        for (x, _), cut in zip(whole, (cuts * 4).tolist()):
+        sizes = map(len, texts) if joined.isascii() else [len(y.encode()) for y in texts]
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(sizes, np.int64)), "left") + 1
+        raw, at = ids.tobytes(), 0
+        for x, cut in zip(pieces, (cuts * 4).tolist()):
             cache[x] = raw[at:cut]
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split = self.cache, [self.pieces(x) for x in texts]
+        get, split = self.cache.get, [self.pieces(x) for x in texts]
         heads = self._ids([x[0] for x in split])
-        out, again = [], []
-        for i, (head, pieces) in enumerate(zip(heads, split)):
+        found, gaps, new = [], [], set()
+        for pieces in split:
             del pieces[0]
-            known = len(cache.missed)
-            out.append(head.tobytes() + b"".join(map(cache.__getitem__, pieces)))
-            if len(cache.missed) > known:
-                again.append(i)
-        if cache.missed:
-            new, cache.missed = set(cache.missed), []
-            if len(cache) + len(new) > self.entries:
-                cache.clear()
-                new = {x for i in again for x in split[i]}
-            self._learn(new)
-            for i in again:
-                out[i] = heads[i].tobytes() + b"".join(map(cache.__getitem__, split[i]))
-        return out
+            ids, at, places = list(map(get, pieces)), -1, []
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    places.append(at)
+                    new.add(pieces[at])
+            except ValueError:
+                found.append(ids)
+                gaps.append(places)
+        if new:
+            if len(self.cache) + len(new) > self.entries:
+                self.cache.clear()
+            self._learn(list(new))
+            for pieces, ids, places in zip(split, found, gaps):
+                for at in places:
+                    ids[at] = get(pieces[at])
+        return [head.tobytes() + b"".join(ids) for head, ids in zip(heads, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
