@@ -42,8 +42,13 @@ def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def window_starts(packets: DataFrame) -> DataFrame:
     """A row a window: capture, window_id (0, 1, ... within the capture), start_us, next_us (null for the last)."""
-    times = packets.select("capture", "ts_us").distinct()
-    starts = islands(times).groupBy("capture", "island").applyInPandas(_starts, "capture string, start_us long, island long")
+    times = islands(packets.select("capture", "ts_us").distinct())
+    ends = times.groupBy("capture", "island").agg(F.max("ts_us").alias("last"))
+    longer = F.col("last") - F.col("island") >= K.WINDOW_US
+    # An island shorter than a window is one; only the others are folded.
+    one = ends.where(~longer).select("capture", F.col("island").alias("start_us"), "island")
+    many = times.join(ends.where(longer).select("capture", "island"), ["capture", "island"]).groupBy("capture", "island")
+    starts = one.union(many.applyInPandas(_starts, "capture string, start_us long, island long"))
     by = Window.partitionBy("capture").orderBy("start_us")  # a row a window of five seconds
     return starts.select("capture", (F.row_number().over(by) - 1).cast("long").alias("window_id"), "start_us", F.lead("start_us").over(by).alias("next_us"))
 
