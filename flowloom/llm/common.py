@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -85,6 +86,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that finished batches leave in the worker's allocators back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def passes(column: pa.Array):
     """Yields (first row, row count, bytes, offsets) over a string column, PASS_BYTES and PASS_ROWS at a time; null is empty."""
     for first in range(0, len(column), PASS_ROWS):
@@ -98,6 +107,7 @@ def passes(column: pa.Array):
             end = min(max(end, at + 1), len(part))
             yield first + at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+    release()
 
 
 def byte_tables(delimiters: str) -> tuple[np.ndarray, np.ndarray]:

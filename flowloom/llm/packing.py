@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, table
+from .common import batches, release, table
 from .tokens import VOCABULARY, encoder
 
 WINDOW = 2048
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
                     out, number = _block(ids, names, number, window)
                     yield out
                     ids, names, size = [], [], 0
+                    release()
         if ids:
             yield _block(ids, names, number, window)[0]
 

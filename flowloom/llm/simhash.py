@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, table, texts_of, word_hashes, words_in
+from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, release, table, texts_of, word_hashes, words_in
 
 #: Fingerprints under one segment value beyond which the value's links are found in blocks.
 HOT = 64
@@ -280,6 +280,7 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
                 pairs = exact_forest(ids, prints, [np.sort(shingles[int(k)].values.to_numpy()) for k in first], bound + SLACK, similarity)
                 x = np.array(pairs, np.int64).reshape(-1, 2)
                 yield batches({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1])})
+        release()
 
     return found.union(groups.select("items").mapInArrow(compare, "a long, b long"))
 
