@@ -228,8 +228,7 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
     """Links (a, b) between ids of distinct (id, root, w, f) whose texts (the rows of docs with doc_id = root) are so similar.
 
     Candidates: a 24-bit segment of w differs in one bit at most. The first 64 bits of f thin them in the join, by a bound
-    that similar texts pass but for a few in ten thousand; then all bits of f do; then the sets of shingles are compared.
-    Segment values that more than `hot` ids have are compared in pairs of blocks, each of which returns a forest of its links.
+    that similar texts pass but for a few in ten thousand; then the sets of shingles are compared. Segment values that more than `hot` ids have are compared in pairs of blocks, each of which returns a forest of its links.
     """
     bound, most = distance(similarity, 64 * CHECKED), distance(similarity, 64) + 11
     parts = 64 * LOOKED_UP // SEGMENT
@@ -251,9 +250,7 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     met = (F.col("p.key") == F.col("e.key")) & (F.col("p.id") < F.col("e.id")) & (apart(F.col("p.c"), F.col("e.c")) <= most)
     pairs = probes.alias("p").join(cold.alias("e"), met).select(F.col("p.id").alias("a"), F.col("e.id").alias("b")).distinct()
-    pairs = pairs.join(distinct.selectExpr("id AS a", "f AS x"), "a").join(distinct.selectExpr("id AS b", "f AS y"), "b")
-    away = F.aggregate(F.zip_with("x", "y", lambda x, y: apart(x, y)), F.lit(0), lambda n, k: n + k)
-    near = work.keep(pairs.where(away <= bound + SLACK).select("a", "b"), "near")
+    near = work.keep(pairs, "near")
     ids = near.selectExpr("a AS id").union(near.selectExpr("b AS id"))
     if crowded:
         items = work.keep(probes.join(heavy, "key").select("key", "id"), "items")
