@@ -197,6 +197,22 @@ def test_similar_texts_are_found(spark, hot, monkeypatch):
     assert all(any((min(a, b), max(a, b)) in pairs for b in sets) for a in sets if got[a] != a)
 
 
+@pytest.mark.parametrize("hot", [2, 0])
+def test_copies_with_blocks_appended_or_replaced_are_found(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (0.8, hot, 8))
+    r, rows = random.Random(21), []
+    for g in range(120):
+        n = r.randint(180, 220)
+        base = [f"w{g}_{k}" for k in range(n)]
+        more = [f"x{g}_{k}" for k in range(n // 5)]  # as many words as similarity 0.8 allows
+        copy = base + more[: int((n - 4) / 4)] if g % 2 else base[: n - n // 10 + 2] + more[: n // 10 - 2]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    pairs = {(a, a + 1) for a in range(0, 240, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])}
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert len(pairs) > 100 and {(got[i], i) for i in got if got[i] != i} == pairs
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "quite another text that nobody copied"), (None, "a b c d e f g h"), (7, "twice"), (7, "twice"), (8, None), (9, "")]
     kept = simhash.keep_first(frame(spark, rows))
