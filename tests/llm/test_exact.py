@@ -213,6 +213,16 @@ def test_copies_with_blocks_appended_or_replaced_are_found(spark, hot, monkeypat
     assert len(pairs) > 100 and {(got[i], i) for i in got if got[i] != i} == pairs
 
 
+def test_crowded_keys_lose_no_pair_close_to_the_bound(spark):
+    r, sets = random.Random(22), []
+    for _ in range(150):
+        base = [r.getrandbits(32) for _ in range(180)]
+        sets += [np.array(base, np.uint32).view(np.int32), np.array(base[:160] + [r.getrandbits(32) for _ in range(20)], np.uint32).view(np.int32)]  # 160 of 200
+    ids = np.arange(len(sets))
+    assert simhash.exact_forest(ids, ids, sets, 0.8) == [(k, k + 1) for k in range(0, len(sets), 2)]
+    assert simhash.exact_forest(ids, ids // 2, sets, 0.8) == []
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "quite another text that nobody copied"), (None, "a b c d e f g h"), (7, "twice"), (7, "twice"), (8, None), (9, "")]
     kept = simhash.keep_first(frame(spark, rows))
