@@ -506,6 +506,16 @@ def test_passages_exact_fuzzy_and_shared_by_many(spark):
     assert len(got[5]) == 3 and chaining.repeated(empty(spark)).count() == 0
 
 
+def test_both_passages_of_a_run_are_found():
+    r = random.Random(31)
+    words = lambda n: np.array([r.randrange(1 << 16) for _ in range(n)], "<u2")
+    first, second = words(60), words(60)
+    a, b = np.concatenate([first, words(25), second]), np.concatenate([first, words(25), second])
+    places = [0, 20, 50, 90, 110, 135]
+    got = sorted(chaining.align(a, b, places, places))
+    assert [(x[0], x[1]) for x in got] == [(0, 60), (85, 145)]
+
+
 # ---------------------------------------------------------------- 5 audio
 
 
