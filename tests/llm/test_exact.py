@@ -516,6 +516,15 @@ def test_both_passages_of_a_run_are_found():
     assert [(x[0], x[1]) for x in got] == [(0, 60), (85, 145)]
 
 
+def test_a_passage_that_stands_twice_in_one_text(spark):
+    r = random.Random(32)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    shared = words(70, "s")
+    rows = [(1, " ".join(words(40, "a") + shared + words(90, "b") + shared + words(20, "c"))), (2, " ".join(words(30, "d") + shared + words(30, "e")))]
+    got = {x.doc_id: x.passages for x in chaining.repeated(frame(spark, rows)).collect()}
+    assert [(p.start, p.stop) for p in got[1]] == [(40, 110), (200, 270)] and [(p.start, p.stop) for p in got[2]] == [(30, 100)]
+
+
 # ---------------------------------------------------------------- 5 audio
 
 
