@@ -525,6 +525,17 @@ def test_a_passage_that_stands_twice_in_one_text(spark):
     assert [(p.start, p.stop) for p in got[1]] == [(40, 110), (200, 270)] and [(p.start, p.stop) for p in got[2]] == [(30, 100)]
 
 
+def test_a_passage_whose_halves_have_other_first_and_last_holders(spark):
+    r = random.Random(33)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    halves = [(words(40, "a"), words(40, "b")) for _ in range(10)]
+    own = lambda x: " ".join(words(60, "c") + x + words(60, "d"))
+    rows = [(100 * kind + k, own(x)) for k, (a, b) in enumerate(halves) for kind, x in ((1, a), (2, b), (3, a + b), (4, a + b), (5, a), (6, b))]
+    docs = frame(spark, rows).repartitionByRange(6, "doc_id")
+    for x in chaining.repeated(docs).collect():
+        assert [(p.start, p.stop) for p in x.passages] == ([(60, 140)] if 300 <= x.doc_id < 500 else [])
+
+
 # ---------------------------------------------------------------- 5 audio
 
 
