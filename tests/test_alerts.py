@@ -202,3 +202,14 @@ def test_models(spark):
     assert C.capped(df, "capture", cap=10).count() == 30
     part = C.stratified(df, "label", 0.75).groupBy("label", "part").count().collect()
     assert {(p["label"], p["part"]): p["count"] for p in part}[("scan", "train")] == 75
+
+
+def test_loco_scores_leaves_out_each_host_of_all(spark, small, monkeypatch):
+    from flowloom.ml import classify as C
+    from flowloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(C, "leave_one_out", lambda rows, features, **options: seen.append(({r.capture for r in rows.select("capture").distinct().collect()}, options)) or [("a", "b", 1, 1.0)])
+    catalog.loco_scores(spark, small)
+    hosts = {r.host for r in catalog.dataset(spark, small).select("host").distinct().collect()}
+    assert seen == [(hosts, {})] and len(hosts) > 3
