@@ -148,10 +148,10 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PASS_BYTES + 1)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]).cumprod() for b in (_BASE, _INVERSE)]
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for PASS_BYTES places and one more."""
+    if not _POWERS:
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(PASS_BYTES, b, np.uint64)]).cumprod() for b in (_BASE, _INVERSE)]
     return _POWERS
 
 
@@ -165,13 +165,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _polynomial(values: np.ndarray) -> int:
+    """Sum of values[i] * base ** i, any number of them."""
+    total, power = 0, _powers()[0]
+    for at in range(0, len(values), PASS_BYTES):
+        part = values[at : at + PASS_BYTES].astype(np.uint64) + np.uint64(1)
+        total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return total % (1 << 64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables) -> np.ndarray:
-    """64-bit hash of each word, A-Z lower-cased: a polynomial over its bytes by prefix sums, then mixed."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((tables[1][data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word, A-Z lower-cased: a polynomial over its bytes by prefix sums, then mixed.
+
+    Words are taken PASS_BYTES bytes at a time, so a very long text costs a table of that size only.
+    """
+    power, inverse = _powers()
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(int(np.searchsorted(ends, low + PASS_BYTES, "right")), at + 1)
+        s, e = starts[at:stop] - low, ends[at:stop] - low
+        part = tables[1][data[low : low + int(e[-1])]]
+        if len(part) > PASS_BYTES:  # one very long word
+            out[at] = np.uint64(_polynomial(part))
+        else:
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+            out[at:stop] = (total[e] - total[s]) * inverse[s]
+        at = stop
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def run_hashes(words: np.ndarray, k: int, step: int = 1 << 16) -> np.ndarray:
+    """Hash of each run of k words (len(words) - k + 1 of them), by prefix sums over `step` words at a time."""
+    n = max(len(words) - k + 1, 0)
+    power, inverse = _powers()
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, step):
+        part = mix(words[at : at + step + k - 1].astype(np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])])
+        m = len(part) - k + 1
+        out[at : at + m] = mix((total[k : k + m] - total[:m]) * inverse[:m])
+    return out
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -536,6 +536,97 @@ def test_a_passage_whose_halves_have_other_first_and_last_holders(spark):
         assert [(p.start, p.stop) for p in x.passages] == ([(60, 140)] if 300 <= x.doc_id < 500 else [])
 
 
+def shared_windows(texts, n=chaining.LEAST_WORDS):
+    """Per text the words in windows of n words that another row has too."""
+    where = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - n + 1):
+            where[tuple(t[p : p + n])].add(i)
+    out = [set() for _ in texts]
+    for i, t in enumerate(texts):
+        for p in range(len(t) - n + 1):
+            if len(where[tuple(t[p : p + n])]) > 1:
+                out[i].update(range(p, p + n))
+    return out
+
+
+def test_a_passage_whose_parts_all_have_other_holders_first_and_last(spark):
+    r = random.Random(37)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    shared, rows = words(60, "s"), []
+    for k, at in enumerate((0, 5, 10, 15, 20)):
+        for first in (0, 200):
+            rows.append((first + k, " ".join(words(30, "o") + shared[at : at + 40] + words(30, "o"))))
+    rows += [(100, " ".join(words(25, "c") + shared + words(40, "d"))), (101, " ".join(words(70, "e") + shared))]
+    got = {x.doc_id: [(p.start, p.stop) for p in x.passages] for x in chaining.repeated(frame(spark, rows).repartitionByRange(4, "doc_id")).collect()}
+    assert got.pop(100) == [(25, 85)] and got.pop(101) == [(70, 130)] and not any(got.values())
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1])
+def test_no_word_of_a_shared_window_is_lost(spark, size, monkeypatch):
+    """Random texts of common phrases, with a filter that thins and one that lets all pass."""
+    monkeypatch.setattr(chaining, "BLOOM", size)
+    monkeypatch.setattr(chaining.long_matches, "__defaults__", (size,))
+    r = random.Random(38)
+    phrases = [[f"w{r.randrange(400)}" for _ in range(r.choice((8, 17, 26, 33, 41)))] for _ in range(40)]
+    texts = [[w for _ in range(r.randint(2, 8)) for w in r.choice(phrases)] for _ in range(160)]
+    for k in range(0, 150, 10):  # parts of other texts, cut anywhere
+        t = texts[r.randrange(150)]
+        at = r.randrange(max(len(t) - 60, 1))
+        texts[k] = texts[k][:20] + t[at : at + r.randint(45, 75)] + texts[k][20:50]
+    want = shared_windows(texts)
+    got = {x.doc_id: {w for p in x.passages for w in range(p.start, p.stop)} for x in chaining.repeated(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert sum(map(len, want)) > 3000 and all(want[i] <= got[i] for i in range(len(texts)))
+
+
+def test_a_fuzzy_passage_far_longer_than_the_first_look(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "MARGIN", 60)
+    r = random.Random(39)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    mine = words(400, "s")
+    other = [f"x{k}" if k > 90 and k % 4 == 0 else w for k, w in enumerate(mine)]  # no seed of five words after the first ninety
+    rows = [(1, " ".join(words(50, "a") + mine)), (2, " ".join(words(9, "b") + other))]
+    (got,) = [x.passages for x in chaining.repeated(frame(spark, rows)).collect() if x.doc_id == 1]
+    assert got[0].start == 50 and got[-1].stop >= 50 + 90 and len(got) == 1
+    other = [f"x{k}" if k > 30 and k % 6 == 0 else w for k, w in enumerate(mine)]
+    (got,) = [x.passages for x in chaining.repeated(frame(spark, [rows[0], (2, " ".join(words(9, "b") + other))])).collect() if x.doc_id == 1]
+    assert [(p.start, p.stop) for p in got] == [(50, 450)]
+    a = {w: i for i, w in enumerate(dict.fromkeys(mine + other))}
+    pair = [np.array([a[w] for w in x], "<u4") for x in (mine, other)]
+    assert [x[:2] for x in chaining.align(*pair, [0, 20], [0, 20])] == [(0, 400)]
+
+
+def test_a_passage_near_the_bound_is_found_in_its_length():
+    """Of fuzzy passages whose whole similarity suffices all are returned with 50 words or more."""
+    r, found = random.Random(40), 0
+    for _ in range(300):
+        n = 80
+        mine = np.arange(n, dtype="<u4")
+        other = mine.copy()
+        edits = r.sample(range(8, n - 8), 15)
+        other[edits] += 1000
+        pad = lambda k: np.array([r.randrange(10**6, 10**9) for _ in range(k)], "<u4")
+        got = chaining.align(np.concatenate([pad(30), mine, pad(30)]), np.concatenate([pad(30), other, pad(30)]), [30, 30 + n - 5], [30, 30 + n - 5])
+        found += any(e - s >= 50 and like >= 0.8 for s, e, _, _, like in got)
+        assert all(30 <= s and e <= 30 + n + 1 for s, e, *_ in got if e - s >= 50)
+    assert found == 300
+
+
+def test_a_word_and_a_text_longer_than_a_pass_hash_as_their_parts_say(monkeypatch):
+    from flowloom.llm import common
+
+    text = " ".join(["Some words", "x" * 5000, "of a text"] * 3).encode()
+    data = np.frombuffer(text, np.uint8)
+    s, e, _ = common.words_in(data, np.array([0, len(data)]), LETTER_WORDS)
+    want = common.word_hashes(data, s, e, LETTER_WORDS)
+    monkeypatch.setattr(common, "PASS_BYTES", 97)
+    monkeypatch.setattr(common, "_POWERS", [])
+    assert (common.word_hashes(data, s, e, LETTER_WORDS) == want).all()
+    runs = common.run_hashes(np.arange(80, dtype="<u4"), 50, step=7)
+    assert (runs == common.run_hashes(np.arange(80, dtype="<u4"), 50, step=30)).all() and len(runs) == 31
+    assert common.run_hashes(np.tile(np.arange(3, dtype="<u4"), 30), 50, step=9)[::3].tolist() == [int(common.run_hashes(np.tile(np.arange(3, dtype="<u4"), 17)[:50], 50)[0])] * 14
+
+
 # ---------------------------------------------------------------- 5 audio
 
 
