@@ -20,6 +20,7 @@ from .functions.exprs import format_duration, format_time
 from .operators import alerts, flows, incidents, labels, policy, windows
 from .plans import analysis, reports
 from .sources import alert_files, pcap
+from .workspace import Workspace
 
 
 def session() -> SparkSession:
@@ -34,13 +35,15 @@ def detect(spark: SparkSession, capture: str, out: str, after_s: float | None =
     packets = spark.read.format("pcap").load(capture)
     if after_s is not None:
         packets = windows.after(packets, int(after_s * K.SECOND_US))
-    packets = windows.anchored(packets).persist()
-    rows = flows.context(flows.flows(packets)).persist()
-    scored = score(rows)
-    shown = labels.with_unsure(policy.apply_policy(alerts.unified(packets, rows, scored)), labels.campaigns(scored))
+    work = Workspace(spark, "detect")
+    packets = work.keep(windows.anchored(packets), "packets")
+    rows = work.keep(flows.context(flows.flows(packets)), "flows")
+    labelled = work.keep(labels.campaigns(score(rows)), "labels")
+    shown = labels.with_unsure(policy.apply_policy(alerts.unified(packets, rows, labelled)), labelled)
     stamped = shown.withColumn("timestamp", F.date_format(F.timestamp_micros("window_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     alert_files.append_alerts(stamped.drop("stage", "idx", "specificity"), f"{out}/alerts")
     alert_files.write_session(analysis.session(packets), f"{out}/session")
+    work.drop()
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:

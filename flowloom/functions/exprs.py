@@ -158,3 +158,15 @@ def escape_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
+
+
+def mean(c: Column | str) -> Column:
+    """An aggregate: the mean of a column, summed in whole millionths, so that it doesn't depend on the order of its rows."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(F.round(c * 1e6).cast("long")) / F.count(c) / 1e6
+
+
+def mean_3(c: Column | str) -> Column:
+    """As mean, rounded to thousandths."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.sum(F.round(c * 1e6).cast("long")) / F.count(c) / 1000.0) / 1000.0

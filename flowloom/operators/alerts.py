@@ -20,13 +20,13 @@ def _alert(rows: DataFrame, stage: int, kind: str | Column, source: str | Column
     return rows.select("capture", "window_id", "window_us", *[v.alias(n) for v, n in zip(values, COLUMNS[3:])])
 
 
-def unified(packets: DataFrame, flows: DataFrame, scored: DataFrame) -> DataFrame:
-    """All detectors' alerts. stage and idx give the emission order within a window; idx sorts as text."""
+def unified(packets: DataFrame, flows: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """All detectors' alerts, over kept tables of packets, flows and labels.campaigns. stage and idx give the emission order within a window; idx sorts as text."""
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     num = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     frag, icmp, stealth, ack, syn = D.fragment_episodes(packets), D.icmp_flood(packets), D.stealth_scan(packets), D.ack_scan(flows), D.syn_flood(flows)
     evaded = stealth.select("capture", "window_id", "src").union(ack.select("capture", "window_id", "src"))
-    labelled = L.sure_only(L.without_evaded(L.campaigns(scored), evaded))
+    labelled = L.sure_only(L.without_evaded(campaigns, evaded))
     parts = [
         _alert(frag, 0, "fragmented_scan", "src", "dst", "fragments", F.lit(0), F.concat("src", "dst"), say("FRAGMENTED SCAN (", F.col("fragments"), " fragments - evasion attempt)")),
         _alert(icmp, 1, "icmp_flood", "src", "dst", "packets", F.lit(0), F.concat("src", "dst"), say("ICMP FLOOD (", F.col("packets"), " packets)")),
@@ -40,5 +40,5 @@ def unified(packets: DataFrame, flows: DataFrame, scored: DataFrame) -> DataFram
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.union(p)
     return out

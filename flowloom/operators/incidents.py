@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import incident_gap_us, rank, severity
+from ..functions.exprs import incident_gap_us, mean, rank, severity
 
 INCIDENT = "src string, kind string, severity string, alert_count long, confidence double, first_us long, last_us long, destinations array<string>"
 
@@ -24,7 +24,7 @@ def incidents(alerts: DataFrame) -> DataFrame:
     x = sessions(alerts)
     first = x.groupBy("src", "kind", "session", "dst").agg(F.min(F.struct("t_us", "seq")).alias("at"))
     targets = first.groupBy("src", "kind", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "dst"))), lambda s: s.dst).alias("destinations"))
-    main = x.groupBy("src", "kind", "session").agg(F.count("*").alias("alert_count"), F.avg("confidence").alias("confidence"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    main = x.groupBy("src", "kind", "session").agg(F.count("*").alias("alert_count"), mean("confidence").alias("confidence"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
     out = main.join(targets, ["src", "kind", "session"]).withColumn("severity", severity(F.col("kind"), F.col("alert_count")))
     return out.select("src", "kind", "severity", "alert_count", "confidence", "first_us", "last_us", "destinations")
 
@@ -84,7 +84,7 @@ def campaigns(rows: DataFrame) -> DataFrame:
     order = F.struct("first_us", "seq")
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v")))), lambda s: s.v)))
     out = x.groupBy(*key).agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("alert_count").alias("alert_count"), F.count("*").alias("incidents"), F.avg("confidence").alias("confidence"), F.max(rank()).alias("rank"),
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("alert_count").alias("alert_count"), F.count("*").alias("incidents"), mean("confidence").alias("confidence"), F.max(rank()).alias("rank"),
         ordered(F.array("src")).alias("sources"), ordered(F.array("kind")).alias("kinds"), ordered(F.col("destinations")).alias("destinations"),
     )
     many = F.size(F.filter("sources", lambda s: ~s.isin(*K.PLACEHOLDERS))) >= K.MULTI_SOURCE

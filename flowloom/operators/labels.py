@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import campaign_label
+from ..functions.exprs import campaign_label, mean_3
 
 WIN = ("capture", "window_id", "window_us")
 
@@ -27,7 +27,7 @@ def campaigns(scored: DataFrame) -> DataFrame:
     keys = [*WIN, "src", "dst"]
     x = scored.where((F.col("verdict") != "normal") | F.col("is_anomaly")).withColumn("reason", F.when(F.col("verdict") != "normal", F.col("verdict")).otherwise("anomaly"))
     x = x.withColumn("c", F.when(F.col("verdict") != "normal", F.col("confidence")))
-    whole = x.groupBy(*keys).agg(F.count("*").alias("num_flows"), F.countDistinct("dport").alias("num_ports"), F.round(F.avg("c"), 3).alias("confidence"), F.min("flow_seq").alias("first_seq"))
+    whole = x.groupBy(*keys).agg(F.count("*").alias("num_flows"), F.countDistinct("dport").alias("num_ports"), mean_3("c").alias("confidence"), F.min("flow_seq").alias("first_seq"))
     votes = x.groupBy(*keys, "reason").agg(F.count("*").alias("n"), F.min("flow_seq").alias("seq"))
     top = votes.groupBy(*keys).agg(F.max_by("reason", F.struct(F.col("n"), -F.col("seq"))).alias("verdict"))
     return whole.join(top, keys).withColumn("kind", campaign_label())

@@ -1,70 +1,106 @@
 """Anchored and fixed windows over packets.
 
-An anchored window opens at a packet and closes before the first packet WINDOW_US or more later, which opens the next; where
-nothing comes for that long the next packet opens one in any case. So a capture falls into islands at such pauses, each
-folded alone over its distinct times. Islands are found by a lag within an hour and the hours' ends, so no task holds
-more of a capture than an hour or an island of distinct times.
+An anchored window opens at a packet and closes before the first packet WINDOW_US or more later, which opens the next. So a
+window's start depends on all before it, but only through one number: the time from which the next packet opens a window. Captures
+are cut into chunks of `CHUNK_US`. Each chunk tells, for every packet at which its first window may open, when the window after its
+last one may open and how many it holds (neighbours that end alike are one entry). These small tables are followed chunk by chunk,
+a row per five minutes; then all chunks fold their own windows, each in a group of its own, however long traffic goes on without a
+pause. Packets meet their chunk's windows in one equi-join on (capture, chunk).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
-HOUR_US = 3600 * K.SECOND_US
-
-
-def islands(times: DataFrame, gap_us: int = K.WINDOW_US) -> DataFrame:
-    """(capture, ts_us) distinct -> with island, the time at which the run without a pause of gap_us began."""
-    hours = times.withColumn("hour", F.floor(F.col("ts_us") / HOUR_US))
-    inside = Window.partitionBy("capture", "hour").orderBy("ts_us")
-    edges = hours.groupBy("capture", "hour").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
-    edges = edges.withColumn("before", F.lag("last").over(Window.partitionBy("capture").orderBy("hour"))).select("capture", "hour", "before")
-    marked = hours.join(edges, ["capture", "hour"]).withColumn("prev", F.coalesce(F.lag("ts_us").over(inside), F.col("before")))
-    marked = marked.withColumn("opens", F.when(F.col("prev").isNull() | (F.col("ts_us") - F.col("prev") >= gap_us), F.col("ts_us")))
-    held = marked.withColumn("own", F.max("opens").over(inside))
-    carry = held.groupBy("capture", "hour").agg(F.max("opens").alias("opened")).withColumn("carried", F.max("opened").over(Window.partitionBy("capture").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)))
-    return held.join(carry.select("capture", "hour", "carried"), ["capture", "hour"]).select("capture", "ts_us", F.coalesce("own", "carried").alias("island"))
-
-
-def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    times = np.sort(pdf["ts_us"].to_numpy())
-    out, at = [], 0
-    while at < len(times):
-        out.append(times[at])
-        at = int(np.searchsorted(times, times[at] + K.WINDOW_US, "left"))
-    return pd.DataFrame({"capture": pdf["capture"].iloc[0], "start_us": np.array(out, np.int64), "island": pdf["island"].iloc[0]})
-
-
-def window_starts(packets: DataFrame) -> DataFrame:
-    """A row a window: capture, window_id (0, 1, ... within the capture), start_us, next_us (null for the last)."""
-    times = islands(packets.select("capture", "ts_us").distinct())
-    ends = times.groupBy("capture", "island").agg(F.max("ts_us").alias("last"))
-    longer = F.col("last") - F.col("island") >= K.WINDOW_US
-    # An island shorter than a window is one; only the others are folded.
-    one = ends.where(~longer).select("capture", F.col("island").alias("start_us"), "island")
-    many = times.join(ends.where(longer).select("capture", "island"), ["capture", "island"]).groupBy("capture", "island")
-    starts = one.union(many.applyInPandas(_starts, "capture string, start_us long, island long"))
-    by = Window.partitionBy("capture").orderBy("start_us")  # a row a window of five seconds
-    return starts.select("capture", (F.row_number().over(by) - 1).cast("long").alias("window_id"), "start_us", F.lead("start_us").over(by).alias("next_us"))
+CHUNK_US = 300 * K.SECOND_US
+KEY = ["capture", "chunk"]
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("ts_us") / CHUNK_US).alias("chunk")
+
+
+def _jump(times: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the last window begins and how many there are, for windows that begin to open at these places of times."""
+    count = np.ones(len(at), np.int64)
+    while True:
+        after = np.searchsorted(times, times[at] + K.WINDOW_US)
+        alive = after < len(times)
+        if not alive.any():
+            return at, count
+        at, count = np.where(alive, after, at), count + alive
+
+
+def _exits(batches):
+    """Per chunk (capture, chunk, times): upto, exits, counts. Of the first window's possible openings up to upto[i] and after
+    upto[i - 1] each leads to a next one from exits[i] on, after counts[i] windows."""
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        cols: list[list] = [[], [], []]
+        for chunk, values in zip(batch.column(1).to_pylist(), batch.column(2)):
+            times = np.sort(values.values.to_numpy())
+            open_at = np.arange(min(int(np.searchsorted(times, chunk * CHUNK_US + K.WINDOW_US)) + 1, len(times)))
+            last, count = _jump(times, open_at)
+            keep = np.append((last[1:] != last[:-1]) | (count[1:] != count[:-1]), True)
+            for col, v in zip(cols, (times[open_at], times[last] + K.WINDOW_US, count)):
+                col.append(v[keep])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, longs) for c in cols]], names=[*KEY, "upto", "exits", "counts"])
+
+
+def _entries(batches):
+    """Follows a capture's chunks in order: from when a window may open in each, the number and start of the one before."""
+    capture, bound, number, start = object(), 0, 0, None
+    for batch in batches:
+        out: list[tuple] = []
+        for name, chunk, *lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+            upto, exits, counts = (x.values.to_numpy() for x in lists)
+            if name != capture:
+                capture, bound, number, start = name, int(upto[0]), 0, None
+            out.append((name, chunk, bound, number, start))
+            i = int(np.searchsorted(upto, bound))
+            if i < len(upto):
+                bound, number = int(exits[i]), number + int(counts[i])
+                start = bound - K.WINDOW_US
+        kinds = (batch.schema.field(0).type, *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[*KEY, "bound", "number", "start"])
+
+
+def _starts(batches):
+    """Per chunk (capture, chunk, times, bound): the starts of its own windows."""
+    for batch in batches:
+        out = []
+        for values, bound in zip(batch.column(2), batch.column(3).to_pylist()):
+            times, starts = np.sort(values.values.to_numpy()), []
+            at = int(np.searchsorted(times, bound))
+            while at < len(times):
+                starts.append(int(times[at]))
+                at = int(np.searchsorted(times, starts[-1] + K.WINDOW_US))
+            out.append(starts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=[*KEY, "starts"])
+
+
+def chunk_windows(packets: DataFrame) -> DataFrame:
+    """A row a chunk that has packets: capture, chunk, the number and start of the window that is open at its begin (null: none), and
+    the starts of its own windows."""
+    times = packets.groupBy("capture", _chunk()).agg(F.collect_set("ts_us").alias("times"))
+    kind = dict(packets.dtypes)["capture"]
+    exits = times.mapInArrow(_exits, f"capture {kind}, chunk long, upto array<long>, exits array<long>, counts array<long>")
+    entries = exits.repartition("capture").sortWithinPartitions(*KEY).mapInArrow(_entries, f"capture {kind}, chunk long, bound long, number long, start long")
+    own = times.join(entries.select(*KEY, "bound"), KEY).select(*KEY, "times", "bound").mapInArrow(_starts, f"capture {kind}, chunk long, starts array<long>")
+    return entries.select(*KEY, "number", "start").join(own, KEY)
 
 
 def anchored(packets: DataFrame) -> DataFrame:
-    """packets with window_id and window_us, the time of the window's first packet.
-
-    Within an island a window lasts less than two WINDOW_US, so it touches few cells of that length; windows and packets meet on
-    their cells in an equi-join.
-    """
-    cell = 2 * K.WINDOW_US
-    starts = window_starts(packets).withColumn("end_us", F.least(F.coalesce("next_us", F.col("start_us") + cell), F.col("start_us") + cell))
-    cells = starts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start_us") / cell), F.floor((F.col("end_us") - 1) / cell))))
-    p, w = packets.withColumn("cell", F.floor(F.col("ts_us") / cell)).alias("p"), cells.alias("w")
-    met = (F.col("p.capture") == F.col("w.capture")) & (F.col("p.cell") == F.col("w.cell")) & (F.col("p.ts_us") >= F.col("w.start_us")) & (F.col("p.ts_us") < F.col("w.end_us"))
-    return p.join(w, met).select("p.*", F.col("w.window_id"), F.col("w.start_us").alias("window_us")).drop("cell")
+    """packets with window_id (0, 1, ... within the capture) and window_us, the time of the window's first packet."""
+    met = packets.withColumn("chunk", _chunk()).join(chunk_windows(packets), KEY)
+    own = F.size(F.filter("starts", lambda s: s <= F.col("ts_us")))
+    met = met.withColumn("own", own).withColumn("window_id", F.col("number") + F.col("own") - 1)
+    return met.withColumn("window_us", F.coalesce(F.get("starts", F.col("own") - 1), F.col("start"))).select(*packets.columns, "window_id", "window_us")
 
 
 def fixed(packets: DataFrame, seconds: int = 5) -> DataFrame:

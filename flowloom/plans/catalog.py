@@ -17,6 +17,7 @@ from ..operators import labels as L
 from ..operators import policy as P
 from ..operators import windows as W
 from ..sources import adapters, alert_files
+from ..workspace import Workspace
 from . import analysis as AN
 from . import reports as R
 from .oracles import FEATURE_DOUBLES, FEATURE_LIST
@@ -37,6 +38,16 @@ def flw(s: SparkSession, d: str) -> DataFrame:
     return FL.flows(win(s, d))
 
 
+def kept(s: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A table that several branches of a query read."""
+    return Workspace(s, name).keep(df, "rows")
+
+
+def flows_once(s: SparkSession, d: str) -> DataFrame:
+    """Flows for queries that read them more than once."""
+    return kept(s, "flows", flw(s, d))
+
+
 def long(*cols: str) -> list:
     return [F.col(c).cast("long").alias(c) for c in cols]
 
@@ -97,7 +108,7 @@ def flow_features(s, d):
 
 @query
 def context_features(s, d):
-    return FL.context(flw(s, d)).select("window_id", "flow_seq", "ctx_src_flows", "ctx_src_ports", "ctx_src_dsts", F.round("ctx_flows_per_port", 6).alias("ctx_flows_per_port"), "ctx_dst_sources", F.round("ctx_reply_rate", 6).alias("ctx_reply_rate"))
+    return FL.context(flows_once(s, d)).select("window_id", "flow_seq", "ctx_src_flows", "ctx_src_ports", "ctx_src_dsts", F.round("ctx_flows_per_port", 6).alias("ctx_flows_per_port"), "ctx_dst_sources", F.round("ctx_reply_rate", 6).alias("ctx_reply_rate"))
 
 
 @query
@@ -122,12 +133,12 @@ def slow_connections(s, d):
 
 @query
 def slow_scan_edges(s, d):
-    return D.slow_scan(flw(s, d)).select("window_us", "src", "dst", "port", "flow_seq", *long("ports_seen"))
+    return D.slow_scan(flows_once(s, d)).select("window_us", "src", "dst", "port", "flow_seq", *long("ports_seen"))
 
 
 @query
 def dist_scan_edges(s, d):
-    return D.distributed_scan(flw(s, d)).select("window_us", "dst", "port", "flow_seq", *long("ports_seen"))
+    return D.distributed_scan(flows_once(s, d)).select("window_us", "dst", "port", "flow_seq", *long("ports_seen"))
 
 
 @query
@@ -141,7 +152,7 @@ def slowloris_alerts(s, d):
 
 
 def labelled(s, d):
-    return L.campaigns(L.rule_verdict(flw(s, d)))
+    return L.campaigns(L.rule_verdict(flows_once(s, d)))
 
 
 @query
@@ -192,10 +203,11 @@ def alert_policy(s, d):
 @query
 def detect(s, d):
     """All detectors, labels and the policy over one capture. Nine branches read the windowed packets and the flows, so both are kept."""
-    p = win(s, d).persist()
-    f = FL.flows(p).persist()
-    scored = L.rule_verdict(f)
-    out = L.with_unsure(P.apply_policy(A.unified(p, f, scored)), L.campaigns(scored))
+    work = Workspace(s, "detect")
+    p = work.keep(win(s, d), "packets")
+    f = work.keep(FL.flows(p), "flows")
+    labelled = work.keep(L.campaigns(L.rule_verdict(f)), "labels")
+    out = L.with_unsure(P.apply_policy(A.unified(p, f, labelled)), labelled)
     return out.select("window_id", "kind", "source", "destination", "num_flows", "num_ports", "confidence", "description", "family", "notified", "suppressed_repeats", F.col("model_unsure.verdict").alias("unsure"))
 
 
@@ -318,7 +330,7 @@ def profile_medians(s, d):
 
 @query
 def class_means(s, d):
-    return L.rule_verdict(flw(s, d)).groupBy("verdict").agg(F.count("*").alias("flows"), *[F.round(F.avg(c), 6).alias(c) for c in ("total_fwd_packets", "fwd_bytes", "duration")])
+    return L.rule_verdict(flw(s, d)).groupBy("verdict").agg(F.count("*").alias("flows"), *[F.round(F.avg(c), 6).alias(c) for c in ("total_fwd_packets", "fwd_bytes")], F.round(X.mean("duration"), 6).alias("duration"))
 
 
 @query
@@ -370,7 +382,7 @@ def rf_predict(s, d):
     """Share right and mean confidence of a forest on held-out flows, by label."""
     from ..ml import classify as C
 
-    rows = C.stratified(dataset(s, d), "label", 0.75).persist()
+    rows = kept(s, "rf-predict", C.stratified(dataset(s, d), "label", 0.75))
     features = FL.feature_set("D")
     model = C.fit(rows.where("part = 'train'"), features, trees=20, depth=8)
     got = C.predict(model, rows.where("part = 'test'"))
@@ -382,7 +394,7 @@ def iforest_flags(s, d):
     """Flag rate of an isolation forest on the earlier half of normal flows, over all flows by label."""
     from ..ml.forest import IsolationForest
 
-    rows = dataset(s, d).persist()
+    rows = kept(s, "iforest", dataset(s, d))
     model = IsolationForest.fit(rows.where("label = 'normal'"), FL.feature_set("D"))
     return rows.groupBy("label").agg(F.count("*").alias("flows"), F.round(100 * F.avg(model.flags().cast("double")), 6).alias("flag_rate"))
 
@@ -403,8 +415,8 @@ PROFILE = ["packets", "fwd_bytes", "duration", "pkt_len_mean"]
 
 @query
 def nearest_profile(s, d):
-    f = flw(s, d)
-    got = AN.nearest_profile(f.where("src = '10.0.2.1'"), f.where("src <> '10.0.2.1' AND src LIKE '10.0.%.1'"), "src", PROFILE)
+    f = flows_once(s, d)
+    got = AN.nearest_profile(f.where("src = '10.0.2.1'"), f.where("src <> '10.0.2.1'"), "src", PROFILE)
     return got.select("feature", F.round("target", 6).alias("target"), "nearest", "outside")
 
 
@@ -443,10 +455,10 @@ def packet_lines(s, d):
 
 @query
 def window_growth(s, d):
-    """Packets of each window against the one before, within ten-minute stretches of one capture."""
-    w = win(s, d).groupBy("capture", "window_id", "window_us").agg(F.count("*").alias("packets"))
-    before = F.lag("packets").over(Window.partitionBy("capture", F.floor(F.col("window_us") / (600 * K.SECOND_US))).orderBy("window_id"))
-    return w.select("window_id", "packets", F.round(F.col("packets") / before, 6).alias("ratio"))
+    """Packets of each window against the capture's window before: windows are numbered, so that is a join on the number."""
+    w = kept(s, "growth", win(s, d).groupBy("capture", "window_id").agg(F.count("*").alias("packets")))
+    before = w.select("capture", (F.col("window_id") + 1).alias("window_id"), F.col("packets").alias("before"))
+    return w.join(before, ["capture", "window_id"], "left").select("window_id", "packets", F.round(F.col("packets") / F.col("before"), 6).alias("ratio"))
 
 
 @query

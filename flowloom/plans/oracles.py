@@ -41,7 +41,7 @@ o AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER q <= CASE WHEN kind LIKE '%slow%
 ss AS (SELECT *, sum(opens) OVER (PARTITION BY src, kind ORDER BY t_us, event_id) AS session FROM o),
 d AS (SELECT src, kind, session, dst, min(event_id) AS first_id FROM ss GROUP BY ALL),
 dd AS (SELECT src, kind, session, string_agg(dst, ',' ORDER BY first_id) AS destinations FROM d GROUP BY ALL),
-m AS (SELECT src, kind, session, count(*) AS alert_count, avg(confidence) AS confidence, min(t_us) AS first_us, max(t_us) AS last_us FROM ss GROUP BY ALL),
+m AS (SELECT src, kind, session, count(*) AS alert_count, sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(confidence) / 1e6 AS confidence, min(t_us) AS first_us, max(t_us) AS last_us FROM ss GROUP BY ALL),
 inc AS (SELECT m.*, destinations, {CASE_SEVERITY} AS severity FROM m JOIN dd USING (src, kind, session))"""
 SCORED = f"""{FLOWS},
 sc AS (SELECT *, CASE WHEN proto = 'UDP' THEN CASE WHEN replied THEN 'normal' ELSE 'udp_scan' END WHEN syn_count > 0 AND ack_count = 0 AND dport = 80 THEN 'syn_flood' WHEN syn_count > 0 AND ack_count = 0 THEN 'scan'
@@ -49,7 +49,7 @@ sc AS (SELECT *, CASE WHEN proto = 'UDP' THEN CASE WHEN replied THEN 'normal' EL
 atk AS (SELECT *, CASE WHEN verdict <> 'normal' THEN verdict ELSE 'anomaly' END AS reason, CASE WHEN verdict <> 'normal' THEN conf END AS c FROM sc WHERE verdict <> 'normal' OR flow_seq % 7 = 0),
 v AS (SELECT window_id, src, dst, reason, count(*) AS n, min(flow_seq) AS seq FROM atk GROUP BY ALL),
 tv AS (SELECT window_id, src, dst, reason AS main FROM v QUALIFY row_number() OVER (PARTITION BY window_id, src, dst ORDER BY n DESC, seq) = 1),
-cg AS (SELECT window_id, window_us, src, dst, count(*) AS num_flows, count(DISTINCT dport) AS num_ports, round(avg(c), 3) AS confidence, min(flow_seq) AS first_seq FROM atk GROUP BY ALL),
+cg AS (SELECT window_id, window_us, src, dst, count(*) AS num_flows, count(DISTINCT dport) AS num_ports, round(sum(CAST(round(c * 1e6) AS BIGINT)) / count(c) / 1000.0) / 1000.0 AS confidence, min(flow_seq) AS first_seq FROM atk GROUP BY ALL),
 lab AS (SELECT cg.*, main AS verdict, CASE WHEN main = 'anomaly' AND num_flows >= 5 THEN 'anomaly' WHEN main = 'udp_scan' AND num_flows >= 5 THEN 'udp_scan' WHEN main = 'syn_flood' AND num_flows > 10 AND num_ports <= 3 THEN 'syn_flood'
   WHEN main = 'dos' AND num_flows > 10 AND (num_ports <= 3 OR num_flows / num_ports >= 5) THEN 'dos' WHEN main = 'scan' AND num_flows >= 5 AND num_flows / num_ports <= 3 THEN 'port_scan' WHEN num_ports >= 10 THEN 'port_scan'
   WHEN num_flows > 10 AND num_ports <= 3 THEN 'brute_force' WHEN num_flows >= 5 THEN 'suspicious' END AS kind FROM cg JOIN tv USING (window_id, src, dst))"""
@@ -129,14 +129,14 @@ SELECT event_id, d.src AS source, d.dst AS destination, s.t_us IS NOT NULL AS no
     "protocol_counts": f"WITH {PACKETS} SELECT coalesce(proto, 'other') AS proto, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM p GROUP BY ALL",
     "top_ports": f"WITH {PACKETS} SELECT dport, count(*) AS packets FROM p WHERE dport IS NOT NULL GROUP BY dport ORDER BY packets DESC, dport LIMIT 10",
     "profile_medians": f"{FLOWS} SELECT src, CAST(quantile_cont(packets, 0.5) AS DOUBLE) AS packets, round(quantile_cont(duration, 0.5), 6) AS duration, CAST(quantile_cont(fwd_bytes, 0.5) AS DOUBLE) AS fwd_bytes FROM f GROUP BY src",
-    "class_means": f"{SCORED} SELECT verdict, count(*) AS flows, round(avg(total_fwd_packets), 6) AS total_fwd_packets, round(avg(fwd_bytes), 6) AS fwd_bytes, round(avg(duration), 6) AS duration FROM sc GROUP BY verdict",
+    "class_means": f"{SCORED} SELECT verdict, count(*) AS flows, round(avg(total_fwd_packets), 6) AS total_fwd_packets, round(avg(fwd_bytes), 6) AS fwd_bytes, round(sum(CAST(round(duration * 1e6) AS BIGINT)) / count(duration) / 1e6, 6) AS duration FROM sc GROUP BY verdict",
     "confusion_counts": f"{SCORED} SELECT proto AS actual, verdict AS predicted, count(*) AS flows FROM sc GROUP BY ALL",
     "time_split_holdout": f"{FLOWS}, r AS (SELECT flow_seq, row_number() OVER (ORDER BY window_us, flow_seq) AS rn, count(*) OVER () AS n FROM f) SELECT flow_seq, CASE WHEN rn <= floor(n * 0.5) THEN 'train' ELSE 'holdout' END AS part FROM r",
     "capped_sample": f"{FLOWS}, r AS (SELECT flow_seq, src, row_number() OVER (PARTITION BY src ORDER BY (flow_seq * 48271 + 42) % 2147483647, flow_seq) AS rn FROM f) SELECT flow_seq, src FROM r WHERE rn <= 100",
     "normalise_alerts": """WITH j AS (SELECT event_id, user_id, event_type, value, event_id % 5 AS v FROM events WHERE event_id % 7 NOT IN (5, 6))
 SELECT event_id, CASE v WHEN 4 THEN 'unknown' ELSE concat('10.0.0.', CAST(user_id % 20 AS STRING)) END AS src, CASE WHEN v IN (0, 1) THEN concat('192.168.1.', CAST(user_id % 4 AS STRING)) ELSE 'unknown' END AS dst, lower(event_type) AS kind,
 CASE v WHEN 0 THEN 1704067200.0 + event_id WHEN 1 THEN 1704067200.0 + event_id WHEN 2 THEN 1704067200.0 WHEN 3 THEN 1704067200.0 ELSE 0.0 END AS seconds, CASE WHEN v IN (0, 2) THEN round(value - floor(value), 2) END AS confidence FROM j""",
-    "nearest_profile": f"""{FLOWS}, ff AS (SELECT src, CAST(packets AS DOUBLE) AS packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, round(duration, 4) AS duration, CAST(pkt_len_mean AS DOUBLE) AS pkt_len_mean FROM f WHERE src LIKE '10.0.%.1'),
+    "nearest_profile": f"""{FLOWS}, ff AS (SELECT src, CAST(packets AS DOUBLE) AS packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, round(duration, 4) AS duration, CAST(pkt_len_mean AS DOUBLE) AS pkt_len_mean FROM f),
 u AS (UNPIVOT ff ON packets, fwd_bytes, duration, pkt_len_mean INTO NAME feature VALUE v), m AS (SELECT src, feature, quantile_cont(v, 0.5) AS med FROM u GROUP BY ALL),
 tg AS (SELECT feature, med AS target FROM m WHERE src = '10.0.2.1'), kn AS (SELECT * FROM m WHERE src <> '10.0.2.1')
 SELECT feature, round(target, 6) AS target, arg_min(src, (abs(med - target), src)) AS nearest, target < min(med) OR target > max(med) AS outside FROM kn JOIN tg USING (feature) GROUP BY feature, target""",
@@ -149,7 +149,7 @@ SELECT count(*) AS packets, count(*) FILTER (WHERE src <> fsrc) AS real_replies,
     "probe_ports": f"{WINDOWS} SELECT window_id, src, dst, count(DISTINCT dport) AS ports, count(DISTINCT dport) FILTER (WHERE flags & 16 = 0) AS probe_ports, count(DISTINCT dport) FILTER (WHERE dport >= 32768) AS ephemeral FROM w WHERE proto = 'TCP' GROUP BY ALL",
     "session_summary": f"{WINDOWS} SELECT count(*) AS packets, count(DISTINCT window_id) AS windows, round((max(ts_us) - min(ts_us)) / 3.6e9, 6) AS hours FROM w",
     "packet_lines": f"WITH {PACKETS} SELECT pkt_no, concat(coalesce(proto, 'other'), ' ', src, CASE WHEN sport IS NOT NULL THEN concat(':', sport) ELSE '' END, ' -> ', dst, CASE WHEN dport IS NOT NULL THEN concat(':', dport) ELSE '' END, ' ', frame_len, ' bytes') AS line FROM p",
-    "window_growth": f"{WINDOWS}, c AS (SELECT window_id, window_us, count(*) AS packets FROM w GROUP BY ALL) SELECT window_id, packets, round(packets / lag(packets) OVER (PARTITION BY CAST(floor(window_us / 600000000) AS BIGINT) ORDER BY window_id), 6) AS ratio FROM c",
+    "window_growth": f"{WINDOWS}, c AS (SELECT window_id, window_us, count(*) AS packets FROM w GROUP BY ALL) SELECT window_id, packets, round(packets / lag(packets) OVER (ORDER BY window_id), 6) AS ratio FROM c",
     "unsure_incidents": f"{INCIDENTS} SELECT src, kind, first_us, CASE WHEN kind = 'anomaly' THEN 'anomaly' WHEN confidence IS NULL THEN 'tracker' ELSE 'model' END AS layer, EXISTS (SELECT 1 FROM a WHERE a.src = inc.src AND a.kind = inc.kind AND a.confidence < 0.1) AS unsure FROM inc",
     "family_counts": f"WITH {ALERTS} SELECT CASE WHEN kind IN ('port_scan', 'slow_scan') THEN 'recon' WHEN kind = 'brute_force' THEN 'access' WHEN kind = 'dos' THEN 'flood' ELSE 'anomaly' END AS family, count(*) AS alerts, count(*) FILTER (WHERE notified) AS notified FROM a GROUP BY ALL",
     "evaluation_totals": f"WITH {ALERTS}, ex(capture, expected) AS (VALUES ('cap0', 'port_scan'), ('cap1', 'brute_force'), ('cap2', 'dos'), ('cap3', 'port_scan'), ('cap9', 'slowloris')), e AS (SELECT ex.capture, count(event_id) AS logged, count(*) FILTER (WHERE notified) AS notified, count(event_id) > 0 AS detected, coalesce(bool_or(kind = expected), false) AS correct, coalesce(bool_or(kind = expected AND notified), false) AS correct_shown FROM ex LEFT JOIN a USING (capture) GROUP BY ALL) SELECT count(*) AS captures, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct_shown) AS shown, CAST(sum(logged) AS BIGINT) AS logged, CAST(sum(notified) AS BIGINT) AS notified FROM e",
