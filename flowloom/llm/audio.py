@@ -5,8 +5,10 @@ A recording is 16-bit mono PCM in WAV. Frames of its spectrum are folded to twel
 a frame's sixteen make one 32-bit integer. Two recordings align where their equal integers agree on one offset: votes are
 counted by offset, and the best offset is verified by the share of differing bits over the overlap.
 
-Recordings with equal fingerprints are one class, searched once. An integer that more than `HOT` classes hold isn't joined:
-the classes that hold it are dealt to blocks of bounded size and compared there bit by bit, so no pair is lost.
+Recordings with equal fingerprints are one class, searched once. A pair of a query and a class that share an integer is compared
+in one way, whichever integer brought them together: the histogram of offsets over all their equal integers gives the offset. An
+integer that more than `HOT` classes hold isn't joined: the classes that hold it are dealt to blocks of bounded size and meet the
+queries there, so no pair is lost and no result depends on `HOT`.
 """
 
 from __future__ import annotations
@@ -139,6 +141,20 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))
 
 
+def offset_of(a: np.ndarray, b: np.ndarray) -> int:
+    """Where b's frames less a's agree most often on equal integers; of ties the offset nearest to none, then the smaller."""
+    i, j = np.nonzero(a[:, None] == b[None, :])
+    offsets, votes = np.unique(j - i, return_counts=True)
+    return int(offsets[np.lexsort((offsets, np.abs(offsets), -votes))[0]])
+
+
+def aligned(query: int, a: np.ndarray, other: int, b: np.ndarray, error: float) -> list[tuple]:
+    """The row of ALIGNED of two fingerprints that share an integer, if they match."""
+    offset = offset_of(a, b)
+    n, e = bit_error(a, b, offset)
+    return [(query, other, offset, n, e)] if n >= OVERLAP * len(a) and e <= error else []
+
+
 ALIGNED = "query long, class long, offset int, overlap int, error double"
 
 
@@ -156,44 +172,38 @@ def search(prints: DataFrame, queries: DataFrame, error: float = ERROR) -> DataF
     heavy = work.keep(entries.select("class", "v").distinct().groupBy("v").count().where(F.col("count") > HOT).select("v", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
     crowded = heavy.limit(1).count() > 0
     cold = (lambda x: x.join(heavy.select("v"), "v", "left_anti")) if crowded else (lambda x: x)
-    votes = cold(probes).join(entries, "v").groupBy("query", "class", (F.col("b") - F.col("a")).alias("offset")).count()
-    best = votes.groupBy("query", "class").agg(F.max_by("offset", F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("offset"))
-    pairs = best.join(asked.selectExpr("query", "fp AS x"), "query").join(classes.selectExpr("class", "fp AS y"), "class")
+    met = cold(probes).join(entries, "v").select("query", "class").distinct()
+    pairs = met.join(asked.selectExpr("query", "fp AS x"), "query").join(classes.selectExpr("class", "fp AS y"), "class")
 
     def verify(it):
         for batch in it:
             rows = []
-            for r in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4)):
-                x = r[3].values.to_numpy().view(np.uint32)
-                n, e = bit_error(x, r[4].values.to_numpy().view(np.uint32), r[2])
-                if n >= OVERLAP * len(x) and e <= error:
-                    rows.append((r[0], r[1], r[2], n, e))
+            for q, c, x, y in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3)):
+                rows += aligned(q, x.values.to_numpy().view(np.uint32), c, y.values.to_numpy().view(np.uint32), error)
             yield _aligned(rows)
 
-    found = pairs.select("query", "class", "offset", "x", "y").mapInArrow(verify, ALIGNED)
+    found = pairs.select("query", "class", "x", "y").mapInArrow(verify, ALIGNED)
     if crowded:
         salt = lambda c: F.pmod(F.xxhash64(c), "blocks")
-        held = entries.join(heavy, "v").withColumn("i", salt("class")).join(classes.select("class", "fp"), "class")
-        held = held.groupBy("v", "i").agg(F.collect_list(F.struct("class", "b", "fp")).alias("es"))
+        held = entries.select("class", "v").distinct().join(heavy, "v").withColumn("i", salt("class")).join(classes.select("class", "fp"), "class")
+        held = held.groupBy("v", "i").agg(F.collect_list(F.struct("class", "fp")).alias("es"))
         # Queries of a hot integer go to each of its blocks, a block of them at a time.
-        q = probes.join(heavy, "v").withColumn("j", salt("query")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-        q = q.join(asked.select("query", "fp"), "query").groupBy("v", "i", "j").agg(F.collect_list(F.struct("query", "a", "fp")).alias("qs"))
+        q = probes.select("query", "v").distinct().join(heavy, "v").withColumn("j", salt("query")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        q = q.join(asked.select("query", "fp"), "query").groupBy("v", "i", "j").agg(F.collect_list(F.struct("query", "fp")).alias("qs"))
 
         def compare(it):
             array = lambda x: np.array(x, np.int32).view(np.uint32)
             for batch in it:
                 for qs, es in zip(*(c.to_pylist() for c in batch.columns)):
-                    es, rows = [(e["class"], e["b"], array(e["fp"])) for e in es], []
+                    es, rows = [(e["class"], array(e["fp"])) for e in es], []
                     for q in qs:
                         x = array(q["fp"])
-                        for c, b, y in es:
-                            n, e = bit_error(x, y, b - q["a"])
-                            if n >= OVERLAP * len(x) and e <= error:
-                                rows.append((q["query"], c, b - q["a"], n, e))
+                        for c, y in es:
+                            rows += aligned(q["query"], x, c, y, error)
                     yield _aligned(rows)
 
         found = found.union(q.join(held, ["v", "i"]).select("qs", "es").mapInArrow(compare, ALIGNED))
-        found = found.groupBy("query", "class").agg(F.min_by(F.struct("offset", "overlap", "error"), F.struct("error", -F.col("overlap"), "offset")).alias("m")).select("query", "class", "m.*")
+        found = found.distinct()  # a pair that several integers bring together gives one row, each time the same
     with large_rows(prints.sparkSession):
         found = work.keep(found, "found")
     return found.join(classes.select("class", "copies"), "class").select("query", "class", "copies", "offset", "overlap", "error")
@@ -237,7 +247,9 @@ def rendered(vectors: DataFrame, excerpt: bool = False) -> DataFrame:
                 part = batch.slice(at, 64)
                 yield batches({"id": part.column(0), "audio": pa.array([sound(x) for x in part.column(1).to_pylist()], pa.binary())})
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(work, "id long, audio binary")
+    # Few files of small rows become much work: rows are dealt to all tasks first.
+    dealt = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(work, "id long, audio binary")
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

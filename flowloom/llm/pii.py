@@ -3,8 +3,10 @@
 Base patterns give spans that always stay. Further candidates (other formats of the kinds, names, identity and account
 numbers, secrets) and the base spans are voted on by labelers: format, gazetteer, context, shape. Expectation-maximisation
 over the counts of vote patterns estimates each labeler's reliability (how it votes on true and on false spans) and each
-pattern's probability; a logistic regression on span features is trained on those probabilities and decides on the further
-candidates. Vote patterns and feature combinations are a few hundred at most, whatever the input.
+pattern's probability; a logistic regression is trained on those probabilities and decides on the further candidates. Beside the
+votes it sees what no labeler looks at: the words on either side (hashed to `BUCKETS`), length, capitals and the share of digits. Vote
+patterns are 81 at most and go to the driver; candidates are counted by their features, of which there are finitely many, whatever
+the input.
 
 Spans count code points. Regular expressions use possessive or plain character loops only, so that Java's matcher neither
 recurses nor rescans on very long runs.
@@ -25,16 +27,21 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Further candidates: (kind, pattern).
 EXTRA = (
-    ("secret", r"(?i:token|secret|password|passwd|api[_-]key) ?[=:] ?\x22[^\x22\n]{8,200}\x22"),
+    ("secret", r"(?i:token|secret|password|passwd|api[_-]key) ?[=:] ?\x22[^\x22\n]{8,}+\x22"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63} ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,10}"),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
-    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
+    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]++(?: [A-Z][a-z]++)?"),
 )
 #: Gazetteers.
-TOP_DOMAINS = "com org net edu gov io info eu de fr es uk it nl ch at".split()
-GIVEN_NAMES = "james mary john anna peter paul maria thomas michael laura david sarah jean pierre hans karl jose carmen".split()
+TOP_DOMAINS = "com org net edu gov mil int io info biz dev app ai co me tv eu de fr es uk it nl be ch at lu ie pt pl cz sk hu ro bg gr se no dk fi ee lv lt ru ua tr il in cn jp kr au nz ca us mx br ar cl za".split()
+GIVEN_NAMES = (
+    "james mary john anna peter paul maria thomas michael laura david sarah robert linda william elizabeth richard barbara joseph susan charles jessica christopher karen daniel nancy matthew lisa mark betty "
+    "steven margaret andrew sandra george emily edward donna brian carol kevin amanda jason rachel eric janet stephen helen jean pierre jacques marie claire sophie luc michel philippe nicolas isabelle camille julie "
+    "hans karl jurgen wolfgang klaus stefan andreas markus heike petra monika ursula sabine greta jose carmen juan luis carlos miguel pedro antonio francisco manuel lucia isabel ana elena rosa pilar diego pablo javier "
+    "ivan olga dmitri natasha sergei ahmed fatima omar aisha mohammed wei li chen ying yuki hiroshi kenji priya raj amit sanjay giovanni giulia marco francesca lars erik ingrid sven"
+).split()
 #: Words before a span that speak for (by kind) or against personal data.
 FOR = {"email": "mail|contact|write|reach", "ip": r"\bip\b|host|address|server", "card": "card|visa|payment|credit", "phone": "call|tel|phone|fax|mobile", "id": "ssn|social|identity|passport", "iban": "iban|account|bank", "name": "dear|signed|patient|by", "secret": "key|token|secret|password"}
 AGAINST = r"version|isbn|issn|order|figure|page|example|release|build"
@@ -42,6 +49,8 @@ VOTERS = ("format", "gazetteer", "context", "shape")
 MARK, OTHER = "\ue000", "\ue001"  # private-use characters; the first is replaced by the second in texts
 CONTEXT = 40
 PRIOR = 0.5
+#: Hash buckets of the word before and the word after a span; 0 is for none.
+BUCKETS = 16
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -75,7 +84,7 @@ def _spans(parts: Column, kind: str) -> Column:
 
     def made(ends: Column) -> Column:
         at = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.lit(kind).alias("kind"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("stop"), F.get(parts, i).alias("match"), F.right(F.get(parts, i - 1), F.lit(CONTEXT)).alias("before")))
+        return F.transform(at, lambda i: F.struct(F.lit(kind).alias("kind"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("stop"), F.get(parts, i).alias("match"), F.right(F.get(parts, i - 1), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("after")))
 
     # One pass over a one-element array binds the running sum to a name.
     return F.flatten(F.transform(F.array(ends), made))
@@ -125,38 +134,50 @@ def _voted(s: Column) -> Column:
     context = three(spoken, before.rlike(AGAINST))
     variety = F.size(F.array_distinct(F.split(F.regexp_replace(low, "[^0-9a-z]", ""), "")))
     shape = three(variety >= 5, variety <= 3)
-    return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"), s.base.alias("base"), style.alias("format"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"), F.least(F.lit(4), F.floor((s.stop - s.start) / 8)).cast("int").alias("length"))
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with a column `cands`: base spans and further candidates (none that overlaps a base span), with their votes."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER)
-    out = docs.withColumn("_t", text)
+    bucket = lambda w: F.when(w == "", 0).otherwise(1 + F.crc32(w) % BUCKETS).cast("int")
+    unseen = {
+        "length": F.least(F.lit(4), F.floor((s.stop - s.start) / 8)), "digits": F.floor(F.length(digits) * 2 / F.length(x)), "capitals": x.rlike("[A-Z]").cast("int"),
+        "previous": bucket(F.regexp_extract(before, r"([a-z]+)[^a-z]*$", 1)), "next": bucket(F.regexp_extract(F.lower(s.after), r"^[^a-z]*([a-z]+)", 1)),
+    }
+    return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"), s.base.alias("base"), style.alias("format"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"), *[v.cast("int").alias(k) for k, v in unseen.items()])
+
+
+def _own(docs: DataFrame) -> str:
+    """A beginning of names that no column of docs has, for helper columns."""
+    name = "_"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
+
+
+def candidates(docs: DataFrame, name: str = "cands") -> DataFrame:
+    """docs with a column of that name: base spans and further candidates (none that overlaps a base span), with their votes."""
+    text, own = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER), _own(docs)
+    t = F.col(f"{own}t")
+    out = docs.withColumn(f"{own}t", text)
     none = F.array(F.lit(""))
-    tests = {"email": F.instr("_t", "@") > 0, "ip": F.col("_t").rlike(r"[0-9]\.[0-9]"), "card": F.col("_t").rlike("[0-9](?:[ -]?[0-9]){15}"), "phone": F.instr("_t", "+") > 0}
-    for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)):
-        out = out.withColumn(f"_{kind}", F.when(tests[kind], _found(F.col("_t"), pattern)).otherwise(none))
+    tests = {"email": F.instr(t, "@") > 0, "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9](?:[ -]?[0-9]){15}"), "phone": F.instr(t, "+") > 0}
     either = "|".join(f"(?:{p})" for _, p in EXTRA)
-    out = out.withColumn("_extra", _found(F.col("_t"), either))
-    base = lambda kind: F.filter(_spans(F.col(f"_{kind}"), kind), lambda s: _valid(kind, s.match))
-    out = out.withColumn("_base", F.concat(*[base(k) for k in KINDS[:4]]))
-    kind_of = F.lit(EXTRA[-1][0])
+    cut = {f"{own}{kind}": F.when(tests[kind], _found(t, pattern)).otherwise(none) for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))}
+    out = out.withColumns(cut | {f"{own}extra": _found(t, either)})
+    base = lambda kind: F.filter(_spans(F.col(f"{own}{kind}"), kind), lambda s: _valid(kind, s.match))
+    out = out.withColumn(f"{own}base", F.concat(*[base(k) for k in KINDS[:4]]))
 
     def named(s: Column) -> Column:
-        kind = kind_of
+        kind = F.lit(EXTRA[-1][0])
         for k, p in EXTRA[-2::-1]:
             kind = F.when(s.match.rlike(f"^(?:{p})"), k).otherwise(kind)
-        return F.struct(kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"), s.match.alias("match"), s.before.alias("before"))
+        return F.struct(kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"), s.match.alias("match"), s.before.alias("before"), s.after.alias("after"))
 
-    extra = F.transform(_spans(F.col("_extra"), "-"), named)
-    out = out.withColumn("_more", F.filter(extra, lambda s: ~F.exists("_base", lambda b: (b.start < s.stop) & (s.start < b.stop))))
+    extra = F.transform(_spans(F.col(f"{own}extra"), "-"), named)
+    out = out.withColumn(f"{own}more", F.filter(extra, lambda s: ~F.exists(f"{own}base", lambda b: (b.start < s.stop) & (s.start < b.stop))))
     flagged = lambda base: lambda s: _voted_row(s, base)
-    return out.withColumn("cands", F.concat(F.transform("_base", flagged(True)), F.transform("_more", flagged(False)))).select(*docs.columns, "cands")
+    return out.select(*docs.columns, F.concat(F.transform(f"{own}base", flagged(True)), F.transform(f"{own}more", flagged(False))).alias(name))
 
 
 def _voted_row(s: Column, base: bool) -> Column:
     class Span:  # a span's fields, with `base` known
-        kind, start, stop, match, before = s.kind, s.start, s.stop, s.match, s.before
+        kind, start, stop, match, before, after = s.kind, s.start, s.stop, s.match, s.before, s.after
 
     Span.base = F.lit(base)
     return _voted(Span)
@@ -191,35 +212,35 @@ def em(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[dic
     return belief, share, table
 
 
-FEATURES = (*(f"kind_{k}" for k in KINDS), "format", "gazetteer", "context", "shape", "length")
+#: What the classifier sees of a span beside its kind and the votes: numbers, and codes of which each has a weight of its own.
+NUMBERS, CODES = ("length", "digits", "capitals"), {"previous": BUCKETS + 1, "next": BUCKETS + 1}
+FEATURES = (*(f"kind_{k}" for k in KINDS), *VOTERS, *NUMBERS, *(f"{c}_{i}" for c, n in CODES.items() for i in range(n)))
 
 
-def classifier(cands: DataFrame) -> dict[str, float]:
+def classifier(cands: DataFrame, name: str = "cands") -> dict[str, float]:
     """Weights of the span classifier (with "bias"), trained on the votes of a table of candidates; empty without candidates."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    spans = cands.select(F.explode("cands").alias("s")).groupBy("s.kind", *[f"s.{v}" for v in VOTERS], "s.length").count()
-    rows = [r.asDict() for r in spans.collect()]  # kinds x 3^4 votes x 5 lengths at most
-    if not rows:
+    keys = ["kind", *VOTERS, *NUMBERS, *CODES]
+    spans = cands.select(F.explode(name).alias("s")).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).count()
+    spans = Workspace(cands.sparkSession, "pii-spans").keep(spans, "spans")
+    votes = spans.groupBy(*VOTERS).agg(F.sum("count").alias("n")).collect()  # 3 ** 4 rows at most
+    if not votes:
         return {}
-    patterns: dict[tuple[int, ...], int] = {}
-    for r in rows:
-        v = tuple(r[x] for x in VOTERS)
-        patterns[v] = patterns.get(v, 0) + r["count"]
-    belief, _, _ = em(sorted(patterns.items()))
-    spark = cands.sparkSession
-    data = []
-    for r in sorted(rows, key=lambda r: tuple(str(x) for x in r.values())):
-        p = belief[tuple(r[x] for x in VOTERS)]
-        x = [float(r["kind"] == k) for k in KINDS] + [float(r[v]) for v in VOTERS] + [float(r["length"])]
-        data += [(1.0, p * r["count"], *x), (0.0, (1 - p) * r["count"], *x)]
-    frame = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(spark.createDataFrame(data, ["label", "weight", *FEATURES]))
-    model = LogisticRegression(regParam=0.001, weightCol="weight", maxIter=100).fit(frame.coalesce(1))
+    belief, _, _ = em(sorted((tuple(r[v] for v in VOTERS), r["n"]) for r in votes))
+    told = F.create_map(*[x for v, p in belief.items() for x in (F.lit("|".join(map(str, v))), F.lit(float(p)))])
+    p = F.element_at(told, F.concat_ws("|", *[F.col(v).cast("string") for v in VOTERS]))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (p * F.col("count")).alias("weight")), F.struct(F.lit(0.0).alias("label"), ((1 - p) * F.col("count")).alias("weight"))))
+    is_ = lambda c: c.cast("double")
+    columns = {f"kind_{k}": is_(F.col("kind") == k) for k in KINDS} | {c: is_(F.col(c)) for c in (*VOTERS, *NUMBERS)} | {f"{c}_{i}": is_(F.col(c) == i) for c, n in CODES.items() for i in range(n)}
+    data = spans.withColumn("both", both).select("both.label", "both.weight", *[columns[f].alias(f) for f in FEATURES])
+    frame = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data.orderBy(*FEATURES, "label").coalesce(1))
+    model = LogisticRegression(regParam=0.001, weightCol="weight", maxIter=100).fit(frame)
     return dict(zip(FEATURES, map(float, model.coefficients))) | {"bias": float(model.intercept)}
 
 
-def _chosen(weights: dict[str, float]) -> Column:
+def _chosen(weights: dict[str, float], name: str) -> Column:
     """Spans (kind, start, stop, base) that stay, by kind as listed, then start."""
 
     def stays(s: Column) -> Column:
@@ -228,30 +249,37 @@ def _chosen(weights: dict[str, float]) -> Column:
         score = F.lit(weights["bias"])
         for k in KINDS:
             score = score + F.when(s.kind == k, weights[f"kind_{k}"]).otherwise(0.0)
-        for v in (*VOTERS, "length"):
+        for v in (*VOTERS, *NUMBERS):
             score = score + s[v] * weights[v]
+        for c, n in CODES.items():
+            score = score + F.get(F.array(*[F.lit(weights[f"{c}_{i}"]) for i in range(n)]), s[c])
         return s.base | (score >= 0)
 
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    keyed = F.transform(F.filter("cands", stays), lambda s: F.struct(F.element_at(order, s.kind).alias("rank"), s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"), s.base.alias("base")))
+    keyed = F.transform(F.filter(name, stays), lambda s: F.struct(F.element_at(order, s.kind).alias("rank"), s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"), s.base.alias("base")))
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"), s.base.alias("base")))
 
 
+def _with_spans(docs: DataFrame, name: str) -> DataFrame:
+    cands = f"{_own(docs)}cands"
+    kept = Workspace(docs.sparkSession, "pii").keep(candidates(docs, cands), "cands")
+    return kept.withColumn(name, _chosen(classifier(kept, cands), cands)).drop(cands)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """docs with a column `spans`: array of (kind, start, stop in code points, base).
 
-    Null text: no spans. Nulls, repeated rows and further columns of docs pass through; a column named spans or cands, or
-    one that begins with an underscore as the helper columns do, is replaced. An empty table gives an empty one.
+    Null text: no spans. Nulls, repeated rows and further columns of docs pass through, whatever their names; only a column named
+    spans is replaced. An empty table gives an empty one.
     """
-    work = Workspace(docs.sparkSession, "pii")
-    cands = work.keep(candidates(docs.drop("spans", "cands")), "cands")
-    return cands.withColumn("spans", _chosen(classifier(cands))).drop("cands")
+    return _with_spans(docs.drop("spans"), "spans")
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs whose text has [KIND] in place of each span; of spans that overlap the first names the kind."""
-    found = find(docs)
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"))))
+    """docs whose text has [KIND] in place of each span; of spans that overlap the first names the kind. Other columns stay."""
+    name = f"{_own(docs)}spans"
+    found = _with_spans(docs, name)
+    spans = F.array_sort(F.transform(name, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -259,7 +287,7 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out"))
 
     end = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring("text", acc.at.cast("int") + 1, F.length("text")))
-    text = F.when(F.size("spans") > 0, F.aggregate(spans, begin, step, end)).otherwise(F.col("text"))
+    text = F.when(F.size(name) > 0, F.aggregate(spans, begin, step, end)).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)
 
 

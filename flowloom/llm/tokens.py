@@ -123,16 +123,14 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
 class EliasFano:
     """A non-decreasing sequence of n integers below a universe in about 2 + log2(universe / n) bits each.
 
-    Each value's low bits are stored as they are; the high bits, in unary, make a bitmap of n ones in which select(i)
-    finds the i-th one from a sample of every 256th one's place.
+    Each value's low bits are stored as they are; the high bits, in unary, make a bitmap of n ones. The places of every 256th
+    one are stored beside it (an eighth of a bit a value), so select reads the stretch of the bitmap from one sample to the next.
     """
 
     SAMPLE = 256
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little")
-        self.sampled = np.flatnonzero(bits)[:: self.SAMPLE] if n else np.zeros(0, np.int64)
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, np.frombuffer(samples, "<u4")
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -140,43 +138,42 @@ class EliasFano:
         n = len(values)
         universe = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
-        bits = np.zeros((int(values[-1]) >> low_bits) + n + 1 if n else 1, np.uint8)
-        bits[(values >> low_bits) + np.arange(n)] = 1
+        bits, places = np.zeros((int(values[-1]) >> low_bits) + n + 1 if n else 1, np.uint8), (values >> low_bits) + np.arange(n)
+        bits[places] = 1
         low = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes())
-
-    def _low(self, at: np.ndarray) -> np.ndarray:
+        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), places[:: cls.SAMPLE].astype("<u4").tobytes())
+
+    def __len__(self) -> int:
+        return len(self.samples)
+
+    def block(self, k: int) -> np.ndarray:
+        """The k-th SAMPLE values (fewer at the end), from the stretches of the two bit strings that hold them."""
+        first, place = k * self.SAMPLE, int(self.samples[k])
+        n = min(self.SAMPLE, self.n - first)
+        stop = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, (stop + 7) // 8 - place // 8, place // 8), bitorder="little")[place % 8 :]
+        high = np.flatnonzero(bits)[:n] + place - np.arange(first, first + n)
         if not self.low_bits:
-            return np.zeros(len(at), np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-        return bits.reshape(self.n, self.low_bits)[at].astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            return high
+        begin, end = first * self.low_bits, (first + n) * self.low_bits
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8, (end + 7) // 8 - begin // 8, begin // 8), bitorder="little")[begin % 8 :]
+        low = bits[: n * self.low_bits].reshape(n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return (high << self.low_bits) | low
 
     def select(self, i: int) -> int:
-        """The i-th value, from a sampled place and the bitmap after it."""
+        """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        place, left, raw = int(self.sampled[i // self.SAMPLE]), i % self.SAMPLE, np.frombuffer(self.high, np.uint8)
-        byte, skip = place // 8, place % 8
-        while True:
-            ones = np.flatnonzero(np.unpackbits(raw[byte : byte + 64], bitorder="little")[skip:])
-            if len(ones) > left:
-                high = byte * 8 + skip + int(ones[left]) - i
-                break
-            left, byte, skip = left - len(ones), byte + 64, 0
-        bit, low = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            low |= (self.low[(bit + k) // 8] >> ((bit + k) % 8) & 1) << k
-        return high << self.low_bits | low
+        return int(self.block(i // self.SAMPLE)[i % self.SAMPLE])
 
     def values(self) -> np.ndarray:
         """All values at once."""
-        bits = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        return ((bits - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
+        return np.concatenate([np.zeros(0, np.int64), *(self.block(k) for k in range(len(self)))])
 
 
 # ---------------------------------------------------------------- files
 
-SEGMENTS = "shard int, segment int, n_docs long, n_ids long, width int, doc_ids array<long>, low_bits int, low binary, high binary, ids binary"
+SEGMENTS = "shard int, segment int, n_docs long, n_ids long, width int, doc_ids array<long>, low_bits int, low binary, high binary, samples binary, ids binary"
 
 
 def _segment(shard: int, number: int, docs: list, ids: list[bytes]) -> dict[str, pa.Array]:
@@ -186,7 +183,7 @@ def _segment(shard: int, number: int, docs: list, ids: list[bytes]) -> dict[str,
     return {
         "shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()),
         "n_ids": pa.array([len(raw)], pa.int64()), "width": pa.array([width], pa.int32()), "doc_ids": pa.array([docs], pa.list_(pa.int64())),
-        "low_bits": pa.array([bounds.low_bits], pa.int32()), "low": pa.array([bounds.low], pa.binary()), "high": pa.array([bounds.high], pa.binary()),
+        "low_bits": pa.array([bounds.low_bits], pa.int32()), "low": pa.array([bounds.low], pa.binary()), "high": pa.array([bounds.high], pa.binary()), "samples": pa.array([bounds.samples.tobytes()], pa.binary()),
         "ids": pa.array([raw.astype(f"<u{width}").tobytes()], pa.binary()),
     }
 
@@ -228,12 +225,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a dataset of write_ids: doc_id, start (ids before it), n_tokens, ids (unsigned 32-bit, little-endian)."""
-    return _read(spark, path, "doc_id long, start long, n_tokens long, ids binary", lambda d, s, x: pa.array([v.astype("<u4").tobytes() for v in x], pa.binary()))
+    return _read(spark, path, "doc_id long, start long, n_tokens long, ids binary", lambda x: pa.array([v.astype("<u4").tobytes() for v in x], pa.binary()))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """As read_ids, with the ids' crc32 in place of the ids."""
-    return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda d, s, x: pa.array([zlib.crc32(v.astype("<u4").tobytes()) for v in x], pa.int64()))
+    return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda x: pa.array([zlib.crc32(v.astype("<u4").tobytes()) for v in x], pa.int64()))
 
 
 def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
@@ -251,13 +248,13 @@ def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
     def decode(it):
         for batch in it:
             for row in batch.to_pylist():
-                bounds = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"]).values()
-                raw = np.frombuffer(row["ids"], f"<u{row['width']}")
-                begin = np.concatenate([[0], bounds[:-1]])
-                for at in range(0, len(bounds), 4096):
-                    part = slice(at, at + 4096)
-                    yield batches({"doc_id": pa.array(row["doc_ids"][part], pa.int64()), "start": pa.array(begin[part] + row["first"], pa.int64()), "n_tokens": pa.array(bounds[part] - begin[part], pa.int64()),
-                                   name: last(None, None, [raw[s:e] for s, e in zip(begin[part], bounds[part])])})
+                ends = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+                raw, before = np.frombuffer(row["ids"], f"<u{row['width']}"), 0
+                for k in range(len(ends)):  # the boundaries of SAMPLE documents at a time, never a table of all
+                    stop = ends.block(k)
+                    begin, before = np.concatenate([[before], stop[:-1]]), int(stop[-1])
+                    ids = row["doc_ids"][k * ends.SAMPLE : k * ends.SAMPLE + len(stop)]
+                    yield batches({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(begin + row["first"], pa.int64()), "n_tokens": pa.array(stop - begin, pa.int64()), name: last([raw[s:e] for s, e in zip(begin, stop)])})
 
     if counts.count() <= BROADCAST_SEGMENTS:
         starts = F.broadcast(starts)

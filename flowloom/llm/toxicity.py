@@ -1,9 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse words (operator 2).
 
-P(grade <= k) = sigmoid(theta_k - w.x): one weight a word, shared by the ordered thresholds theta. x says which words of the
-vocabulary a text holds. Only words that stand in toxic texts far more often than chance are weighed, under an L1 penalty,
-so long clean texts gather no score. The labels say toxic or not; the grades that the model is fitted to are 0 (not toxic),
-1 (toxic) and 2 (toxic, with `SEVERE` or more distinct words of such evidence).
+P(grade <= k) = sigmoid(theta_k - w.x): one weight a word, of either sign, shared by the ordered thresholds theta. x says which
+words of the vocabulary a text holds; an L1 penalty leaves weights to words that carry evidence. The labels say toxic or not. Grades
+are 0 (not toxic), 1 (toxic) and 2 (toxic, and more so than half of such texts by a model that was fitted without the text).
 """
 
 from __future__ import annotations
@@ -16,12 +15,11 @@ from pyspark.sql import functions as F
 from .common import LETTER_WORDS, Workspace, batches, drop_ids, passes, table, word_hashes, words_in
 
 GRADES = 3
-#: Labelled rows the model is fitted on at most (those of least hash), and words it weighs at most (the most frequent).
-TRAIN_ROWS, VOCABULARY, LEAST_ROWS = 20_000, 1 << 16, 4
-L1, ROUNDS = 0.5, 400
-#: A word is weighed if it stands in toxic texts more often than chance by so many standard deviations.
-EVIDENCE = 5.0
-SEVERE = 3
+#: Labelled rows the model is fitted on at most (those of least hash). Words of fewer of these rows have no weight.
+TRAIN_ROWS, LEAST_ROWS = 20_000, 4
+#: Strength of a word's penalty, in standard deviations of its gradient where words say nothing; what remains of it when the chosen
+#: words are fitted again; and rounds of a descent (ten times as many for that).
+L1, RELAXED, ROUNDS = 2.2, 0.5, 150
 #: A text is rejected if it is at least this probable that its grade is 1 or more.
 REJECT = 0.5
 
@@ -30,54 +28,71 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def evidence(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, n_words: int) -> np.ndarray:
-    """Standard deviations by which each word's toxic texts exceed the base rate."""
-    bad = (grades > 0).astype(float)
-    rate = bad.mean() if len(bad) else 0.0
-    count = np.bincount(words, minlength=n_words)
-    return (np.bincount(words, weights=bad[rows], minlength=n_words) - rate * count) / np.sqrt(np.maximum(rate * (1 - rate) * count, 1e-9))
+def _slopes(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, n_words: int, w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The loss's gradient for the weights and for the thresholds."""
+    s = np.bincount(rows, weights=w[words], minlength=len(grades))
+    low = np.concatenate([[-np.inf], theta, [np.inf]])
+    with np.errstate(invalid="ignore"):
+        a, b = _sigmoid(low[grades + 1] - s), _sigmoid(low[grades] - s)
+    a[grades == GRADES - 1], b[grades == 0] = 1.0, 0.0
+    p = np.maximum(a - b, 1e-9)
+    g_theta = np.array([(b * (1 - b) / p)[grades == k + 1].sum() - (a * (1 - a) / p)[grades == k].sum() for k in range(GRADES - 1)])
+    return np.bincount(words, weights=(1 - a - b)[rows], minlength=n_words), g_theta
+
+
+def _descend(rows, words, grades, n_words, w, theta, penalty, rounds):
+    """Accelerated proximal gradient; each coordinate's step comes from a bound of its curvature."""
+    width = np.bincount(rows, minlength=len(grades)) + 1.0  # words and the threshold
+    bound = 0.25 * np.bincount(words, weights=width[rows], minlength=n_words) + 1e-9
+    bound_theta = 0.5 * width.sum() + 1e-9
+    look, look_theta, t = w, theta, 1.0
+    for _ in range(rounds):
+        g, g_theta = _slopes(rows, words, grades, n_words, look, look_theta)
+        new = look - g / bound
+        new = np.sign(new) * np.maximum(np.abs(new) - penalty / bound, 0)
+        new_theta = np.maximum.accumulate(look_theta - g_theta / bound_theta)
+        t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        look, w = new + (was - 1) / t * (new - w), new
+        look_theta, theta = np.maximum.accumulate(new_theta + (was - 1) / t * (new_theta - theta)), new_theta
+    return w, theta
 
 
 def fit(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, n_words: int, rounds: int = ROUNDS, l1: float = L1) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds): rows and words are parallel arrays of the entries of x, grades one a row.
 
-    Accelerated proximal gradient over all examples, each coordinate's step from a bound of its curvature; weights add to
-    severity only, as words are evidence of toxicity and their absence of nothing.
+    The descent goes over the words whose gradient exceeds their penalty, and is repeated with those that come to exceed it, until
+    none does: the weights of all others are zero at the optimum. A word's penalty grows with the root of its rows, as its
+    gradient's noise does. The penalty also shrinks the weights of the words it chooses, so these are fitted once more with little of
+    it (the relaxed lasso).
     """
     n = len(grades)
     share = np.array([(grades <= k).sum() + 0.5 for k in range(GRADES - 1)]) / (n + 1)
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
-    keep = evidence(rows, words, grades, n_words) >= EVIDENCE if n else np.zeros(n_words, bool)
-    use = keep[words] if n else np.zeros(0, bool)
-    rows, words = rows[use], words[use]
-    width = np.bincount(rows, minlength=n) + 1.0  # words and the threshold
-    bound = 0.25 * np.bincount(words, weights=width[rows], minlength=n_words) + 1e-9
-    bound_theta = 0.5 * width.sum() + 1e-9
-    w = look = np.zeros(n_words)
-    last_theta, t = theta, 1.0
-    for _ in range(rounds if len(rows) else 0):
-        s = np.bincount(rows, weights=look[words], minlength=n)
-        low = np.concatenate([[-np.inf], theta, [np.inf]])
-        with np.errstate(invalid="ignore"):
-            a, b = _sigmoid(low[grades + 1] - s), _sigmoid(low[grades] - s)
-        a[grades == GRADES - 1], b[grades == 0] = 1.0, 0.0
-        p = np.maximum(a - b, 1e-9)
-        g = np.bincount(words, weights=(1 - a - b)[rows], minlength=n_words)
-        g_theta = np.array([(b * (1 - b) / p)[grades == k + 1].sum() - (a * (1 - a) / p)[grades == k].sum() for k in range(GRADES - 1)])
-        new = np.maximum(look - (g + l1) / bound, 0) * keep
-        new_theta = np.maximum.accumulate(theta - g_theta / bound_theta)
-        t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        look, w = new + (was - 1) / t * (new - w), new
-        theta, last_theta = np.maximum.accumulate(new_theta + (was - 1) / t * (new_theta - last_theta)), new_theta
-    return w, last_theta
+    bad = (grades > 0).mean() if n else 0.0
+    penalty = l1 * np.sqrt(np.maximum(np.bincount(words, minlength=n_words) * bad * (1 - bad), 1e-9)) + 0.1
+    w, active = np.zeros(n_words), np.zeros(n_words, bool)
+    for _ in range(30 if len(rows) else 0):
+        over = ~active & (np.abs(_slopes(rows, words, grades, n_words, w, theta)[0]) > 1.01 * penalty)
+        if not over.any():
+            break
+        active |= over
+        use = active[words]
+        w, theta = _descend(rows[use], words[use], grades, n_words, w, theta, penalty, rounds)
+    use = (w != 0)[words]
+    return _descend(rows[use], words[use], grades, n_words, w, theta, RELAXED, 10 * rounds) if use.any() else (w, theta)
 
 
 def severities(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
-    """Grades of labelled texts."""
-    if not len(toxic):
-        return toxic
-    strong = (evidence(rows, words, toxic, n_words) >= EVIDENCE)[words] if len(words) else np.zeros(0, bool)
-    return np.where(toxic > 0, 1 + (np.bincount(rows[strong], minlength=len(toxic)) >= SEVERE), 0)
+    """Grades of labelled texts: each half's toxic texts are scored by a model of the other half, and split at their median."""
+    grades, half = (toxic > 0).astype(int), np.arange(len(toxic)) % 2
+    for side in (0, 1):
+        use = half[rows] != side
+        w, _ = fit(rows[use] // 2, words[use], grades[half != side], n_words)
+        s = np.bincount(rows, weights=w[words], minlength=len(toxic))
+        mine = (half == side) & (toxic > 0)
+        if mine.any():
+            grades[mine & (s > np.median(s[mine]))] = 2
+    return grades
 
 
 def probabilities(score: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -126,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
     features = work.keep(texts.mapInArrow(hashed, "grade int, words array<long>"), "features")
+    # The rows are bounded, and so are their words that LEAST_ROWS of them hold.
     common = features.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_ROWS)
-    common = common.orderBy(F.desc("count"), "word").limit(VOCABULARY).select("word").toArrow().column(0).to_numpy()
+    common = common.select("word").toArrow().column(0).to_numpy()
     keys = np.sort(common.view(np.uint64) if len(common) else np.zeros(0, np.uint64))
 
     def indexed(it):
@@ -158,7 +174,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 
     Null and empty texts have no words. Repeated rows and null doc_ids get a row each; an empty table gives none.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words of 16 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded training rows, 16 bytes each
 
     def work(it):
         for batch in it:

@@ -7,6 +7,7 @@ rules block, against the links' direction. Links are those in the pages' html to
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are one expression over a page's row; more are joined by host.
 INLINE_RULES = 200
 LINK = r"(?i)(?:href|src|action)\s*=\s*[\x22']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\x22'\s<>]+)"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: What later rounds could still move is at most this share of all scores, whatever the graph: after k rounds it is DAMPING ** k.
+TOLERANCE = 1e-3
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+#: Rounds that are one job; its scores are written.
+STEP = 4
 #: Longest host name that has parents (the limit of the domain name system).
 LONGEST_HOST = 253
 
@@ -87,8 +93,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(work: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) after so many rounds; seeds: (host, allowed, blocked), shares of the host's pages.
 
-    A node's score is its seed's part and what its neighbours pass on by edge weight; each round is a join on the sending
-    host, pre-aggregated by the receiving one, and is written to the shared folder.
+    A node's score is its seed's part and what its neighbours pass on by edge weight; what a host without links out would pass on
+    is lost. Each round is a join on the sending host, pre-aggregated by the receiving one; every STEP rounds are written to the
+    shared folder.
     """
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     give = lambda c, t: (F.col(c) / t if t else F.lit(0.0)).alias("seed")
@@ -101,9 +108,11 @@ def propagate(work: Workspace, edges: DataFrame, seeds: DataFrame, damping: floa
     for k in range(rounds):
         passed = ways.join(score.selectExpr("host AS giver", "kind", "score"), ["giver", "kind"]).selectExpr("taker AS host", "kind", f"{damping}D * share * score AS score")
         kept = seed.selectExpr("host", "kind", f"{1 - damping}D * seed AS score")
-        score = work.keep(passed.union(kept).groupBy("host", "kind").agg(F.sum("score").alias("score")), f"score-{k}")
-        if k:
-            work.drop(f"score-{k - 1}")
+        score = passed.union(kept).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        if (k + 1) % STEP == 0 or k + 1 == rounds:
+            score = work.keep(score, f"score-{k}")
+            if k >= 2 * STEP:
+                work.drop(f"score-{k // STEP * STEP - 1}")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
 
