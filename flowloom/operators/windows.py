@@ -19,6 +19,8 @@ from .. import constants as K
 
 CHUNK_US = 300 * K.SECOND_US
 KEY = ["capture", "chunk"]
+#: A bound below all times: the capture's first packet opens a window.
+ANY = -(1 << 62)
 
 
 def _chunk() -> Column:
@@ -60,7 +62,7 @@ def _entries(batches):
         for name, chunk, *lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
             upto, exits, counts = (x.values.to_numpy() for x in lists)
             if name != capture:
-                capture, bound, number, start = name, int(upto[0]), 0, None
+                capture, bound, number, start = name, ANY, 0, None
             out.append((name, chunk, bound, number, start))
             i = int(np.searchsorted(upto, bound))
             if i < len(upto):

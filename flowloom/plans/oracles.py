@@ -111,6 +111,17 @@ SELECT al.window_us, al.src AS source, al.dst AS destination, verdict AS unsure_
     "policy_single_family": f"""WITH RECURSIVE {ALERTS}, d AS (SELECT event_id, src, dst, t_us, min(t_us) OVER (PARTITION BY src, dst ORDER BY t_us RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM a WHERE kind = 'dos'),
 s AS (SELECT src, dst, min(t_us) AS t_us FROM d GROUP BY ALL UNION ALL SELECT s.src, s.dst, d.nxt FROM s JOIN d ON d.src = s.src AND d.dst = s.dst AND d.t_us = s.t_us WHERE d.nxt IS NOT NULL)
 SELECT event_id, d.src AS source, d.dst AS destination, s.t_us IS NOT NULL AS notified FROM d LEFT JOIN s ON d.src = s.src AND d.dst = s.dst AND d.t_us = s.t_us""",
+    "alert_policy": f"""WITH RECURSIVE {ALERTS}, k AS (SELECT event_id, src, dst, kind, t_us, CASE WHEN kind IN ('port_scan', 'slow_scan') THEN 'recon' WHEN kind = 'brute_force' THEN 'access' WHEN kind = 'dos' THEN 'flood' ELSE 'anomaly' END AS family, CASE WHEN kind = 'slow_scan' THEN 1 ELSE 2 END AS level FROM a),
+c AS (SELECT *, min(t_us) OVER (PARTITION BY src, dst, family ORDER BY t_us RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS cooled,
+  min(t_us) FILTER (WHERE level = 2) OVER (PARTITION BY src, dst, family ORDER BY t_us ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS higher FROM k),
+d AS (SELECT *, CASE WHEN level = 2 THEN cooled ELSE least(cooled, higher) END AS nxt FROM c),
+s AS (SELECT src, dst, family, min(t_us) AS t_us, false AS upgrade FROM d GROUP BY ALL UNION ALL SELECT d.src, d.dst, d.family, d.nxt, d.nxt - d.t_us < 60000000 FROM s JOIN d USING (src, dst, family, t_us) WHERE d.nxt IS NOT NULL),
+e AS (SELECT d.*, s.upgrade, s.upgrade IS NOT NULL AS notified FROM d LEFT JOIN s ON d.src = s.src AND d.dst = s.dst AND d.family = s.family AND d.t_us = s.t_us),
+g AS (SELECT *, count(*) FILTER (WHERE notified) OVER (PARTITION BY src, dst, family ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown_before FROM e),
+h AS (SELECT src, dst, family, shown_before, kind, count(*) AS n FROM g WHERE NOT notified GROUP BY ALL),
+r AS (SELECT src, dst, family, shown_before, CAST(sum(n) AS BIGINT) AS repeats, string_agg(concat(kind, ' x', n), ', ' ORDER BY kind) AS told FROM h GROUP BY ALL)
+SELECT event_id, g.src AS source, g.dst AS destination, kind, g.family, notified, upgrade, CASE WHEN notified THEN coalesce(repeats, 0) END AS suppressed_repeats, CASE WHEN notified THEN coalesce(told, '') END AS suppressed
+FROM g LEFT JOIN r ON g.src = r.src AND g.dst = r.dst AND g.family = r.family AND g.shown_before = r.shown_before""",
     "incidents": f"{INCIDENTS} SELECT src, kind, severity, alert_count, round(confidence, 6) AS confidence, first_us, last_us, last_us - first_us AS duration_us, destinations FROM inc",
     "severity_by_day": f"{INCIDENTS} SELECT strftime(make_timestamp(first_us), '%Y-%m-%d') AS day, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM inc GROUP BY ALL",
     "type_counts": f"{INCIDENTS} SELECT kind, count(*) AS incidents, count(*) FILTER (WHERE confidence < 0.6) AS low_confidence FROM inc GROUP BY ALL",
