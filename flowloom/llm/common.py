@@ -18,7 +18,15 @@ PASS_BYTES = 512 << 10
 PASS_ROWS = 1024
 
 
+#: Rows of an Arrow batch at most. Documents are long, and a batch is held several times over, by the JVM and by its worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. From here on the session's Arrow batches hold at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
