@@ -17,7 +17,7 @@ SEGMENT_IDS = 1 << 21
 #: Segment starts (24 bytes each) are broadcast to the reader up to this many; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
 #: Entries of the cache of encoded chunks in a worker; it is emptied when full.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 200_000
 
 
 class Encoder:
