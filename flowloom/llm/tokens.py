@@ -16,8 +16,8 @@ VOCABULARY = "byte_bpe_50k.json"
 SEGMENT_IDS = 1 << 21
 #: Segment starts (24 bytes each) are broadcast to the reader up to this many; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
-#: Entries of the cache of encoded chunks in a worker; it is emptied when full.
-CACHE_ENTRIES = 200_000
+#: Entries of the cache of encoded chunks in a worker (some 500 bytes each); it is emptied when full.
+CACHE_ENTRIES = 700_000
 
 
 class Encoder:
@@ -110,10 +110,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """The encoder of this worker process, whose cache serves all of its tasks."""
+def encoder(vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES) -> Encoder:
+    """The encoder of this worker process, whose cache serves all of its tasks; from now on it holds `entries` pieces."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
+    _ENCODERS[vocabulary].entries = entries
     return _ENCODERS[vocabulary]
 
 
