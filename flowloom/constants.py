@@ -52,3 +52,17 @@ CONFIDENCE_KEYS = ("confidence", "conf", "probability", "score")
 SCAN_KINDS = ("port_scan", "udp_scan", "stealth_scan", "ack_scan", "fragmented_scan")
 GENERIC_RECON = ("slow_scan", "distributed_scan")
 CAPTURE_CAP, SPLIT_SHARE = 3000, 0.5
+
+# Columns of training tables.
+FLOW_METADATA = ("window_time", "is_ipv6")
+LABEL_CANDIDATES = ("label", "Label", "class", "target", "attack", "type")
+FLOW_TABLE_NAMES = {
+    "Destination Port": "destination_port", "Total Fwd Packets": "total_fwd_packets", "Total Length of Fwd Packets": "fwd_bytes",
+    "Fwd Packet Length Max": "fwd_pkt_len_max", "Fwd Packet Length Min": "fwd_pkt_len_min", "Fwd Packet Length Mean": "fwd_pkt_len_mean", "Fwd Packet Length Std": "fwd_pkt_len_std",
+    "Bwd Packet Length Max": "bwd_pkt_len_max", "Bwd Packet Length Mean": "bwd_pkt_len_mean", "Packet Length Mean": "pkt_len_mean", "Packet Length Std": "pkt_len_std",
+    "Flow IAT Mean": "flow_iat_mean", "Flow IAT Std": "flow_iat_std", "Flow IAT Max": "flow_iat_max", "Flow IAT Min": "flow_iat_min",
+    "Flow Bytes/s": "flow_bytes_per_sec", "Flow Packets/s": "flow_packets_per_sec", "FIN Flag Count": "fin_count", "PSH Flag Count": "psh_count", "ACK Flag Count": "ack_count",
+}
+
+# The ephemeral range, and empty windows in a row before a warning.
+EPHEMERAL_PORT, EMPTY_WINDOWS = 32768, 12

@@ -170,3 +170,29 @@ def mean_3(c: Column | str) -> Column:
     """As mean, rounded to thousandths."""
     c = F.col(c) if isinstance(c, str) else c
     return F.round(F.sum(F.round(c * 1e6).cast("long")) / F.count(c) / 1000.0) / 1000.0
+
+
+def is_finite(c: str) -> Column:
+    """Neither null nor NaN nor infinite."""
+    x = F.col(c).cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+
+
+def has_port(port: int) -> Column:
+    """A TCP or UDP packet with this port on either side."""
+    return F.coalesce(F.col("proto").isin("TCP", "UDP") & ((F.col("sport") == port) | (F.col("dport") == port)), F.lit(False))
+
+
+def format_confidence(c: str = "confidence") -> Column:
+    """Confidence in a fixed width, marked where it is low."""
+    text = F.format_string("conf=%.2f", F.col(c))
+    return F.when(F.col(c).isNull(), "conf=  -   ").otherwise(F.concat(text, F.when(is_low_confidence(c), " LOW").otherwise("    ")))
+
+
+def short_name(c: str, suffix: str = ".pcap") -> Column:
+    return F.replace(F.col(c), F.lit(suffix), F.lit(""))
+
+
+def one_or_mixed(layers: Column) -> Column:
+    """The layer that a set of alerts comes from, "mixed" for several."""
+    return F.when(F.size(layers) == 1, F.element_at(layers, 1)).otherwise("mixed")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import loss_percent
+from ..functions.exprs import is_scan_probe, loss_percent, mean_3, stealth_type
 from ..operators import flows as FL
 
 
@@ -78,3 +78,39 @@ def describe(packets: DataFrame) -> DataFrame:
 def proportional(rows: DataFrame, by: str, share: float, key: str, seed: int = 42) -> DataFrame:
     """The same share of each group, by hash of the key."""
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), by, key), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def profile_votes(nearest: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """Votes of nearest_profile()'s features for the labels (by, label) of their nearest groups, and features outside all groups."""
+    x = nearest.join(F.broadcast(labels.withColumnRenamed(by, "nearest")), "nearest")  # nearest: a row a feature
+    return x.groupBy("label").agg(F.count("*").alias("votes"), F.count_if("outside").alias("outside"))
+
+
+def stealth_counts(packets: DataFrame) -> DataFrame:
+    """Packets of malformed flags by their type and by their source (side, name, packets)."""
+    x = packets.where("proto = 'TCP'").withColumn("scan_type", stealth_type()).where("scan_type IS NOT NULL")
+    return x.select(F.explode(F.array(F.struct(F.lit("type").alias("side"), F.col("scan_type").alias("name")), F.struct(F.lit("source").alias("side"), F.col("src").alias("name")))).alias("x")).groupBy("x.side", "x.name").agg(F.count("*").alias("packets"))
+
+
+def tracker_ports(flows: DataFrame) -> DataFrame:
+    """What scan trackers see of flows' first packets: counts with and without ACK (and of those to ephemeral ports), and the most
+    distinct ports of a pair and of a target, over all flows and over probes alone."""
+    x = flows.where("proto <> 'ICMP'").withColumn("probe", is_scan_probe())
+    tcp, far = F.col("proto") == "TCP", F.col("dport") >= K.EPHEMERAL_PORT
+    counts = x.agg(
+        F.count_if(tcp & ~F.col("probe")).alias("ack_first"), F.count_if(tcp & ~F.col("probe") & far).alias("ack_ephemeral"),
+        F.count_if(tcp & F.col("probe")).alias("probe_first"), F.count_if(tcp & F.col("probe") & far).alias("probe_ephemeral"), F.count_if(F.col("proto") == "UDP").alias("udp_flows"),
+    )
+    ports = x.groupBy("src", "dst", "dport").agg(F.bool_or("probe").alias("probe"))
+    most = lambda keys, n: ports.groupBy(*keys).agg(F.countDistinct("dport").alias("a"), F.countDistinct(F.when(F.col("probe"), F.col("dport"))).alias("b")).agg(F.coalesce(F.max("a"), F.lit(0)).alias(f"{n}_all"), F.coalesce(F.max("b"), F.lit(0)).alias(f"{n}_probes"))
+    return counts.crossJoin(most(["src", "dst"], "pair")).crossJoin(most(["dst"], "target"))  # one row each
+
+
+def top_verdicts(scored: DataFrame, n: int = 3) -> DataFrame:
+    """The commonest verdicts, with their flows and mean confidence."""
+    return scored.groupBy("verdict").agg(F.count("*").alias("flows"), mean_3("confidence").alias("confidence")).orderBy(F.desc("flows"), "verdict").limit(n)
+
+
+def margin(windows: int, seconds: float) -> float:
+    """Traffic time over processing time."""
+    return windows * K.WINDOW_US / K.SECOND_US / seconds if seconds else float("inf")

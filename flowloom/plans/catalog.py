@@ -16,7 +16,7 @@ from ..operators import incidents as I
 from ..operators import labels as L
 from ..operators import policy as P
 from ..operators import windows as W
-from ..sources import adapters, alert_files
+from ..sources import adapters, alert_files, datasets
 from ..workspace import Workspace
 from . import analysis as AN
 from . import reports as R
@@ -244,7 +244,7 @@ def type_counts(s, d):
 
 @query
 def top_sources(s, d):
-    return R.top(found(s, d), "src", "incidents", 5)
+    return R.top_sources(found(s, d), 5)
 
 
 @query
@@ -479,3 +479,125 @@ def family_counts(s, d):
 @query
 def evaluation_totals(s, d):
     return R.totals(R.evaluate(adapters.alerts(s, d), expected(s)))
+
+
+# ---------------------------------------------------------------- reports and training data
+
+
+@query
+def port_filter(s, d):
+    return adapters.packets(s, d).where(X.has_port(443)).select("pkt_no", "src", "dst")
+
+
+@query
+def confidence_text(s, d):
+    return adapters.alerts(s, d).select("event_id", X.format_confidence().alias("text"))
+
+
+@query
+def pair_layers(s, d):
+    a = adapters.alerts(s, d).withColumn("model_verdict", F.when(F.col("kind") == "anomaly", "anomaly"))
+    return R.layers(a, ["src", "dst"])
+
+
+@query
+def day_chart(s, d):
+    return R.day_chart(found(s, d))
+
+
+@query
+def hidden_incidents(s, d):
+    return R.shown_and_hidden(found(s, d), 25)
+
+
+@query
+def kind_shares(s, d):
+    return R.shares(adapters.alerts(s, d), "kind", "event_id").withColumn("share", F.round("share", 6))
+
+
+# Captures that the evaluation takes as normal, and whether the model has seen the others.
+NORMAL = (("cap4",), ("cap8",))
+SEEN = (("cap0", True), ("cap1", True), ("cap2", False), ("cap3", False), ("cap9", False))
+
+
+@query
+def normal_captures(s, d):
+    return R.normal_captures(adapters.alerts(s, d), s.createDataFrame(list(NORMAL), "capture string"))
+
+
+@query
+def evaluation_summary(s, d):
+    a, e = adapters.alerts(s, d), expected(s)
+    return R.summary(R.evaluate(a, e), R.wrong_kinds(a, e), s.createDataFrame(list(SEEN), "capture string, in_training boolean"))
+
+
+@query
+def predictions_by_source(s, d):
+    return L.rule_verdict(flw(s, d)).groupBy("src", "verdict").agg(F.count("*").alias("flows"))
+
+
+@query
+def stealth_counts(s, d):
+    return AN.stealth_counts(adapters.packets(s, d))
+
+
+@query
+def tracker_ports(s, d):
+    return AN.tracker_ports(flows_once(s, d))
+
+
+@query
+def top_verdicts(s, d):
+    return AN.top_verdicts(L.rule_verdict(flw(s, d)))
+
+
+@query
+def profile_votes(s, d):
+    f = flows_once(s, d)
+    nearest = AN.nearest_profile(f.where("src = '10.0.2.1'"), f.where("src <> '10.0.2.1'"), "src", PROFILE)
+    first = L.rule_verdict(f).groupBy("src").agg(F.min_by("verdict", "flow_seq").alias("label"))
+    return AN.profile_votes(nearest, first, "src")
+
+
+@query
+def loss_rates(s, d):
+    """Alerts held back stand in for a capture's dropped packets."""
+    counters = adapters.alerts(s, d).groupBy("capture").agg(F.count_if("notified").alias("received"), F.count_if(~F.col("notified")).alias("dropped"))
+    return AN.loss(counters)
+
+
+@query
+def unknown_numbers(s, d):
+    lines = lambda proto: AN.describe(adapters.packets(s, d).where(F.col("proto") == proto)).select(F.col("line").alias("value"))
+    return AN.unknown_numbers(lines("UDP"), lines("TCP"))
+
+
+@query
+def training_flows(s, d):
+    x = datasets.training_flows(adapters.packets(s, d))
+    return x.select("flow_seq", "src", "dst", "destination_port", "total_fwd_packets", "total_bwd_packets", "fwd_bytes", "bwd_bytes", "syn_count", "ack_count", F.round("duration", 4).alias("duration"))
+
+
+@query
+def aligned_features(s, d):
+    """Columns of a model that flows have, lack and hold nulls in."""
+    f = flw(s, d).withColumn("is_ipv6", F.lit(0)).withColumn("first_flags", F.col("flags"))
+    return datasets.aligned(datasets.without_metadata(f), ["flow_seq", "ctx_src_flows", "fwd_bytes", "first_flags", "is_ipv6"])
+
+
+@query
+def renamed_flows(s, d):
+    """Flows under the names of a public table, with infinite and undefined rates, brought back."""
+    f = flw(s, d)
+    rate = F.when(F.col("duration") == 0, F.when(F.col("flow_seq") % 2 == 0, float("inf")).otherwise(float("nan"))).otherwise(F.col("packets").cast("double"))
+    x = f.select("flow_seq", "proto", F.col("dport").alias("Destination Port"), F.col("fwd_bytes").alias("Total Length of Fwd Packets"), rate.alias("Flow Packets/s"))
+    names = {k: v for k, v in K.FLOW_TABLE_NAMES.items() if k in x.columns}
+    return datasets.renamed(x, names, keep=("flow_seq",))
+
+
+@query
+def schema_columns(s, d):
+    """Label and features of a table that says nothing about itself."""
+    a = adapters.alerts(s, d)
+    label = datasets.label_column(a)
+    return s.createDataFrame([("label", label), *[("feature", f) for f in datasets.feature_columns(a, label)]], "role string, name string")

@@ -125,7 +125,7 @@ FROM g LEFT JOIN r ON g.src = r.src AND g.dst = r.dst AND g.family = r.family AN
     "incidents": f"{INCIDENTS} SELECT src, kind, severity, alert_count, round(confidence, 6) AS confidence, first_us, last_us, last_us - first_us AS duration_us, destinations FROM inc",
     "severity_by_day": f"{INCIDENTS} SELECT strftime(make_timestamp(first_us), '%Y-%m-%d') AS day, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM inc GROUP BY ALL",
     "type_counts": f"{INCIDENTS} SELECT kind, count(*) AS incidents, count(*) FILTER (WHERE confidence < 0.6) AS low_confidence FROM inc GROUP BY ALL",
-    "top_sources": f"{INCIDENTS} SELECT src, count(*) AS incidents FROM inc GROUP BY src ORDER BY incidents DESC, src LIMIT 5",
+    "top_sources": f"{INCIDENTS} SELECT src, count(*) AS incidents FROM inc GROUP BY src ORDER BY incidents DESC, min(first_us), src LIMIT 5",
     "newest_alerts": f"WITH {ALERTS} SELECT event_id, src, kind FROM a ORDER BY event_id DESC LIMIT 50",
     "summarize_alerts": f"WITH {ALERTS} SELECT kind, count(*) AS logged, count(*) FILTER (WHERE notified) AS notified, count(DISTINCT (src, dst)) AS pairs FROM a GROUP BY kind",
     "soak_rates": f"WITH {ALERTS}, h AS (SELECT (max(t_us) - min(t_us)) / 3.6e9 AS hours FROM a) SELECT kind, count(*) AS alerts, round(count(*) / any_value(hours), 6) AS per_hour, round(count(*) FILTER (WHERE notified) / any_value(hours), 6) AS notified_per_hour FROM a, h GROUP BY kind",
@@ -164,4 +164,43 @@ SELECT count(*) AS packets, count(*) FILTER (WHERE src <> fsrc) AS real_replies,
     "unsure_incidents": f"{INCIDENTS} SELECT src, kind, first_us, CASE WHEN kind = 'anomaly' THEN 'anomaly' WHEN confidence IS NULL THEN 'tracker' ELSE 'model' END AS layer, EXISTS (SELECT 1 FROM a WHERE a.src = inc.src AND a.kind = inc.kind AND a.confidence < 0.1) AS unsure FROM inc",
     "family_counts": f"WITH {ALERTS} SELECT CASE WHEN kind IN ('port_scan', 'slow_scan') THEN 'recon' WHEN kind = 'brute_force' THEN 'access' WHEN kind = 'dos' THEN 'flood' ELSE 'anomaly' END AS family, count(*) AS alerts, count(*) FILTER (WHERE notified) AS notified FROM a GROUP BY ALL",
     "evaluation_totals": f"WITH {ALERTS}, ex(capture, expected) AS (VALUES ('cap0', 'port_scan'), ('cap1', 'brute_force'), ('cap2', 'dos'), ('cap3', 'port_scan'), ('cap9', 'slowloris')), e AS (SELECT ex.capture, count(event_id) AS logged, count(*) FILTER (WHERE notified) AS notified, count(event_id) > 0 AS detected, coalesce(bool_or(kind = expected), false) AS correct, coalesce(bool_or(kind = expected AND notified), false) AS correct_shown FROM ex LEFT JOIN a USING (capture) GROUP BY ALL) SELECT count(*) AS captures, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct_shown) AS shown, CAST(sum(logged) AS BIGINT) AS logged, CAST(sum(notified) AS BIGINT) AS notified FROM e",
+    "port_filter": f"WITH {PACKETS} SELECT pkt_no, src, dst FROM p WHERE proto IN ('TCP', 'UDP') AND (sport = 443 OR dport = 443)",
+    "confidence_text": f"WITH {ALERTS} SELECT event_id, CASE WHEN confidence IS NULL THEN 'conf=  -   ' WHEN confidence < 0.6 THEN printf('conf=%.2f LOW', confidence) ELSE printf('conf=%.2f    ', confidence) END AS text FROM a",
+    "pair_layers": f"""WITH {ALERTS}, l AS (SELECT *, CASE WHEN kind = 'anomaly' THEN 'anomaly' WHEN confidence IS NULL THEN 'tracker' ELSE 'model' END AS layer FROM a)
+SELECT src, dst, CASE WHEN count(DISTINCT layer) = 1 THEN min(layer) ELSE 'mixed' END AS layer, count(*) AS alerts, count(*) FILTER (WHERE notified) AS shown FROM l GROUP BY src, dst""",
+    "day_chart": f"""{INCIDENTS}, dd2 AS (SELECT strftime(make_timestamp(first_us), '%Y-%m-%d') AS day, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) AS total FROM inc GROUP BY ALL),
+mm AS (SELECT *, max(total) OVER () AS most FROM dd2) SELECT *, high * 100 // most AS high_width, medium * 100 // most AS medium_width, low * 100 // most AS low_width FROM mm""",
+    "hidden_incidents": f"{INCIDENTS} SELECT least(count(*), 25) AS shown, greatest(count(*) - 25, 0) AS hidden FROM inc",
+    "kind_shares": f"WITH {ALERTS} SELECT kind, count(*) AS n, min(event_id) AS first, round(count(*) / (SELECT count(*) FROM a), 6) AS share FROM a GROUP BY kind",
+    "normal_captures": f"WITH {ALERTS}, nc(capture) AS (VALUES ('cap4'), ('cap8')) SELECT nc.capture, count(event_id) AS alerts, count(*) FILTER (WHERE notified) AS notified, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds FROM nc LEFT JOIN a USING (capture) GROUP BY nc.capture",
+    "evaluation_summary": f"""WITH {ALERTS}, ex(capture, expected, in_training) AS (VALUES ('cap0', 'port_scan', true), ('cap1', 'brute_force', true), ('cap2', 'dos', false), ('cap3', 'port_scan', false), ('cap9', 'slowloris', false)),
+e AS (SELECT ex.capture, ex.in_training, ex.expected, count(event_id) AS logged, count(*) FILTER (WHERE notified) AS notified, coalesce(bool_or(kind = expected), false) AS correct, coalesce(bool_or(kind = expected AND notified), false) AS shown,
+  coalesce(bool_or(kind <> expected AND NOT (expected = 'port_scan' AND kind IN ('slow_scan', 'distributed_scan'))), false) AS wrong FROM ex LEFT JOIN a USING (capture) GROUP BY ALL)
+SELECT in_training, count(*) AS captures, count(*) FILTER (WHERE logged > 0) AS detected, count(expected) AS checkable, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE shown) AS shown, count(*) FILTER (WHERE wrong) AS with_wrong, CAST(sum(logged) AS BIGINT) AS logged, CAST(sum(notified) AS BIGINT) AS notified FROM e GROUP BY in_training""",
+    "predictions_by_source": f"{SCORED} SELECT src, verdict, count(*) AS flows FROM sc GROUP BY ALL",
+    "stealth_counts": f"""WITH {PACKETS}, sx AS (SELECT src, CASE WHEN flags & 63 = 0 THEN 'NULL' WHEN flags & 63 = 1 THEN 'FIN' WHEN flags & 63 = 41 THEN 'XMAS' WHEN flags & 3 = 3 THEN 'SYN-FIN' END AS ty FROM p WHERE proto = 'TCP')
+SELECT 'type' AS side, ty AS name, count(*) AS packets FROM sx WHERE ty IS NOT NULL GROUP BY ty UNION ALL SELECT 'source', src, count(*) FROM sx WHERE ty IS NOT NULL GROUP BY src""",
+    "tracker_ports": f"""{FLOWS}, x AS (SELECT *, flags IS NULL OR flags & 16 = 0 AS probe FROM f WHERE proto <> 'ICMP'),
+pa AS (SELECT count(DISTINCT dport) AS n, count(DISTINCT dport) FILTER (WHERE probe) AS m FROM x GROUP BY src, dst), ta AS (SELECT count(DISTINCT dport) AS n, count(DISTINCT dport) FILTER (WHERE probe) AS m FROM x GROUP BY dst)
+SELECT count(*) FILTER (WHERE proto = 'TCP' AND NOT probe) AS ack_first, count(*) FILTER (WHERE proto = 'TCP' AND NOT probe AND dport >= 32768) AS ack_ephemeral, count(*) FILTER (WHERE proto = 'TCP' AND probe) AS probe_first,
+  count(*) FILTER (WHERE proto = 'TCP' AND probe AND dport >= 32768) AS probe_ephemeral, count(*) FILTER (WHERE proto = 'UDP') AS udp_flows,
+  (SELECT max(n) FROM pa) AS pair_all, (SELECT max(m) FROM pa) AS pair_probes, (SELECT max(n) FROM ta) AS target_all, (SELECT max(m) FROM ta) AS target_probes FROM x""",
+    "top_verdicts": f"{SCORED} SELECT verdict, count(*) AS flows, round(sum(CAST(round(conf * 1e6) AS BIGINT)) / count(conf) / 1000.0) / 1000.0 AS confidence FROM sc GROUP BY verdict ORDER BY flows DESC, verdict LIMIT 3",
+    "profile_votes": f"""{SCORED}, ff AS (SELECT src, CAST(packets AS DOUBLE) AS packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, round(duration, 4) AS duration, CAST(pkt_len_mean AS DOUBLE) AS pkt_len_mean FROM f),
+u AS (UNPIVOT ff ON packets, fwd_bytes, duration, pkt_len_mean INTO NAME feature VALUE v), m AS (SELECT src, feature, quantile_cont(v, 0.5) AS med FROM u GROUP BY ALL),
+tg AS (SELECT feature, med AS target FROM m WHERE src = '10.0.2.1'), kn AS (SELECT * FROM m WHERE src <> '10.0.2.1'),
+ne AS (SELECT feature, arg_min(src, (abs(med - target), src)) AS src, target < min(med) OR target > max(med) AS outside FROM kn JOIN tg USING (feature) GROUP BY feature, target),
+lb AS (SELECT src, arg_min(verdict, flow_seq) AS label FROM sc GROUP BY src)
+SELECT label, count(*) AS votes, count(*) FILTER (WHERE outside) AS outside FROM ne JOIN lb USING (src) GROUP BY label""",
+    "loss_rates": f"WITH {ALERTS}, c AS (SELECT capture, count(*) FILTER (WHERE notified) AS received, count(*) FILTER (WHERE NOT notified) AS dropped FROM a GROUP BY capture) SELECT capture, received, dropped, round(100.0 * dropped / (received + dropped), 2) AS loss_percent FROM c",
+    "unknown_numbers": rf"""WITH {PACKETS}, li AS (SELECT proto, concat(proto, ' ', src, ':', sport, ' -> ', dst, ':', dport, ' ', frame_len, ' bytes') AS line FROM p WHERE proto IN ('UDP', 'TCP')),
+nu AS (SELECT DISTINCT proto, unnest(regexp_extract_all(line, '(\d+)', 1)) AS number FROM li) SELECT number FROM nu WHERE proto = 'UDP' AND number NOT IN (SELECT number FROM nu WHERE proto = 'TCP')""",
+    "training_flows": f"""{FLOWS}, o AS (SELECT *, first_value(src) OVER q AS fsrc, first_value(dst) OVER q AS fdst, first_value(sport) OVER q AS fsport, first_value(dport) OVER q AS fdport, coalesce(flags & 63, 0) AS b FROM k WINDOW q AS (PARTITION BY fk ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+o2 AS (SELECT *, src = fsrc AND sport = fsport AS fwd FROM o)
+SELECT min(pkt_no) AS flow_seq, any_value(fsrc) AS src, any_value(fdst) AS dst, any_value(fdport) AS destination_port, count(*) FILTER (WHERE fwd) AS total_fwd_packets, count(*) FILTER (WHERE NOT fwd) AS total_bwd_packets,
+  CAST(coalesce(sum(frame_len) FILTER (WHERE fwd), 0) AS BIGINT) AS fwd_bytes, CAST(coalesce(sum(frame_len) FILTER (WHERE NOT fwd), 0) AS BIGINT) AS bwd_bytes, count(*) FILTER (WHERE b & 2 <> 0) AS syn_count, count(*) FILTER (WHERE b & 16 <> 0) AS ack_count,
+  round((max(ts_us) - min(ts_us)) / 1e6, 4) AS duration FROM o2 GROUP BY fk""",
+    "aligned_features": f"{FLOWS} SELECT CAST(flow_seq AS DOUBLE) AS flow_seq, 0.0::DOUBLE AS ctx_src_flows, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(coalesce(flags, 0) AS DOUBLE) AS first_flags, 0.0::DOUBLE AS is_ipv6 FROM f",
+    "renamed_flows": f"{FLOWS} SELECT CAST(dport AS DOUBLE) AS destination_port, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(packets AS DOUBLE) AS flow_packets_per_sec, flow_seq FROM f WHERE round(duration, 4) <> 0",
+    "schema_columns": "SELECT * FROM (VALUES ('label', 'capture'), ('feature', 'event_id'), ('feature', 't_us'), ('feature', 'confidence')) AS t(role, name)",
 }

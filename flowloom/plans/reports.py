@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import is_low_confidence
+from ..functions.exprs import is_low_confidence, layer, one_or_mixed, percent_of
 
 
 def severity_by_day(incidents: DataFrame) -> DataFrame:
@@ -24,6 +24,36 @@ def top(rows: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias(name)).orderBy(F.desc(name), key).limit(n)
 
 
+def day_chart(incidents: DataFrame) -> DataFrame:
+    """severity_by_day with each day's total, the largest total, and bar widths in percent of it."""
+    x = severity_by_day(incidents).withColumn("total", F.col("high") + F.col("medium") + F.col("low"))
+    x = x.withColumn("most", F.max("total").over(Window.partitionBy()))  # a row a day
+    return x.select("*", *[percent_of(F.col(c), F.col("most")).alias(f"{c}_width") for c in ("high", "medium", "low")])
+
+
+def top_sources(incidents: DataFrame, n: int) -> DataFrame:
+    """Sources of most incidents; of equal ones that which appears first."""
+    counts = incidents.groupBy("src").agg(F.count("*").alias("incidents"), F.min("first_us").alias("first_us"))
+    return counts.orderBy(F.desc("incidents"), "first_us", "src").limit(n).select("src", "incidents")
+
+
+def shown_and_hidden(rows: DataFrame, limit: int) -> DataFrame:
+    """How many rows a list of `limit` lines shows, and how many it hides."""
+    n = rows.agg(F.count("*").alias("n"))
+    return n.select(F.least("n", F.lit(limit)).alias("shown"), F.greatest(F.col("n") - limit, F.lit(0)).alias("hidden"))
+
+
+def shares(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows and share of each value of a key, and where it first occurs."""
+    x = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return x.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row a value
+
+
+def layers(alerts: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each group's alerts come from (one layer, or mixed) and how many were shown; alerts without `notified` were."""
+    return alerts.groupBy(*keys).agg(one_or_mixed(F.collect_set(layer())).alias("layer"), F.count("*").alias("alerts"), F.count_if(F.coalesce("notified", F.lit(True))).alias("shown"))
+
+
 def summarize(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("kind").agg(F.count("*").alias("logged"), F.count_if("notified").alias("notified"), F.countDistinct("src", "dst").alias("pairs"))
 
@@ -53,6 +83,22 @@ def evaluate(alerts: DataFrame, expected: DataFrame) -> DataFrame:
     return x.agg(F.count("kind").alias("logged"), F.count_if("notified").alias("notified"), (F.count("kind") > 0).alias("detected"), F.coalesce(F.bool_or(right), F.lit(False)).alias("correct"), F.coalesce(F.bool_or(right & F.col("notified")), F.lit(False)).alias("correct_shown"))
 
 
+def normal_captures(alerts: DataFrame, captures: DataFrame) -> DataFrame:
+    """Per capture of normal traffic: alerts, notices and kinds, all of which are false."""
+    x = captures.select("capture").join(alerts, "capture", "left").groupBy("capture")
+    return x.agg(F.count("kind").alias("alerts"), F.count_if("notified").alias("notified"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+def summary(evaluated: DataFrame, wrong: DataFrame, in_training: DataFrame) -> DataFrame:
+    """Totals of evaluate()'s captures apart by whether the model has seen them (capture, in_training)."""
+    bad = wrong.select("capture").distinct().withColumn("wrong", F.lit(True))
+    x = evaluated.join(in_training, "capture").join(bad, "capture", "left").groupBy("in_training")
+    return x.agg(
+        F.count("*").alias("captures"), F.count_if("detected").alias("detected"), F.count("expected").alias("checkable"), F.count_if("correct").alias("correct"), F.count_if("correct_shown").alias("shown"),
+        F.count_if(F.coalesce("wrong", F.lit(False))).alias("with_wrong"), F.sum("logged").alias("logged"), F.sum("notified").alias("notified"),
+    )
+
+
 def totals(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.count("*").alias("captures"), F.count_if("detected").alias("detected"), F.count_if("correct").alias("correct"), F.count_if("correct_shown").alias("shown"), F.sum("logged").alias("logged"), F.sum("notified").alias("notified"))
 
@@ -107,3 +153,10 @@ def markdown(title: str, df: DataFrame, limit: int = 1000) -> str:
     rows = df.limit(limit).collect()  # a report's lines
     line = lambda r: "| " + " | ".join("-" if v is None else str(v) for v in r) + " |"
     return "\n".join([f"## {title}", "", line(df.columns), "|" + "---|" * len(df.columns), *map(line, rows)]) + "\n"
+
+
+def metrics(alerts: DataFrame, expected: DataFrame, normal: DataFrame) -> str:
+    """The evaluation as a document; expected has capture, expected and in_training, normal has capture."""
+    found, wrong = evaluate(alerts, expected.select("capture", "expected")), wrong_kinds(alerts, expected.select("capture", "expected"))
+    parts = [("Summary", summary(found, wrong, expected.select("capture", "in_training"))), ("Attack captures", found.orderBy("capture")), ("Wrong kinds", wrong.orderBy("capture", "kind")), ("Normal captures", normal_captures(alerts, normal).orderBy("capture"))]
+    return "\n".join(["# Metrics", "", *[markdown(title, df) for title, df in parts]])

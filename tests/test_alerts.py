@@ -213,3 +213,43 @@ def test_loco_scores_leaves_out_each_host_of_all(spark, small, monkeypatch):
     catalog.loco_scores(spark, small)
     hosts = {r.host for r in catalog.dataset(spark, small).select("host").distinct().collect()}
     assert seen == [(hosts, {})] and len(hosts) > 3
+
+
+def test_leave_one_out_summary():
+    from flowloom.ml.classify import loco_summary
+
+    scores = {"D": [("a", "dos", 10, 1.0), ("b", "scan", 5, 0.5)], "A": [("a", "dos", 10, 0.9)], "B": []}
+    assert loco_summary(scores) == [("A", 0.9, 0.9, []), ("D", 0.75, 0.5, ["b"])]
+
+
+def test_decoys_are_scored_apart(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.ml.classify import decoy_holdout
+
+    rows = [(i, float(i % 2), "dos" if i % 2 else "normal", False) for i in range(80)] + [(100 + i, 1.0, "normal", True) for i in range(10)]
+    df = spark.createDataFrame(rows, "flow_seq long, x double, label string, decoy boolean")
+    split, decoys, first = decoy_holdout(df, ["x"], F.col("decoy"), trees=3, depth=3)
+    assert split == 1.0 and decoys == 0.0 and first[0][0] == "x"
+
+
+def test_training_tables(spark):
+    from flowloom.sources import datasets as D
+
+    df = spark.createDataFrame([(1, 2.0, None, "dos"), (2, float("inf"), 3.0, "scan"), (3, 1.0, 4.0, None)], "id long, a double, b double, Label string")
+    assert [tuple(r) for r in D.aligned(df, ["b", "missing", "id"]).collect()] == [(0.0, 0.0, 1.0), (3.0, 0.0, 2.0), (4.0, 0.0, 3.0)]
+    assert D.aligned(df, ["b"], fill=-1.0).first()[0] == -1.0
+    assert [r.new for r in D.renamed(df, {"a": "new"}, keep=("Label",)).collect()] == [2.0]
+    assert D.without_metadata(df.withColumnRenamed("b", "is_ipv6")).columns == ["id", "a", "Label"]
+    assert D.label_column(df) == "Label" and D.feature_columns(df, "Label") == ["id", "a", "b"]
+    assert D.label_column(df.drop("Label")) is None and D.feature_columns(df, None, {"features": ["z"]}) == ["z"]
+    assert D.aligned(df.limit(0), ["b"]).count() == 0
+    assert D.of_label(spark.createDataFrame([("x", "normal"), ("y", "dos")], "path string, label string")).collect()[0].path == "x"
+
+
+def test_metrics_document(spark):
+    from flowloom.plans import reports as R
+
+    alerts = spark.createDataFrame([("c", "dos", True), ("c", "scan", False), ("n", "dos", False)], "capture string, kind string, notified boolean")
+    text = R.metrics(alerts, spark.createDataFrame([("c", "dos", False)], "capture string, expected string, in_training boolean"), spark.createDataFrame([("n",), ("m",)], "capture string"))
+    assert "| c | dos | 2 | 1 | True | True | True |" in text and "| n | 1 | 0 | dos |" in text and "| m | 0 | 0 |  |" in text
