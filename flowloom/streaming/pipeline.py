@@ -6,6 +6,7 @@ Batch and stream share expressions and automata; a stream's windows lie on a fix
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,7 +75,7 @@ POLICY_OUT = "capture string, source string, destination string, window_us long,
 POLICY_STATE = "families array<string>, times array<long>, shown array<int>, held array<struct<family: string, kind: string, n: long>>"
 
 
-def _policy(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _policy(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, carry: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     s = P.new_state()
     if state.exists:
         families, times, shown, held = state.get
@@ -85,18 +86,20 @@ def _policy(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rows["generic"] = rows["kind"].isin(K.GENERIC)
     rows = rows.sort_values(["window_us", "generic", "stage", "idx"], kind="stable")
     out = []
-    for t, kind in zip(rows["window_us"], rows["kind"]):
+    for t, kind, *more in zip(rows["window_us"], rows["kind"], *[rows[c] for c in carry]):
         r = P.step(s, kind, int(t))
-        out.append((*key, int(t), kind, r["notified"], r["upgrade"], r["suppressed_repeats"]))
+        out.append((*key, int(t), kind, r["notified"], r["upgrade"], r["suppressed_repeats"], *more))
     families = list(s["time"])
     state.update((families, [s["time"][f] for f in families], [s["shown"][f] for f in families], [(f, k, n) for f, c in s["held"].items() for k, n in c.items()]))
-    more = pd.DataFrame(out, columns=["capture", "source", "destination", "window_us", "kind", "notified", "upgrade", "suppressed_repeats"])
+    more = pd.DataFrame(out, columns=["capture", "source", "destination", "window_us", "kind", "notified", "upgrade", "suppressed_repeats", *carry])
     yield more.assign(suppressed_repeats=more["suppressed_repeats"].astype("Int64"), upgrade=more["upgrade"].astype("boolean"))
 
 
-def policy(alerts: DataFrame) -> DataFrame:
-    """The policy over a stream of alerts (capture, source, destination, window_us, kind, stage, idx)."""
-    return alerts.groupBy("capture", "source", "destination").applyInPandasWithState(_policy, POLICY_OUT, POLICY_STATE, "append", GroupStateTimeout.NoTimeout)
+def policy(alerts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The policy over a stream of alerts (capture, source, destination, window_us, kind, stage, idx); `carry`: further columns to keep."""
+    kinds = dict(alerts.dtypes)
+    schema = ", ".join([POLICY_OUT, *[f"{c} {kinds[c]}" for c in carry]])
+    return alerts.groupBy("capture", "source", "destination").applyInPandasWithState(partial(_policy, carry=carry), schema, POLICY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def write_alerts(alerts: DataFrame, path: str, checkpoint: str, every: str = "5 seconds"):
