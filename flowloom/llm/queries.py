@@ -6,9 +6,12 @@ from .audio import op5_chroma
 from .chaining import op9_chaining
 from .classlm import op4_class_lm
 from .decontam import op6_decontamination
+from .interaction import op13_interaction
+from .licenses import op11_licenses
 from .oracles import ORACLE_SQL
 from .packing import op8_packing
 from .pii import op7_pii
+from .resampling import op12_resampling
 from .simhash import op3_simhash
 from .tokens import op1_token_ids
 from .toxicity import op2_toxicity
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chaining": op9_chaining,
     "op10_url_graph": op10_url_graph,
+    "op11_licenses": op11_licenses,
+    "op12_resampling": op12_resampling,
+    "op13_interaction": op13_interaction,
 }
 
 
