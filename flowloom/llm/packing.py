@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches, release, table
-from .tokens import CACHE_ENTRIES, VOCABULARY, encoder
+from .tokens import VOCABULARY, encoder
 
 WINDOW = 2048
 #: Ids of the documents that one block packs (4 bytes each).
@@ -166,23 +166,22 @@ def _block(ids: list[np.ndarray], docs: list, first: int, window: int) -> tuple[
     return batches({k: pa.array(v, pa.int64()) for k, v in zip(names, cols)}), first
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS, cache: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `window` tokens; a row a piece (see PIECES).
 
     sequence_id is the task's number times 2^32 plus a count within the task. Null text: the end id alone. Null or repeated
     doc_ids: each row is a document of its own and keeps its id. An empty table gives no row. Other columns are not read.
-    `cache` bounds what a worker keeps of encoded pieces; it has no bearing on the rows.
     """
 
     def work(it):
         from pyspark import TaskContext
 
-        encode_all, number = encoder(vocabulary, cache).encode, TaskContext.get().partitionId() << 32
+        words, number = encoder(vocabulary), TaskContext.get().partitionId() << 32
         end, ids, names, size = np.array([end_id], "<u4").tobytes(), [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 8):
-                for d, x in zip(doc_ids[at : at + 8], encode_all([t or "" for t in texts.slice(at, 8).to_pylist()])):
+                for d, x in zip(doc_ids[at : at + 8], words.encode([t or "" for t in texts.slice(at, 8).to_pylist()])):
                     ids.append(np.frombuffer(x + end, "<u4"))
                     names.append(d)
                     size += len(ids[-1])
@@ -191,6 +190,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
                     yield out
                     ids, names, size = [], [], 0
                     release()
+        words.forget()
+        release()
         if ids:
             yield _block(ids, names, number, window)[0]
 

@@ -16,8 +16,10 @@ VOCABULARY = "byte_bpe_50k.json"
 SEGMENT_IDS = 1 << 21
 #: Segment starts (24 bytes each) are broadcast to the reader up to this many; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
-#: Entries of the cache of encoded chunks in a worker (some 500 bytes each); it is emptied when full.
-CACHE_ENTRIES = 700_000
+#: Bytes of encoded pieces that a worker keeps while a task runs.
+CACHE_BYTES = 64 << 20
+#: What a piece costs beside its letters and ids: two objects and its share of the table.
+PIECE_BYTES = 220
 
 
 class Encoder:
@@ -27,9 +29,12 @@ class Encoder:
     it does alone. So a text falls into a head and pieces at such spaces and line ends; each distinct piece is encoded once by
     the library (many in one call, and cut by the bytes that each id stands for) and cached. White space that stands
     together stays in one piece. A piece is kept without its space; one that begins a line is kept with the line end.
+
+    The cache holds two generations of half its bytes each: when the younger is full it becomes the older, whose pieces come
+    back as they are met again, so frequent pieces stay and rare ones go. forget() empties it, as tasks do at their end.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES):
+    def __init__(self, vocabulary: str = VOCABULARY, room: int = CACHE_BYTES):
         import os
         import re
 
@@ -37,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(public_tokenizers.path(vocabulary)), entries, {}
+        self.tokenizer, self.room = Tokenizer.from_file(public_tokenizers.path(vocabulary)), room
+        self.forget()
         self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -46,6 +52,19 @@ class Encoder:
         for token, i in vocab.items():
             self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
 
+    def forget(self) -> None:
+        self.cache, self.older, self.held = {}, {}, 0
+
+    def _make_room(self, new: set[str]) -> list[str]:
+        """Brings back what the older generation has of the new pieces, and returns the others."""
+        self.held += sum(map(len, new)) * 3 + PIECE_BYTES * len(new)
+        if self.held > self.room // 2:
+            self.cache, self.older, self.held = {}, self.cache, 0
+        back = [x for x in new if x in self.older]
+        for x in back:
+            self.cache[x] = self.older.pop(x)
+        return [x for x in new if x not in self.cache] if back else list(new)
+
     def pieces(self, text: str) -> list[str]:
         """The head, then pieces whose ids, one after the other, follow the head's."""
         if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or self.other_space(text)):
@@ -83,7 +102,8 @@ class Encoder:
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, split = self.cache.get, [self.pieces(x) for x in texts]
+        cache, split = self.cache, [self.pieces(x) for x in texts]
+        get = cache.get
         heads = self._ids([x[0] for x in split])
         found, gaps, new = [], [], set()
         for pieces in split:
@@ -98,9 +118,10 @@ class Encoder:
                 found.append(ids)
                 gaps.append(places)
         if new:
-            if len(self.cache) + len(new) > self.entries:
-                self.cache.clear()
-            self._learn(list(new))
+            unknown = self._make_room(new)
+            if unknown:
+                self._learn(unknown)
+            get = self.cache.get
             for pieces, ids, places in zip(split, found, gaps):
                 for at in places:
                     ids[at] = get(pieces[at])
@@ -110,11 +131,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, entries: int = CACHE_ENTRIES) -> Encoder:
-    """The encoder of this worker process, whose cache serves all of its tasks; from now on it holds `entries` pieces."""
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """The encoder of this worker process. A task that is done with it calls its forget(): workers outlive their tasks."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
-    _ENCODERS[vocabulary].entries = entries
     return _ENCODERS[vocabulary]
 
 
@@ -205,12 +225,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
     def encode(it):
         from pyspark import TaskContext
 
-        shard, number, encode_all, end = TaskContext.get().partitionId(), 0, encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        shard, number, words, end = TaskContext.get().partitionId(), 0, encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         held_docs, held, size = [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 8):
-                for d, x in zip(doc_ids[at : at + 8], encode_all([t or "" for t in texts.slice(at, 8).to_pylist()])):
+                for d, x in zip(doc_ids[at : at + 8], words.encode([t or "" for t in texts.slice(at, 8).to_pylist()])):
                     x += end
                     if held and size + len(x) // 4 > SEGMENT_IDS:
                         yield batches(_segment(shard, number, held_docs, held))
@@ -218,6 +238,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
                     held_docs.append(d)
                     held.append(x)
                     size += len(x) // 4
+        words.forget()
         if held:
             yield batches(_segment(shard, number, held_docs, held))
 
@@ -248,14 +269,15 @@ def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
 
     def decode(it):
         for batch in it:
-            for row in batch.to_pylist():
+            names = [c for c in batch.schema.names if c not in ("ids", "doc_ids")]
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in names}
                 ends = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-                raw, before = np.frombuffer(row["ids"], f"<u{row['width']}"), 0
+                raw, before, documents = np.frombuffer(batch.column("ids")[i].as_buffer(), f"<u{row['width']}"), 0, batch.column("doc_ids")[i].values
                 for k in range(len(ends)):  # the boundaries of SAMPLE documents at a time, never a table of all
                     stop = ends.block(k)
                     begin, before = np.concatenate([[before], stop[:-1]]), int(stop[-1])
-                    ids = row["doc_ids"][k * ends.SAMPLE : k * ends.SAMPLE + len(stop)]
-                    yield batches({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(begin + row["first"], pa.int64()), "n_tokens": pa.array(stop - begin, pa.int64()), name: last([raw[s:e] for s, e in zip(begin, stop)])})
+                    yield batches({"doc_id": documents.slice(k * ends.SAMPLE, len(stop)), "start": pa.array(begin + row["first"], pa.int64()), "n_tokens": pa.array(stop - begin, pa.int64()), name: last([raw[s:e] for s, e in zip(begin, stop)])})
 
     if counts.count() <= BROADCAST_SEGMENTS:
         starts = F.broadcast(starts)

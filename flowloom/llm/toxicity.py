@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Workspace, batches, drop_ids, passes, table, word_hashes, words_in
+from .common import LETTER_WORDS, Workspace, batches, drop_ids, mix, passes, table, word_hashes, words_in
 
 GRADES = 3
 #: Labelled rows the model is fitted on at most (those of least hash). Words of fewer of these rows have no weight.
@@ -82,12 +82,12 @@ def fit(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, n_words: int, r
     return _descend(rows[use], words[use], grades, n_words, w, theta, RELAXED, 10 * rounds) if use.any() else (w, theta)
 
 
-def severities(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
-    """Grades of labelled texts: each half's toxic texts are scored by a model of the other half, and split at their median."""
-    grades, half = (toxic > 0).astype(int), np.arange(len(toxic)) % 2
+def severities(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, half: np.ndarray, n_words: int) -> np.ndarray:
+    """Grades of labelled texts: the toxic texts of each half (0 or 1) are scored by a model of the other half, and split at their median."""
+    grades = (toxic > 0).astype(int)
     for side in (0, 1):
-        use = half[rows] != side
-        w, _ = fit(rows[use] // 2, words[use], grades[half != side], n_words)
+        use, place = half[rows] != side, np.cumsum(half != side) - 1
+        w, _ = fit(place[rows[use]], words[use], (toxic > 0).astype(int)[half != side], n_words)
         s = np.bincount(rows, weights=w[words], minlength=len(toxic))
         mine = (half == side) & (toxic > 0)
         if mine.any():
@@ -124,23 +124,25 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled documents, those of the smallest hash of doc_id; without any, nothing is toxic.
 
-    Of repeated labels a toxic one counts; null doc_ids and null labels are left out.
+    Of repeated labels a toxic one counts; null doc_ids and null labels are left out; of documents that share an id one counts, that of
+    the smallest hash. Rows are put in the order of doc_id and halved by its hash, so the model doesn't depend on how they were read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
-    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("grade"))
+    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("grade"))
     chosen = work.keep(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen")  # at most `rows` rows of 12 bytes
 
     def hashed(it):
         for batch in it:
-            for at, n, data, offsets in passes(batch.column(0)):
+            for at, n, data, offsets in passes(batch.column(2)):
                 s, e, r = words_in(data, offsets, LETTER_WORDS)
                 h, cut = word_hashes(data, s, e, LETTER_WORDS).view(np.int64), np.searchsorted(r, np.arange(n + 1))
                 lists = [np.unique(h[cut[i] : cut[i + 1]]) for i in range(n)]
-                yield batches({"grade": batch.column(1).slice(at, n), "words": pa.array(lists, pa.list_(pa.int64()))})
+                yield batches({"doc_id": batch.column(0).slice(at, n), "grade": batch.column(1).slice(at, n), "words": pa.array(lists, pa.list_(pa.int64()))})
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
-    features = work.keep(texts.mapInArrow(hashed, "grade int, words array<long>"), "features")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "grade", "t.text")
+    features = work.keep(texts.mapInArrow(hashed, "doc_id long, grade int, words array<long>"), "features")
     # The rows are bounded, and so are their words that LEAST_ROWS of them hold.
     common = features.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_ROWS)
     common = common.select("word").toArrow().column(0).to_numpy()
@@ -148,21 +150,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def indexed(it):
         for batch in it:
-            words = batch.column(1)
+            words = batch.column(2)
             size = np.diff(words.offsets.to_numpy())
             flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row, which = _distinct(np.repeat(np.arange(len(size)), size), flat, keys)
             cut = np.searchsorted(row, np.arange(len(size) + 1))
-            yield batches({"grade": batch.column(0), "words": pa.array([which[cut[i] : cut[i + 1]].astype(np.int32) for i in range(len(size))], pa.list_(pa.int32()))})
+            yield batches({"doc_id": batch.column(0), "grade": batch.column(1), "words": pa.array([which[cut[i] : cut[i + 1]].astype(np.int32) for i in range(len(size))], pa.list_(pa.int32()))})
 
-    got = features.mapInArrow(indexed, "grade int, words array<int>").toArrow().combine_chunks()
+    got = features.mapInArrow(indexed, "doc_id long, grade int, words array<int>").toArrow().sort_by("doc_id").combine_chunks()
     work.drop()
-    grades = got.column(0).to_numpy().astype(int)
-    lists = got.column(1).combine_chunks() if got.num_rows else None
-    size = np.array([len(x) for x in got.column(1)]) if got.num_rows else np.zeros(0, int)
+    grades = got.column(1).to_numpy().astype(int)
+    half = (mix(got.column(0).to_numpy().astype(np.uint64)) & np.uint64(1)).astype(int)
+    lists = got.column(2).combine_chunks() if got.num_rows else None
+    size = np.array([len(x) for x in got.column(2)]) if got.num_rows else np.zeros(0, int)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(int) if lists is not None else np.zeros(0, int)
     at = np.repeat(np.arange(len(size)), size)
-    weights, theta = fit(at, flat, severities(at, flat, grades, len(keys)), len(keys))
+    weights, theta = fit(at, flat, severities(at, flat, grades, half, len(keys)), len(keys))
     return Model(keys, weights, theta if len(grades) else np.full(GRADES - 1, 40.0))
 
 

@@ -56,7 +56,7 @@ def test_encoder_is_exact_on_odd_texts():
     r = random.Random(3)
     bits = ["a", "foo", " ", "  ", "\n", "\t", " \n", "é", "世界", "\u3000", "12", "'s", "...", "<|endoftext|>", "\x1c", ",", ".", "_.", ". ", ".\n", "Word", "\0"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(4000)]
-    e = tokens.Encoder(entries=300)
+    e = tokens.Encoder(room=100_000)
     got = [y for i in range(0, len(texts), 8) for y in e.encode(texts[i : i + 8])]
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert got == want
@@ -412,6 +412,60 @@ def test_toxicity_learns_planted_words(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def labelled(spark, small):
+    return table(spark, small.replace("sf0.001", "sf0.01"), "documents"), table(spark, small.replace("sf0.001", "sf0.01"), "labels")
+
+
+def test_toxicity_does_not_depend_on_the_layout(spark, labelled):
+    docs, labels = labelled
+    again = docs.union(docs.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" other text of the id"))))
+    rows = [sorted(map(tuple, toxicity.score(docs, toxicity.train(again.repartition(n, "text"), labels.repartition(n))).collect())) for n in (1, 3, 16)]
+    assert rows[0] == rows[1] == rows[2] and any(x[-1] for x in rows[0])
+
+
+def test_toxicity_scores_as_a_plain_sum_of_weights(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    for d, text in docs.select("doc_id", "text").collect():
+        s = sum(weight.get(int(word_hash(w, LETTER_WORDS)), 0.0) for w in sorted(set(LETTERS.findall((text or "").encode().lower()))))
+        over = [1 - 1 / (1 + math.exp(-(t - s))) for t in model.theta]
+        each = [1 - over[0], over[0] - over[1], over[1]]
+        x = got[d]
+        assert math.isclose(x.score, s, abs_tol=1e-9) and math.isclose(x.severity, sum(over), abs_tol=1e-9) and x.rejected == (x.p_toxic >= toxicity.REJECT)
+        assert each[x.grade] >= max(each) - 1e-9
+
+
+def test_toxicity_fit_is_stationary():
+    """The relaxed fit's own objective can't be lowered along any weight or threshold."""
+    r = np.random.default_rng(3)
+    n, words = 1200, 6
+    grades = r.integers(0, 3, n)
+    rows, cols = np.nonzero(r.random((n, words)) < 0.15 + 0.2 * (grades[:, None] > np.arange(words) % 3))
+    w, theta = toxicity.fit(rows, cols, grades, words)
+
+    def loss(w, theta):
+        s = np.bincount(rows, weights=w[cols], minlength=n)
+        low = np.concatenate([[-np.inf], theta, [np.inf]])
+        p = 1 / (1 + np.exp(-np.clip(low[grades + 1] - s, -700, 700))) - 1 / (1 + np.exp(-np.clip(low[grades] - s, -700, 700)))
+        return -np.log(p).sum() + toxicity.RELAXED * np.abs(w).sum()
+
+    base = loss(w, theta)
+    for i in range(words):
+        for step in (1e-2, -1e-2):
+            if w[i]:
+                moved = w.copy()
+                moved[i] += step
+                assert loss(moved, theta) >= base - 1e-6
+    for i in (0, 1):
+        for step in (1e-2, -1e-2):
+            moved = theta.copy()
+            moved[i] += step
+            assert loss(w, moved) >= base - 1e-6
+
+
 def test_ordinal_gradient_fits_ordered_grades():
     r = np.random.default_rng(0)
     n = 1500
