@@ -220,16 +220,25 @@ def incidents(s, d):
     return found(s, d).select("src", "kind", "severity", "alert_count", F.round("confidence", 6).alias("confidence"), "first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), joined("destinations"))
 
 
+def _campaigns(alerts: DataFrame) -> DataFrame:
+    rows = I.incidents(alerts.withColumnRenamed("event_id", "seq")).withColumn("seq", F.xxhash64("src", "kind", "first_us"))
+    return I.campaigns(rows).select("first_us", "last_us", "alert_count", "incidents", F.round("confidence", 6).alias("confidence"), joined("sources"), joined("kinds"), joined("destinations"), "pattern", "severity")
+
+
 @query
 def campaigns(s, d):
-    rows = found(s, d).withColumn("seq", F.xxhash64("src", "kind", "first_us"))
-    return I.campaigns(rows).select("first_us", "last_us", "alert_count", "incidents", F.round("confidence", 6).alias("confidence"), joined("sources"), joined("kinds"), joined("destinations"), "pattern", "severity")
+    return _campaigns(adapters.site_alerts(s, d))
 
 
 @query
 def sample_campaigns(s, d):
-    rows = I.incidents(alert_files.sample_alerts(s)).withColumn("seq", F.xxhash64("src", "kind", "first_us"))
-    return I.campaigns(rows).select("first_us", "last_us", "alert_count", "incidents", joined("sources"), joined("kinds"), "pattern", "severity")
+    """Campaigns of what the alert log of a session holds: the table's alerts, appended as JSON lines and read back, with broken lines among them."""
+    path = Workspace(s, "alert-log").path
+    rows = adapters.alerts(s, d)
+    log = rows.select(F.to_json(F.struct("event_id", "src", "dst", "kind", "t_us", "confidence")).alias("value"))
+    log.union(rows.where("event_id % 100 = 0").select(F.lit("{not a record"))).write.mode("append").text(path)
+    found = s.read.schema("event_id long, src string, dst string, kind string, t_us long, confidence double").json(path)
+    return _campaigns(found.where("event_id IS NOT NULL"))
 
 
 @query

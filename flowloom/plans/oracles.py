@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.adapters import ALERTS_SQL, PACKETS_SQL
+from ..sources.adapters import ALERTS_SQL, SITES_SQL, PACKETS_SQL
 
 PACKETS = f"p AS ({PACKETS_SQL.format(events='events')})"
 WINDOWS = f"""WITH RECURSIVE {PACKETS},
@@ -36,13 +36,33 @@ ALERTS = f"a AS ({ALERTS_SQL.format(events='events')})"
 CASE_SEVERITY = """CASE WHEN kind LIKE '%dos%' OR kind LIKE '%flood%' OR kind LIKE '%slowloris%' THEN 'HIGH' WHEN kind LIKE '%fragment%' OR kind LIKE '%stealth%' OR kind LIKE '%ack_scan%' THEN 'MEDIUM'
   WHEN kind LIKE '%brute%' THEN CASE WHEN alert_count >= 5 THEN 'HIGH' ELSE 'MEDIUM' END WHEN kind LIKE '%scan%' THEN CASE WHEN alert_count >= 3 THEN 'MEDIUM' ELSE 'LOW' END
   WHEN alert_count >= 3 THEN 'MEDIUM' ELSE 'LOW' END"""
-INCIDENTS = f"""WITH {ALERTS},
-o AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER q <= CASE WHEN kind LIKE '%slow%' THEN 1800000000 ELSE 300000000 END THEN 0 ELSE 1 END AS opens FROM a WINDOW q AS (PARTITION BY src, kind ORDER BY t_us, event_id)),
+_INCIDENTS = f"""o AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER q <= CASE WHEN kind LIKE '%slow%' THEN 1800000000 ELSE 300000000 END THEN 0 ELSE 1 END AS opens FROM a WINDOW q AS (PARTITION BY src, kind ORDER BY t_us, event_id)),
 ss AS (SELECT *, sum(opens) OVER (PARTITION BY src, kind ORDER BY t_us, event_id) AS session FROM o),
 d AS (SELECT src, kind, session, dst, min(event_id) AS first_id FROM ss GROUP BY ALL),
 dd AS (SELECT src, kind, session, string_agg(dst, ',' ORDER BY first_id) AS destinations FROM d GROUP BY ALL),
 m AS (SELECT src, kind, session, count(*) AS alert_count, sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(confidence) / 1e6 AS confidence, min(t_us) AS first_us, max(t_us) AS last_us FROM ss GROUP BY ALL),
 inc AS (SELECT m.*, destinations, {CASE_SEVERITY} AS severity FROM m JOIN dd USING (src, kind, session))"""
+INCIDENTS = f"WITH {ALERTS},\n{_INCIDENTS}"
+_REAL = "NOT IN ('unknown', 'multiple')"
+#: First fit, an incident of every epoch at a time: the state is the epoch's list of campaigns so far.
+CAMPAIGNS = """WITH RECURSIVE a AS ({alerts}),
+{incidents},
+e1 AS (SELECT *, string_split(destinations, ',') AS dl, max(last_us) OVER (ORDER BY first_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM inc),
+e2 AS (SELECT *, sum(CASE WHEN ended IS NULL OR first_us > ended + 120000000 THEN 1 ELSE 0 END) OVER (ORDER BY first_us) AS epoch FROM e1),
+q AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY first_us) AS k, CASE WHEN src {real} THEN [src] ELSE [] END AS rs, list_filter(dl, lambda x: x {real}) AS rd FROM e2),
+fit AS (SELECT epoch, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(f BIGINT, l BIGINT, s VARCHAR[], d VARCHAR[])[]) AS cs FROM (SELECT DISTINCT epoch FROM q)
+  UNION ALL SELECT epoch, k, CASE WHEN hit IS NULL THEN len(cs) + 1 ELSE hit END, CASE WHEN hit IS NULL THEN list_append(cs, {{'f': first_us, 'l': last_us, 's': rs, 'd': rd}}) ELSE list_concat(cs[1:hit - 1],
+    [{{'f': least(cs[hit].f, first_us), 'l': greatest(cs[hit].l, last_us), 's': list_distinct(list_concat(cs[hit].s, rs)), 'd': list_distinct(list_concat(cs[hit].d, rd))}}], cs[hit + 1:]) END
+  FROM (SELECT q.*, r.cs, list_filter(range(1, len(r.cs) + 1), lambda i: q.first_us <= r.cs[i].l + 120000000 AND q.last_us >= r.cs[i].f - 120000000 AND (list_has_any(r.cs[i].s, q.rs) OR list_has_any(r.cs[i].d, q.rd)))[1] AS hit
+    FROM fit r JOIN q ON q.epoch = r.epoch AND q.k = r.k + 1)),
+y AS (SELECT q.*, place FROM q JOIN fit USING (epoch, k)),
+sn AS (SELECT epoch, place, string_agg(src, ',' ORDER BY k) AS sources, count(*) FILTER (WHERE src {real}) >= 3 AS many FROM (SELECT epoch, place, src, min(k) AS k FROM y GROUP BY ALL) GROUP BY ALL),
+kn AS (SELECT epoch, place, string_agg(kind, ',' ORDER BY k) AS kinds, bool_or(kind LIKE '%scan%') AND bool_or(kind LIKE '%brute%' OR kind LIKE '%dos%') AS staged FROM (SELECT epoch, place, kind, min(k) AS k FROM y GROUP BY ALL) GROUP BY ALL),
+dn AS (SELECT epoch, place, string_agg(dst, ',' ORDER BY pos) AS destinations FROM (SELECT epoch, place, dst, min(k * 100000 + i) AS pos FROM (SELECT epoch, place, k, unnest(dl) AS dst, generate_subscripts(dl, 1) AS i FROM y) GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT epoch, place, min(first_us) AS first_us, max(last_us) AS last_us, CAST(sum(alert_count) AS BIGINT) AS alert_count, count(*) AS incidents, round(sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(confidence) / 1e6, 6) AS confidence,
+  max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank FROM y GROUP BY ALL)
+SELECT first_us, last_us, alert_count, incidents, confidence, sources, kinds, destinations, CASE WHEN many AND staged THEN 'multi-source + multi-stage' WHEN staged THEN 'multi-stage' WHEN many THEN 'multi-source' ELSE 'single' END AS pattern,
+  CASE WHEN staged OR rank = 3 THEN 'HIGH' WHEN rank = 2 OR many THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c JOIN sn USING (epoch, place) JOIN kn USING (epoch, place) JOIN dn USING (epoch, place)"""
 SCORED = f"""{FLOWS},
 sc AS (SELECT *, CASE WHEN proto = 'UDP' THEN CASE WHEN replied THEN 'normal' ELSE 'udp_scan' END WHEN syn_count > 0 AND ack_count = 0 AND dport = 80 THEN 'syn_flood' WHEN syn_count > 0 AND ack_count = 0 THEN 'scan'
   WHEN ack_count > 0 AND dport = 80 THEN 'dos' ELSE 'normal' END AS verdict, 0.5 + (flow_seq % 50) / 100.0 AS conf FROM f WHERE proto <> 'ICMP'),
@@ -101,6 +121,8 @@ SELECT window_id, flow_seq, ctx_src_flows, ctx_src_ports, ctx_src_dsts, round(ct
     "slowloris_alerts": f"""{SLOWLORIS} hot AS (SELECT *, lag(window_us) OVER (PARTITION BY host_a, host_b, port ORDER BY window_us) AS prev FROM pr WHERE len(conns) >= 20 AND persistent >= 10),
 ep AS (SELECT *, sum(CASE WHEN prev IS NULL OR window_us - prev > 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY host_a, host_b, port ORDER BY window_us) AS episode FROM hot)
 SELECT window_us, host_a, host_b, port, CAST(len(conns) AS BIGINT) AS connections, CAST(persistent AS BIGINT) AS persistent FROM ep QUALIFY row_number() OVER (PARTITION BY host_a, host_b, port, episode ORDER BY window_us) = 3""",
+    "campaigns": CAMPAIGNS.format(alerts=SITES_SQL.format(events="events"), incidents=_INCIDENTS, real=_REAL),
+    "sample_campaigns": CAMPAIGNS.format(alerts=ALERTS_SQL.format(events="events"), incidents=_INCIDENTS, real=_REAL),
     "campaign_labels": f"{SCORED} SELECT window_id, src, dst, verdict, num_flows, num_ports, confidence, kind FROM lab",
     "evasion_suppression": f"{SCORED}, {STEALTH}, {ACKS} SELECT window_id, src, dst, kind FROM lab WHERE kind IS NOT NULL AND NOT (kind = 'udp_scan' AND EXISTS (SELECT 1 FROM (SELECT window_id, src FROM stealth UNION SELECT window_id, src FROM acks) e WHERE e.window_id = lab.window_id AND e.src = lab.src))",
     "low_conf_filter": f"{SCORED} SELECT window_id, src, dst, kind, confidence FROM lab WHERE kind IS NOT NULL AND NOT coalesce(confidence < 0.7, false)",

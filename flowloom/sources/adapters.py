@@ -45,6 +45,21 @@ SELECT event_id,
 FROM {events}
 """
 
+#: Alerts of many small networks: bursts of 400, two hours apart, with some hosts that networks share and some that aren't known.
+SITES_SQL = """
+SELECT event_id,
+  CASE WHEN event_id % 47 = 0 THEN 'multiple' ELSE concat('10.', CAST(user_id % 8 AS STRING), '.0.', CAST(user_id % 7 AS STRING)) END AS src,
+  CASE WHEN event_id % 53 = 0 THEN 'unknown' WHEN event_id % 211 = 0 THEN '192.168.9.9'
+       ELSE concat('192.168.', CAST(user_id % 8 AS STRING), '.', CAST(event_id % 3 AS STRING)) END AS dst,
+  CASE event_type WHEN 'click' THEN 'port_scan' WHEN 'view' THEN 'slow_scan' WHEN 'purchase' THEN 'brute_force'
+                  WHEN 'error' THEN 'dos' ELSE 'anomaly' END AS kind,
+  1704067200000000 + event_id * 4000000 + CAST(floor(event_id / 400) AS BIGINT) * 7200000000 AS t_us,
+  CASE WHEN event_type IN ('click', 'purchase', 'error') THEN round(value - floor(value), 2) END AS confidence,
+  event_id % 3 = 0 AS notified,
+  concat('cap', CAST(event_id % 5 AS STRING)) AS capture
+FROM {events}
+"""
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -58,3 +73,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert relation: event_id, src, dst, kind, t_us, confidence, notified, capture."""
     return spark.sql(ALERTS_SQL, events=events(spark, sf_dir))
+
+
+def site_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As alerts, of many networks."""
+    return spark.sql(SITES_SQL, events=events(spark, sf_dir))
