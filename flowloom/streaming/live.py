@@ -1,7 +1,9 @@
 """The whole detection as two streaming queries: packets to alerts, alerts to notices.
 
 The first closes anchored windows batch by batch. A capture's windows are closed up to `LATE_US` before its newest packet; what
-stays open is carried to the next batch, which so anchors where this one ended. With the flows and fragments of the last
+stays open is carried to the next batch, which so anchors where this one ended. A packet that comes so late that its time lies before
+the end of a closed window is dropped and counted (`late_packets`), as it can't move that window any more; a late one after that counts
+like all others. With the flows and fragments of the last
 `HISTORY_US` (twice the scans' memory, so that counts of the nearer half are whole) the batch detectors give the alerts
 of the newly closed windows, the same as over the whole capture. Only slowloris differs: connections that a triple last held more
 than `HISTORY_US` ago aren't known any more.
@@ -34,6 +36,7 @@ ALERT = (
     "capture string, window_id long, window_us long, stage int, idx string, kind string, source string, destination string, num_flows long, num_ports long, "
     "model_verdict string, confidence double, description string, model_unsure struct<verdict: string, confidence: double>"
 )
+ENDS, LATE = "capture string, end_us long", "capture string, packets long"
 NOTE = "capture string, src string, dst string, window_us long, kind string, verdict string, confidence double"
 
 
@@ -65,6 +68,11 @@ class Detector:
         spark = batch.sparkSession
         carried = self._last(spark, number, "open", PACKET + ", base long")
         names = _names(PACKET)
+        ends = self._last(spark, number, "ends", ENDS)  # a row a capture
+        batch = batch.select(*names).join(ends, "capture", "left").withColumn("late", F.coalesce(F.col("ts_us") < F.col("end_us"), F.lit(False)))
+        late = batch.where("late").groupBy("capture").agg(F.count("*").alias("packets"))
+        self._keep(self._last(spark, number, "late", LATE).unionByName(late).groupBy("capture").agg(F.sum("packets").alias("packets")), number, "late")
+        batch = batch.where("NOT late")
         bases = carried.groupBy("capture").agg(F.max("base").alias("base"))
         met = W.anchored(carried.select(*names).unionByName(batch.select(*names))).join(bases, "capture", "left")
         met = met.withColumn("window_id", F.col("window_id") + F.coalesce("base", F.lit(0))).drop("base")
@@ -75,6 +83,7 @@ class Detector:
         split = met.join(edge, "capture")
         self._keep(split.where("window_id >= edge").select(*names, F.col("edge").alias("base")), number, "open")
         closed = split.where("window_id < edge").select(*names, "window_id", "window_us")
+        self._keep(ends.unionByName(closed.select("capture", (F.col("window_us") + K.WINDOW_US).alias("end_us"))).groupBy("capture").agg(F.max("end_us").alias("end_us")), number, "ends")
 
         flows = self._keep(FL.flows(closed), number, "fresh")
         labelled = self._keep(L.campaigns(self.score(flows)), number, "labels")
@@ -115,6 +124,14 @@ def detect(packets: DataFrame, alerts: str, checkpoint: str, score: Callable[[Da
     return packets.writeStream.foreachBatch(detector).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def late_packets(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """capture, packets: how many packets of a detect() query came too late so far."""
+    fs, place = Detector(f"{checkpoint}/state", "")._fs(spark, f"{checkpoint}/state")
+    numbers = sorted(int(x.getPath().getName()) for x in fs.listStatus(place)) if fs.exists(place) else []
+    done = [n for n in numbers if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state/{n}/late/_SUCCESS"))]
+    return spark.read.schema(LATE).parquet(f"{checkpoint}/state/{done[-1]}/late") if done else spark.createDataFrame([], LATE)
+
+
 def notify(spark: SparkSession, alerts: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Starts the second query: the alerts that detect() writes, with the policy's decision, as JSON lines below out."""
     rows = spark.readStream.schema(ALERT).option("recursiveFileLookup", True).parquet(alerts)
