@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import is_scan_probe, slowloris_triple, stealth_type
+from ..workspace import Workspace
 
 WIN = ("capture", "window_id", "window_us")
 
@@ -79,17 +80,39 @@ def scan_edges(probes: DataFrame, keys: list[str], distinct: int, order: str = "
     """Checks at which a key's distinct ports of the last history_us reach `distinct` anew (probes: keys, window_us, port, order).
 
     Every probe is a check in order. What counts at a check: ports of the key's earlier windows within the history, and
-    those seen so far in its own window. Ports are gathered once a (key, window), so a key's frame holds windows, not probes.
+    those seen so far in its own window. Probes with a null key are left out; a null port is a check that adds nothing.
+
+    A window's count only grows, so it crosses at most once: at its first probe, as other ports have been remembered since the window
+    before, or at its k-th new port. Probes are reduced to the first of each port of a window before they are shuffled. How long a
+    port is remembered follows from its own next sight, by (key, port); how many are, from adding these up along the key's windows,
+    a row a window. So no task orders the probes of a busy target or holds its ports.
     """
-    own = Window.partitionBy(*keys, "window_us")
-    x = probes.withColumn("fresh", F.row_number().over(Window.partitionBy(*keys, "window_us", "port").orderBy(order)) == 1)
-    ports = x.groupBy(*keys, "window_us").agg(F.collect_set("port").alias("ports"))
-    frame = Window.partitionBy(*keys).orderBy("window_us").rangeBetween(-(history_us - 1), -1)
-    prior = ports.select(*keys, "window_us", F.array_distinct(F.flatten(F.collect_list("ports").over(frame))).alias("prior"))
-    x = x.join(prior, [*keys, "window_us"]).withColumn("new", F.col("fresh") & ~F.array_contains("prior", F.col("port")))
-    x = x.withColumn("ports_seen", F.size("prior") + F.sum(F.col("new").cast("int")).over(own.orderBy(order)))
-    before = F.coalesce(F.lag("ports_seen").over(Window.partitionBy(*keys).orderBy(order)), F.lit(0))
-    return x.withColumn("before", before).where((F.col("ports_seen") >= distinct) & (F.col("before") < distinct)).select(*[c for c in probes.columns if c != "port"], "port", "ports_seen")
+    others = [c for c in probes.columns if c not in {*keys, "window_us", "port", order}]
+    spot = [*keys, "window_us"]
+    x = probes.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*spot, "port").agg(F.min(F.struct(order, *others)).alias("first"))
+    own = Window.partitionBy(*keys, "port").orderBy("window_us")
+    since, until = F.col("window_us") - F.lag("window_us").over(own), F.lead("window_us").over(own) - F.col("window_us")
+    counts = F.col("port").isNotNull()
+    x = x.withColumn("new", counts & F.coalesce(since >= history_us, F.lit(True))).withColumn("last", counts & F.coalesce(until >= history_us, F.lit(True)))
+    x = Workspace(probes.sparkSession, "scan").keep(x, "sights")
+
+    windows = x.groupBy(*spot).agg(F.sum(F.col("new").cast("int")).alias("n"), F.min(F.struct("first", "port", "new")).alias("head"))
+    gone = x.where("last").groupBy(*keys, (F.col("window_us") + history_us).alias("window_us")).agg(F.count("*").alias("e"))
+    line = windows.select(*spot, "n", F.lit(0).cast("long").alias("e"), "head").unionByName(gone, allowMissingColumns=True)
+    line = line.groupBy(*spot).agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.first("head", ignorenulls=True).alias("head"))
+    along = Window.partitionBy(*keys).orderBy("window_us")
+    known = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("e").over(along)
+    line = line.withColumn("known", known.cast("int")).where("head IS NOT NULL").withColumn("full", (F.col("known") + F.col("n")).cast("int"))
+    line = line.withColumn("before", F.coalesce(F.lag("full").over(along), F.lit(0))).withColumn("at_first", F.expr("known + IF(head.new, 1, 0)"))
+
+    out = [*(c for c in probes.columns if c != "port"), "port", "ports_seen"]
+    laid = lambda df: df.select(*spot, f"first.{order}", *(f"first.{c}" for c in others), "port", "ports_seen").select(*out)
+    first = line.where((F.col("at_first") >= distinct) & (F.col("before") < distinct)).select(*spot, "head.first", "head.port", F.col("at_first").alias("ports_seen"))
+    later = line.where((F.col("at_first") < distinct) & (F.col("full") >= distinct)).select(*spot, (F.lit(distinct) - F.col("known")).alias("_nth"))
+    # At most `distinct` rows of a window are ranked; Spark keeps to that before the shuffle.
+    ranked = x.where("new").withColumn("_rank", F.row_number().over(Window.partitionBy(*spot).orderBy("first"))).where(F.col("_rank") <= distinct)
+    nth = ranked.join(later, spot).where("_rank = _nth").select(*spot, "first", "port", F.lit(distinct).alias("ports_seen"))
+    return laid(first).unionByName(laid(nth))
 
 
 def scan_probes(flows: DataFrame) -> DataFrame:
