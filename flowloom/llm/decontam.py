@@ -1,9 +1,11 @@
 """Benchmark decontamination by winnowing (operator 6).
 
 Of each run of consecutive k-gram hashes (here 6 of 5-grams) the smallest is kept, in items and documents alike; a span of
-10 shared words holds such a run whole, so both keep the same hash there. Kept hashes that meet are extended word by word
-to the longest common span, whose words are then compared as bytes. The items' fingerprints are sent to the tasks only
-while the items are below `BLOCK_BYTES`; larger benchmarks are searched block by block, each over all documents.
+10 shared words holds such a run whole, so both keep the same hash there. Around kept hashes that meet, each window that holds the
+k-gram is looked up among the items' windows and, where it is one, compared with it as bytes; windows found side by side make up
+the extended hit. So a text costs its words and not its meetings: where words repeat, a k-gram meets many places of an item,
+but its windows are looked up once. The items' fingerprints are sent to the tasks only while the items are below `BLOCK_BYTES`;
+larger benchmarks are searched block by block, each over all documents.
 """
 
 from __future__ import annotations
@@ -34,71 +36,96 @@ def _kept(hashes: np.ndarray, run: int) -> np.ndarray:
     return keep
 
 
+class Windows:
+    """The windows of one length of items: hash, a place where the window stands, and the items that hold it."""
+
+    def __init__(self, size: int, grams_kept: set[int], found: dict[int, tuple[tuple[int, int], list[int]]]):
+        self.size = size
+        self.keys = np.array(sorted(found), np.uint64)
+        self.places = [found[k][0] for k in sorted(found)]
+        self.items = [found[k][1] for k in sorted(found)]
+        self.kept = np.array(sorted(grams_kept), np.uint64)
+
+
+def _among(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is one of the sorted keys, and where it is or would be."""
+    if not len(keys):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values, at
+
+
 class Index:
-    """Winnowed fingerprints of items with `window` words or more, and first k-grams of the shorter ones."""
+    """Windows of items by their length: `window` words, or all of an item that has fewer."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.run = window, window - GRAM + 1
-        self.names, self.words, self.hashes = [], [], []
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {0: {}}  # by k (0: winnowed), by hash: (item, place)
+        self.names, self.words = [], []
+        found: dict[int, dict] = {}
+        kept: dict[int, set[int]] = {}
         for name, text in items:
             data = np.frombuffer(text, np.uint8)
             s, e, _ = words_in(data, np.array([0, len(data)]), LETTER_WORDS)
             if not len(s):
                 continue
-            h, i = word_hashes(data, s, e, LETTER_WORDS), len(self.names)
+            h, i, size = word_hashes(data, s, e, LETTER_WORDS), len(self.names), min(len(s), window)
             lower = LETTER_WORDS[1][data].tobytes()
             self.names.append(name)
             self.words.append([lower[a:b] for a, b in zip(s.tolist(), e.tolist())])
-            self.hashes.append(h)
-            if len(h) >= window:
+            table = found.setdefault(size, {})
+            for q, w in enumerate(grams(h, size).tolist()):
+                place, holders = table.setdefault(w, ((i, q), []))
+                if not holders or holders[-1] != i:
+                    holders.append(i)
+            if size == window:
                 g = grams(h, GRAM)
-                for q in np.flatnonzero(_kept(g, self.run)).tolist():
-                    found[0].setdefault(int(g[q]), []).append((i, q))
-            else:
-                k = min(len(h), GRAM)
-                found.setdefault(k, {}).setdefault(int(grams(h[:k], k)[0]), []).append((i, 0))
-        self.tables = {k: (np.array(sorted(x), np.uint64), x) for k, x in found.items() if x}
-
-    def candidates(self, hashes: np.ndarray, rows: np.ndarray):
-        """(place in the documents' words, item, place in the item) of k-grams that meet."""
-        cache = {}
-        for k, (keys, where) in self.tables.items():
-            size = k or GRAM
-            if len(hashes) < size:
-                continue
-            if size not in cache:
-                cache[size] = grams(hashes, size), rows[size - 1 :] == rows[: len(rows) - size + 1]
-            g, whole = cache[size]
-            at = np.flatnonzero(whole & (_kept(np.where(whole, g, np.uint64(0xFFFFFFFFFFFFFFFF)), self.run) if k == 0 else True))
-            spot = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-            for p in at[keys[spot] == g[at]].tolist():
-                for i, q in where[int(g[p])]:
-                    yield p, i, q
+                kept.setdefault(size, set()).update(g[_kept(g, self.run)].tolist())
+        self.tables = [Windows(n, kept.get(n, set()), x) for n, x in sorted(found.items())]
+
+    def candidates(self, hashes: np.ndarray, rows: np.ndarray, table: Windows) -> np.ndarray:
+        """Places of words where a window of the table may begin: those around kept k-grams that meet, and within one text."""
+        n = len(hashes) - table.size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        whole = rows[table.size - 1 :] == rows[:n]
+        if table.size < self.window:
+            return np.flatnonzero(whole)
+        g = grams(hashes, GRAM)
+        inside = rows[GRAM - 1 :] == rows[: len(rows) - GRAM + 1]
+        meets = _kept(np.where(inside, g, np.uint64(0xFFFFFFFFFFFFFFFF)), self.run) & inside & _among(g, table.kept)[0]
+        near = np.zeros(n, bool)
+        for j in range(self.run):  # a window's k-grams begin at its words 0 to run - 1
+            near |= meets[j : j + n]
+        return np.flatnonzero(near & whole)
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
         """Words of each text, and for texts with hits their spans and items."""
         starts, ends, rows = words_in(data, offsets, LETTER_WORDS)
         counts = np.bincount(rows, minlength=len(offsets) - 1)
         first = np.concatenate([[0], np.cumsum(counts)])
-        hashes, out, covered = word_hashes(data, starts, ends, LETTER_WORDS), {}, {}
+        hashes, out = word_hashes(data, starts, ends, LETTER_WORDS), {}
         word = lambda p: LETTER_WORDS[1][data[starts[p] : ends[p]]].tobytes()
-        for p, i, q in self.candidates(hashes, rows):
-            if covered.get((i, p - q), -1) > p:
-                continue
-            row, item = int(rows[p]), self.hashes[i]
-            left = min(p - int(first[row]), q)
-            right = min(int(first[row + 1]) - p, len(item) - q)
-            same = hashes[p - left : p][::-1] == item[q - left : q][::-1]
-            left = int(np.argmin(same)) if not same.all() else left
-            same = hashes[p : p + right] == item[q : q + right]
-            right = int(np.argmin(same)) if not same.all() else right
-            covered[i, p - q] = p + max(right, 1)
-            if left + right < min(self.window, len(item)) or any(word(p + j) != self.words[i][q + j] for j in range(-left, right)):
+        for table in self.tables:
+            at = self.candidates(hashes, rows, table)
+            if not len(at):
                 continue
-            spans, items = out.setdefault(row, ([], set()))
-            spans.append((p - left - int(first[row]), p + right - int(first[row])))
-            items.add(self.names[i])
+            # The hash of a window's words, as grams() makes it, at the candidates only.
+            hit, where = _among(grams(hashes, table.size)[at], table.keys)
+            told: dict[int, set[int]] = {}
+            for p, k in zip(at[hit].tolist(), where[hit].tolist()):
+                i, q = table.places[k]
+                if any(word(p + j) != self.words[i][q + j] for j in range(table.size)):
+                    continue
+                row = int(rows[p])
+                spans, items = out.setdefault(row, ([], set()))
+                begin = p - int(first[row])
+                if spans and spans[-1][0] <= begin <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], begin + table.size)
+                else:
+                    spans.append((begin, begin + table.size))
+                if k not in told.setdefault(row, set()):
+                    told[row].add(k)
+                    items.update(self.names[x] for x in table.items[k])
         return counts, out
 
 

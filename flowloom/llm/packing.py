@@ -190,7 +190,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
                     yield out
                     ids, names, size = [], [], 0
                     release()
-        words.forget()
+        words.rest()
         release()
         if ids:
             yield _block(ids, names, number, window)[0]

@@ -16,7 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 SEGMENT_IDS = 1 << 21
 #: Segment starts (24 bytes each) are broadcast to the reader up to this many; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
-#: Bytes of encoded pieces that a worker keeps while a task runs.
+#: Bytes of encoded pieces that a worker keeps, half of them from one task to the next.
 CACHE_BYTES = 64 << 20
 #: What a piece costs beside its letters and ids: two objects and its share of the table.
 PIECE_BYTES = 220
@@ -31,7 +31,7 @@ class Encoder:
     together stays in one piece. A piece is kept without its space; one that begins a line is kept with the line end.
 
     The cache holds two generations of half its bytes each: when the younger is full it becomes the older, whose pieces come
-    back as they are met again, so frequent pieces stay and rare ones go. forget() empties it, as tasks do at their end.
+    back as they are met again, so frequent pieces stay and rare ones go. rest() lets go of the older one, as tasks do at their end.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, room: int = CACHE_BYTES):
@@ -43,7 +43,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.room = Tokenizer.from_file(public_tokenizers.path(vocabulary)), room
-        self.forget()
+        self.cache, self.older, self.held = {}, {}, 0
         self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -52,8 +52,8 @@ class Encoder:
         for token, i in vocab.items():
             self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
 
-    def forget(self) -> None:
-        self.cache, self.older, self.held = {}, {}, 0
+    def rest(self) -> None:
+        self.older = {}
 
     def _make_room(self, new: set[str]) -> list[str]:
         """Brings back what the older generation has of the new pieces, and returns the others."""
@@ -132,7 +132,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """The encoder of this worker process. A task that is done with it calls its forget(): workers outlive their tasks."""
+    """The encoder of this worker process. A task that is done with it calls its rest(): workers outlive their tasks."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
@@ -238,7 +238,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
                     held_docs.append(d)
                     held.append(x)
                     size += len(x) // 4
-        words.forget()
+        words.rest()
         if held:
             yield batches(_segment(shard, number, held_docs, held))
 

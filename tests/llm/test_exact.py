@@ -247,6 +247,15 @@ def plain_hits(text, items, window):
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
+def test_repeated_words_cost_what_others_do():
+    """Every k-gram of the text meets every place of the item; windows are looked up once."""
+    for text, item in ((b"w " * 30_000, b"w " * 20_000), (b"a b " * 15_000, b"b a " * 9_000)):
+        index = decontam.Index([("i", item), ("short", b"w w w"), ("none", b"x y z")], 10)
+        counts, found = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        spans, items = found[0]
+        assert counts.tolist() == [30_000] and decontam._merged(spans) == [{"start": 0, "stop": 30_000}] and items == ({"i", "short"} if b"w" in text else {"i"})
+
+
 @pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 200])
 def test_decontamination_matches_all_windows(spark, block_bytes):
     r = random.Random(2)
