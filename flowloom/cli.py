@@ -1,6 +1,13 @@
 """Command line: python -m flowloom.cli COMMAND ...
 
-detect CAPTURE OUT [--after SECONDS]     alerts of a capture file or folder, as JSON lines, and the session beside them
+detect CAPTURE OUT [--after SECONDS | --after-csv TABLE]
+                                         alerts of a capture file or folder, as JSON lines, and the session beside them; only of packets
+                                         from a time on, or from the least window_time of a held-out table on
+soak ALERTS [SESSION]                    report of a long run: rates an hour, busiest pairs, what was shown
+metrics ALERTS EXPECTED NORMAL           evaluation of alerts against CSV tables (capture, expected, in_training) and (capture)
+dataset REGISTRY OUT                     labelled flows of the captures in a CSV table (path, label), as Parquet
+train DATA MODEL [--set NAME]            a forest of such flows, saved with its feature set
+compare DATA [--set NAME]                forest, boosted trees and logistic regression on a random split
 report ALERTS                            incidents and campaigns of alert files
 dashboard ALERTS PAGE [--watch SECONDS]  an HTML page, made anew every so often
 summarize ALERTS                         alerts, notices and pairs by kind
@@ -10,6 +17,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,20 +71,71 @@ def readable(rows: DataFrame) -> DataFrame:
     return incidents.by_priority(rows).withColumn("from", format_time(seconds("first_us"))).withColumn("lasted", format_duration(seconds("last_us") - seconds("first_us"))).drop("first_us", "last_us")
 
 
+def since_table(spark: SparkSession, path: str, column: str = "window_time") -> float:
+    """The least time, in seconds, of a held-out table, from which on a run is judged."""
+    first = alert_files.table(spark, path).agg(F.min(F.col(column).cast("double"))).first()[0]
+    if first is None:
+        raise ValueError(f"{path} has no {column}")
+    return first
+
+
+def soak(spark: SparkSession, path: str, session_path: str | None = None) -> str:
+    """The session is one that detect() or a stream left, or none."""
+    return reports.soak(read_alerts(spark, path), None if session_path is None else alert_files.document(spark, session_path))
+
+
+def dataset(spark: SparkSession, registry: str, out: str) -> None:
+    """Flows with features, context, label and capture of every capture that is there; those that aren't are named."""
+    pcap.register(spark)
+    rows = [(r.path, r.label) for r in alert_files.table(spark, registry, "path string, label string").collect()]  # the capture registry
+    there = alert_files.captures(spark, rows).collect()
+    for path in sorted({p for p, _ in rows} - {r.path for r in there}):
+        print(f"missing: {path}")
+    parts = [spark.read.format("pcap").load(r.path).withColumn("label", F.lit(r.label)) for r in there]
+    if not parts:
+        raise ValueError("none of the captures is there")
+    packets = reduce(lambda a, b: a.unionByName(b), parts)
+    labels_of = packets.select("capture", "label").distinct()
+    found_flows = flows.context(flows.flows(windows.anchored(packets.drop("label"))))
+    found_flows.join(F.broadcast(labels_of), "capture").write.mode("overwrite").parquet(out)  # a row a capture
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="flowloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, words in (("detect", ["capture", "out"]), ("report", ["alerts"]), ("dashboard", ["alerts", "page"]), ("summarize", ["alerts"])):
-        c = sub.add_parser(name)
+    commands = {"detect": ["capture", "out"], "report": ["alerts"], "dashboard": ["alerts", "page"], "summarize": ["alerts"], "soak": ["alerts"], "metrics": ["alerts", "expected", "normal"], "dataset": ["registry", "out"], "train": ["data", "model"], "compare": ["data"]}
+    made = {}
+    for name, words in commands.items():
+        made[name] = sub.add_parser(name)
         for w in words:
-            c.add_argument(w)
-        if name == "detect":
-            c.add_argument("--after", type=float)
-        if name == "dashboard":
-            c.add_argument("--watch", type=int, default=0)
+            made[name].add_argument(w)
+    made["detect"].add_argument("--after", type=float)
+    made["detect"].add_argument("--after-csv")
+    made["dashboard"].add_argument("--watch", type=int, default=0)
+    made["soak"].add_argument("session", nargs="?")
+    for name in ("train", "compare"):
+        made[name].add_argument("--set", default="D")
     a, spark = p.parse_args(args), session()
     if a.command == "detect":
-        detect(spark, a.capture, a.out, a.after)
+        detect(spark, a.capture, a.out, since_table(spark, a.after_csv) if a.after_csv else a.after)
+    elif a.command == "soak":
+        print(soak(spark, a.alerts, a.session))
+    elif a.command == "metrics":
+        rows = alert_files.tolerant(alert_files.lines(spark, a.alerts))
+        given = lambda name: F.try_element_at("fields", F.lit(name))
+        rows = rows.select("kind", given("capture").alias("capture"), F.coalesce(given("notified").try_cast("boolean"), F.lit(True)).alias("notified"))
+        print(reports.metrics(rows, alert_files.table(spark, a.expected, "capture string, expected string, in_training boolean"), alert_files.table(spark, a.normal, "capture string")))
+    elif a.command == "dataset":
+        dataset(spark, a.registry, a.out)
+    elif a.command in ("train", "compare"):
+        from .ml import boosting, classify
+
+        rows, features = spark.read.parquet(a.data), flows.feature_set(a.set)
+        if a.command == "train":
+            classify.save(classify.fit(rows, features), features, a.set, a.model)
+        else:
+            split = Workspace(spark, "compare").keep(classify.stratified(rows, "label", 0.75), "split")
+            print(reports.markdown("Models", boosting.compare(split.where("part = 'train'"), split.where("part = 'test'"), features)))
     elif a.command == "summarize":
         print(reports.markdown("Alerts", reports.summarize(read_alerts(spark, a.alerts))))
     elif a.command == "report":

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_number
+from ..operators.quantiles import quantiles
+from ..workspace import Workspace
 
 TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.05
 #: Rows from which the trees draw; those of the smallest hash, whatever the input's size.
@@ -51,17 +53,27 @@ class IsolationForest:
         self.features, self.trees, self.sample, self.threshold = features, [tuple(np.array(c) for c in zip(*t)) for t in trees], sample, None
 
     @classmethod
-    def fit(cls, rows: DataFrame, features: list[str], contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED) -> IsolationForest:
+    def grown(cls, rows: DataFrame, features: list[str], trees: int = TREES, seed: int = SEED) -> IsolationForest:
+        """A forest without a threshold."""
         cols = [clean_number(f).alias(f) for f in features]
         pool = rows.select(*cols).orderBy(F.xxhash64(F.lit(seed), *features)).limit(POOL).toPandas().to_numpy(float)
         rng = np.random.default_rng(seed)
         n = min(SAMPLE, len(pool))
         depth = int(np.ceil(np.log2(max(n, 2))))
-        model = cls(features, [grow(pool[rng.choice(len(pool), n, replace=False)], rng, depth) for _ in range(trees if n else 0)], n)
-        cut = rows.agg(F.percentile(model.score(), F.lit(1 - contamination))).first()[0]
-        model.threshold = 1.0 if cut is None else cut
+        return cls(features, [grow(pool[rng.choice(len(pool), n, replace=False)], rng, depth) for _ in range(trees if n else 0)], n)
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: list[str], contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED) -> IsolationForest:
+        model = cls.grown(rows, features, trees, seed)
+        model.threshold = model.thresholds(rows, (contamination,))[contamination]
         return model
 
+    def thresholds(self, rows: DataFrame, contaminations: tuple[float, ...]) -> dict[float, float]:
+        """The score that this share of the rows exceeds, for each contamination; 1 where there are no rows. Rows are scored once."""
+        scored = Workspace(rows.sparkSession, "forest").keep(rows.select(self.score().alias("score")), "scores")
+        got = {r.share: r.value for r in quantiles(scored, [], ["score"], [1 - c for c in contaminations]).collect()}
+        return {c: got.get(1 - c, 1.0) for c in contaminations}
+
     def _scores(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         for feature, cut, left, right, size in self.trees:
@@ -88,3 +100,14 @@ class IsolationForest:
 
     def flags(self) -> Column:
         return self.score() > F.lit(float(self.threshold))
+
+
+def scores_of(forests: list[IsolationForest], features: list[str]) -> Column:
+    """Scores of a row by each forest."""
+
+    @F.pandas_udf("array<double>")
+    def scored(frame: pd.DataFrame) -> pd.Series:
+        x = frame.to_numpy(float)
+        return pd.Series(list(np.stack([f._scores(x) for f in forests], axis=1)))
+
+    return scored(F.struct(*[clean_number(f).alias(f) for f in features]))

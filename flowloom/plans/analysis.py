@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.exprs import is_scan_probe, loss_percent, mean_3, stealth_type
 from ..operators import flows as FL
+from ..operators.quantiles import quantiles
 
 
 def medians(rows: DataFrame, by: str, features: list[str]) -> DataFrame:
     """(by, feature, median), exact."""
-    m = rows.groupBy(by).agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features])
-    return m.unpivot([by], features, "feature", "median")
+    return quantiles(rows, [by], features, [0.5]).select(by, "feature", F.col("value").alias("median"))
 
 
 def nearest_profile(target: DataFrame, known: DataFrame, by: str, features: list[str]) -> DataFrame:
     """For each feature the known group whose median is nearest to the target's, and whether the target's lies outside all."""
-    t = target.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).unpivot([], features, "feature", "target")
+    t = quantiles(target, [], features, [0.5]).select("feature", F.col("value").alias("target"))
     k = medians(known, by, features)
     gap = F.abs(F.col("median") - F.col("target"))
     x = k.join(F.broadcast(t), "feature")  # a row a feature
@@ -82,7 +82,7 @@ def proportional(rows: DataFrame, by: str, share: float, key: str, seed: int = 4
 
 def profile_votes(nearest: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     """Votes of nearest_profile()'s features for the labels (by, label) of their nearest groups, and features outside all groups."""
-    x = nearest.join(F.broadcast(labels.withColumnRenamed(by, "nearest")), "nearest")  # nearest: a row a feature
+    x = labels.withColumnRenamed(by, "nearest").join(F.broadcast(nearest), "nearest")  # nearest: a row a feature
     return x.groupBy("label").agg(F.count("*").alias("votes"), F.count_if("outside").alias("outside"))
 
 

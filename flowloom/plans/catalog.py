@@ -333,8 +333,10 @@ def top_ports(s, d):
 
 @query
 def profile_medians(s, d):
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    return flw(s, d).groupBy("src").agg(median("packets").alias("packets"), F.round(median("duration"), 6).alias("duration"), median("fwd_bytes").alias("fwd_bytes"))
+    rows = kept(s, "profiles", flw(s, d).select("src", "packets", "duration", "fwd_bytes"))
+    x = AN.medians(rows, "src", ["packets", "duration", "fwd_bytes"])
+    of = lambda c: F.max(F.when(F.col("feature") == c, F.col("median")))
+    return x.groupBy("src").agg(of("packets").alias("packets"), F.round(of("duration"), 6).alias("duration"), of("fwd_bytes").alias("fwd_bytes"))
 
 
 @query
@@ -606,7 +608,38 @@ def renamed_flows(s, d):
 
 @query
 def schema_columns(s, d):
-    """Label and features of a table that says nothing about itself."""
+    """Label and features of a table that says nothing about itself, and how many values each has."""
     a = adapters.alerts(s, d)
     label = datasets.label_column(a)
-    return s.createDataFrame([("label", label), *[("feature", f) for f in datasets.feature_columns(a, label)]], "role string, name string")
+    names = [label, *datasets.feature_columns(a, label)]
+    counts = a.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "name", "values")
+    return counts.select(F.when(F.col("name") == label, "label").otherwise("feature").alias("role"), "name", "values")
+
+
+@query
+def dashboard_cards(s, d):
+    a = adapters.site_alerts(s, d)
+    rows = kept(s, "cards", I.incidents(a.withColumnRenamed("event_id", "seq")).withColumn("seq", F.xxhash64("src", "kind", "first_us")))
+    return R.cards(a, rows, I.campaigns(rows))
+
+
+@query
+def incident_marks(s, d):
+    """Incidents by source and kind with the layer of their alerts and whether one of these carries a model's unsure verdict."""
+    p = kept(s, "marks", win(s, d))
+    labelled = L.campaigns(L.rule_verdict(FL.flows(p)))
+    held = p.where("frag OR proto = 'TCP'").groupBy("capture", "window_us", F.col("src").alias("source"), F.col("dst").alias("destination")).agg(F.min("pkt_no").alias("seq"), F.bool_or("frag").alias("frag"))
+    a = L.with_unsure(held.withColumn("confidence", F.lit(None).cast("double")), labelled)
+    kind = F.when(F.col("frag"), "fragmented_scan").otherwise("stealth_scan")
+    a = a.select(F.col("source").alias("src"), F.col("destination").alias("dst"), kind.alias("kind"), F.col("window_us").alias("t_us"), "confidence", "seq", F.col("model_unsure").isNotNull().alias("unsure"))
+    return R.marked_incidents(I.incidents(a), a).select("src", "kind", "first_us", "alert_count", "layer", "unsure", "review")
+
+
+@query
+def soak_pairs(s, d):
+    return R.soak_pairs(adapters.site_alerts(s, d))
+
+
+@query
+def kind_bars(s, d):
+    return R.bars(R.type_counts(found(s, d)), "incidents")

@@ -224,5 +224,15 @@ SELECT min(pkt_no) AS flow_seq, any_value(fsrc) AS src, any_value(fdst) AS dst,
   round((max(ts_us) - min(ts_us)) / 1e6, 4) AS duration FROM o2 GROUP BY fk""",
     "aligned_features": f"{FLOWS} SELECT CAST(flow_seq AS DOUBLE) AS flow_seq, 0.0::DOUBLE AS ctx_src_flows, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(coalesce(flags, 0) AS DOUBLE) AS first_flags, 0.0::DOUBLE AS is_ipv6 FROM f",
     "renamed_flows": f"{FLOWS} SELECT CAST(dport AS DOUBLE) AS destination_port, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(packets AS DOUBLE) AS flow_packets_per_sec, flow_seq FROM f WHERE round(duration, 4) <> 0",
-    "schema_columns": "SELECT * FROM (VALUES ('label', 'capture'), ('feature', 'event_id'), ('feature', 't_us'), ('feature', 'confidence')) AS t(role, name)",
+    "schema_columns": f"WITH {ALERTS} SELECT 'label' AS role, 'capture' AS name, count(capture) AS values FROM a UNION ALL SELECT 'feature', 'event_id', count(event_id) FROM a UNION ALL SELECT 'feature', 't_us', count(t_us) FROM a UNION ALL SELECT 'feature', 'confidence', count(confidence) FROM a",
+    "dashboard_cards": "WITH sc AS (" + CAMPAIGNS.format(alerts=SITES_SQL.format(events="events"), incidents=_INCIDENTS, real=_REAL) + f"), si AS (WITH a AS ({SITES_SQL.format(events='events')}), {_INCIDENTS} SELECT * FROM inc), sa AS ({SITES_SQL.format(events='events')}) SELECT count(*) AS campaigns, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, (SELECT count(*) FROM si) AS incidents, (SELECT count(*) FROM si WHERE confidence < 0.6) AS to_review, (SELECT count(*) FROM sa) AS alerts, (SELECT count(*) FROM sa WHERE notified) AS shown FROM sc",
+    "incident_marks": f"""{SCORED}, un AS (SELECT src, dst, window_us AS since FROM lab WHERE kind IS NOT NULL AND confidence < 0.7),
+al AS (SELECT window_us, src, dst, bool_or(frag) AS fr FROM w WHERE frag OR proto = 'TCP' GROUP BY ALL),
+au AS (SELECT al.src, al.window_us AS t_us, CASE WHEN fr THEN 'fragmented_scan' ELSE 'stealth_scan' END AS kind, un.since IS NOT NULL AS unsure FROM al ASOF LEFT JOIN un ON al.src = un.src AND al.dst = un.dst AND al.window_us >= un.since),
+ao AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER q <= 300000000 THEN 0 ELSE 1 END AS opens FROM au WINDOW q AS (PARTITION BY src, kind ORDER BY t_us)),
+ax AS (SELECT *, sum(opens) OVER (PARTITION BY src, kind ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS session FROM ao),
+ap AS (SELECT src, kind, bool_or(unsure) AS unsure FROM au GROUP BY ALL)
+SELECT src, kind, min(t_us) AS first_us, count(*) AS alert_count, 'tracker' AS layer, any_value(ap.unsure) AS unsure, false AS review FROM ax JOIN ap USING (src, kind) GROUP BY src, kind, session""",
+    "soak_pairs": f"WITH sa AS ({SITES_SQL.format(events='events')}) SELECT concat(src, ' -> ', dst) AS pair, count(*) AS alerts FROM sa GROUP BY ALL ORDER BY alerts DESC, pair LIMIT 10",
+    "kind_bars": f"{INCIDENTS}, tc AS (SELECT kind, count(*) AS incidents, count(*) FILTER (WHERE confidence < 0.6) AS low_confidence FROM inc GROUP BY ALL) SELECT *, CAST(floor(incidents * 100 / max(incidents) OVER ()) AS BIGINT) AS width FROM tc",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import is_low_confidence, layer, one_or_mixed, percent_of
+from ..functions.exprs import family, format_duration, format_time, is_low_confidence, layer, one_or_mixed, percent_of
 
 
 def severity_by_day(incidents: DataFrame) -> DataFrame:
@@ -141,12 +141,112 @@ def _table(title: str, df: DataFrame, limit: int) -> str:
     return f"<h2>{html.escape(title)}</h2><table><tr>{cells(df.columns, 'th')}</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows) + "</table>"
 
 
+INCIDENTS_SHOWN, ALERTS_SHOWN, CAMPAIGNS_SHOWN, SOURCES_SHOWN, PAIRS_SHOWN = 100, 50, 100, 5, 10
+
+
+def cards(alerts: DataFrame, incidents: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """One row: campaigns and those of each severity, incidents and those to review, alerts and those shown."""
+    of = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    a = alerts.agg(F.count("*").alias("alerts"), F.count_if(F.coalesce("notified", F.lit(True))).alias("shown"))
+    i = incidents.agg(F.count("*").alias("incidents"), F.count_if(is_low_confidence()).alias("to_review"))
+    return campaigns.agg(F.count("*").alias("campaigns"), of("HIGH"), of("MEDIUM"), of("LOW")).join(i).join(a)  # a row each
+
+
+def marked_incidents(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
+    """incidents with layer (of the alerts of their source and kind: one, or mixed), review (low confidence) and unsure (an alert of them
+    carries a model's unsure verdict); alerts may have notified, model_verdict and unsure."""
+    a = alerts if "model_verdict" in alerts.columns else alerts.withColumn("model_verdict", F.when(F.col("kind") == "anomaly", "anomaly"))
+    held = F.coalesce(F.bool_or("unsure"), F.lit(False)) if "unsure" in a.columns else F.lit(False)
+    x = a.groupBy(F.col("src").alias("_src"), F.col("kind").alias("_kind")).agg(one_or_mixed(F.collect_set(layer())).alias("layer"), held.alias("unsure"))
+    met = incidents.join(x, F.col("src").eqNullSafe(F.col("_src")) & F.col("kind").eqNullSafe(F.col("_kind")), "left").drop("_src", "_kind")
+    return met.withColumn("unsure", F.coalesce("unsure", F.lit(False))).withColumn("review", F.coalesce(is_low_confidence(), F.lit(False)))
+
+
+def bars(rows: DataFrame, value: str) -> DataFrame:
+    """rows (a report's lines) with width, the value in percent of the largest."""
+    return rows.withColumn("width", percent_of(F.col(value), F.max(value).over(Window.partitionBy())))
+
+
+def _cards(row) -> str:
+    shown = (("Campaigns", row.campaigns), ("HIGH campaigns", row.high), ("MEDIUM campaigns", row.medium), ("LOW campaigns", row.low), ("Incidents", row.incidents), ("Alerts logged (shown)", f"{row.alerts} ({row.shown})"), ("To review", row.to_review))
+    return '<div class="cards">' + "".join(f'<div class="card"><div class="label">{a}</div><div class="value">{b}</div></div>' for a, b in shown) + "</div>"
+
+
+def _bars(title: str, rows: list, name: str, widths: dict[str, str]) -> str:
+    """widths: by class of the bar, the column of its width; the column without _width is its value."""
+    if not rows:
+        return f"<h2>{title}</h2><p class='empty'>No data.</p>"
+    bar = lambda r, c, w: f'<div class="bar {c}" style="width:{r[w]}%">{r[w.removesuffix("_width")] if w != "width" else ""}</div>'
+    return f"<h2>{title}</h2>" + "".join(f'<div class="row"><span class="name">{html.escape(str(r[name]))}</span>{"".join(bar(r, c, w) for c, w in widths.items())}</div>' for r in rows)
+
+
+def _hidden(df: DataFrame, limit: int, what: str) -> str:
+    n = shown_and_hidden(df, limit).first().hidden
+    return f"<p class='small'>{n} more {what} not shown</p>" if n else ""
+
+
+STYLE = (
+    "body{font-family:sans-serif;margin:24px}table{border-collapse:collapse}td,th{padding:4px 8px;border-bottom:1px solid #ddd;text-align:left}.cards{display:flex;gap:12px;flex-wrap:wrap}"
+    ".card{border:1px solid #ddd;padding:8px 16px}.value{font-size:28px}.row{display:flex;align-items:center}.name{width:160px}.bar{height:14px;background:#68c;margin-right:2px}.high{background:#c55}.medium{background:#ca5}.low{background:#7a7}"
+)
+
+
 def dashboard(alerts: DataFrame, incidents: DataFrame, campaigns: DataFrame, refresh_s: int = 0) -> str:
-    """One HTML page: counts by severity, campaigns, incidents, day chart, kinds, sources and the newest alerts."""
+    """One HTML page: cards, campaigns, incidents with their layer and marks, bars by day, kind and source, and the newest alerts."""
     refresh = f'<meta http-equiv="refresh" content="{refresh_s}">' if refresh_s else ""
-    cards = incidents.groupBy("severity").count()
-    parts = [_table("Severity", cards, 3), _table("Campaigns", campaigns, 25), _table("Incidents", incidents.orderBy(F.desc("last_us")), 25), _table("Days", severity_by_day(incidents), 366), _table("Kinds", type_counts(incidents), 50), _table("Sources", top(incidents, "src", "incidents", 5), 5), _table("Alerts", alerts.orderBy(F.desc("t_us")), 50)]
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'>{refresh}<title>Alerts</title></head><body>{''.join(parts)}</body></html>"
+    seconds = lambda c: F.col(c) / K.SECOND_US
+    when = lambda df: df.withColumns({"start": format_time(seconds("first_us")), "end": format_time(seconds("last_us")), "duration": format_duration(seconds("last_us") - seconds("first_us"))})
+    marked = marked_incidents(incidents, alerts).withColumn("marks", F.concat_ws(" ", F.upper("layer"), F.when(F.col("unsure"), "model unsure"), F.when(F.col("review"), "review")))
+    order = [F.when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1).desc(), F.desc("last_us")]
+    listed = lambda c: F.array_join(c, ", ").alias(c)
+    big = when(campaigns).orderBy(*order).select("severity", "pattern", "confidence", listed("sources"), listed("destinations"), listed("kinds"), "incidents", "alert_count", "start", "duration")
+    small = when(marked).orderBy(*order).select("severity", "src", "kind", "marks", "confidence", "alert_count", "start", "end", "duration")
+    newest = alerts.orderBy(F.desc("t_us")).select(format_time(seconds("t_us")).alias("time"), "kind", "src", "dst", "confidence")
+    parts = [
+        _cards(cards(alerts, incidents, campaigns).first()),
+        _table("Campaigns", big, CAMPAIGNS_SHOWN), _hidden(campaigns, CAMPAIGNS_SHOWN, "campaigns"),
+        _table("Incidents", small, INCIDENTS_SHOWN), _hidden(incidents, INCIDENTS_SHOWN, "incidents"),
+        _bars("Days", day_chart(incidents).orderBy("day").limit(366).collect(), "day", {"high": "high_width", "medium": "medium_width", "low": "low_width"}),
+        _bars("Kinds", bars(type_counts(incidents).orderBy(F.desc("incidents"), "kind").limit(50), "incidents").collect(), "kind", {"all": "width"}),
+        _bars("Sources", bars(top_sources(incidents, SOURCES_SHOWN), "incidents").orderBy(F.desc("incidents")).collect(), "src", {"all": "width"}),
+        _table("Alerts", newest, ALERTS_SHOWN), _hidden(alerts, ALERTS_SHOWN, "alerts"),
+    ]
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'>{refresh}<title>Alerts</title><style>{STYLE}</style></head><body>{''.join(parts)}</body></html>"
+
+
+def soak_pairs(alerts: DataFrame, limit: int = PAIRS_SHOWN) -> DataFrame:
+    """The pairs of most alerts, ties by name."""
+    return top(alerts.withColumn("pair", F.concat_ws(" -> ", F.coalesce("src", F.lit("?")), F.coalesce("dst", F.lit("?")))), "pair", "alerts", limit)
+
+
+def per_hour(counts: DataFrame, hours: float | None, count: str) -> DataFrame:
+    """counts with per_hour; null where the time isn't known."""
+    return counts.withColumn("per_hour", F.round(F.col(count) / hours, 2) if hours and hours > 0 else F.lit(None).cast("double"))
+
+
+def soak(alerts: DataFrame, session: DataFrame | None, notified_shown: int = 1000) -> str:
+    """The report of a long run: alerts and notices an hour, by kind and family, busiest pairs and what was shown.
+
+    session: one row with packets, windows, start_us, last_us and maybe end_us (null or absent: it didn't stop cleanly); None where
+    the run left none, so that its time isn't known. A session without packets is an error: no alerts mean nothing then.
+    """
+    told = alerts.where(F.coalesce("notified", F.lit(True)))
+    about, hours = ["No session: the time of the run isn't known."], None
+    if session is not None:
+        s = session.first()
+        if s is None or not s.packets:
+            raise ValueError("the session saw no packets, so its alerts mean nothing")
+        end = s["end_us"] if "end_us" in session.columns else None
+        span = (end if end is not None else s.last_us) - s.start_us if s.start_us is not None and (end is not None or s.last_us is not None) else None
+        hours = span / (3600 * K.SECOND_US) if span and span > 0 else None
+        about = [f"{s.packets} packets, {s.windows} windows, {'-' if hours is None else f'{hours:.2f}'} h, {'stopped cleanly' if end is not None else 'not stopped cleanly'}."]
+    n = alerts.agg(F.count("*").alias("logged"), F.count_if(F.coalesce("notified", F.lit(True))).alias("notified"))
+    both = per_hour(n.unpivot([], ["logged", "notified"], "alerts", "n"), hours, "n")
+    order = lambda df, key: per_hour(df, hours, "alerts").orderBy(F.desc("alerts"), key)
+    count = lambda df, key: df.groupBy(key).agg(F.count("*").alias("alerts"))
+    shown = told.orderBy("t_us").select(format_time(F.col("t_us") / K.SECOND_US).alias("time"), "kind", "src", "dst")
+    parts = [("Alerts", both), ("Logged by kind", order(count(alerts, "kind"), "kind")), ("Notified by family", order(count(told.withColumn("family", family("kind")), "family"), "family")), (f"Top {PAIRS_SHOWN} pairs", soak_pairs(alerts)), ("Shown", shown)]
+    return "\n".join(["# Soak", "", *about, "", *[markdown(title, df, notified_shown) for title, df in parts]])
 
 
 def markdown(title: str, df: DataFrame, limit: int = 1000) -> str:

@@ -27,6 +27,7 @@ from ..operators import alerts as A
 from ..operators import flows as FL
 from ..operators import labels as L
 from ..operators import windows as W
+from . import metrics as M
 from . import pipeline as P
 
 LATE_US = 10 * K.SECOND_US
@@ -36,7 +37,7 @@ ALERT = (
     "capture string, window_id long, window_us long, stage int, idx string, kind string, source string, destination string, num_flows long, num_ports long, "
     "model_verdict string, confidence double, description string, model_unsure struct<verdict: string, confidence: double>"
 )
-ENDS, LATE = "capture string, end_us long", "capture string, packets long"
+ENDS, LATE = "capture string, end_us long, windows long", "capture string, packets long"
 NOTE = "capture string, src string, dst string, window_us long, kind string, verdict string, confidence double"
 
 
@@ -47,8 +48,8 @@ def _names(schema: str) -> list[str]:
 class Detector:
     """Takes packets in micro-batches and writes the alerts of each below `alerts`; tables between batches lie below `state`."""
 
-    def __init__(self, state: str, alerts: str, score: Callable[[DataFrame], DataFrame] = L.rule_verdict, late_us: int = LATE_US):
-        self.state, self.alerts, self.score, self.late_us = state, alerts, score, late_us
+    def __init__(self, state: str, alerts: str, score: Callable[[DataFrame], DataFrame] = L.rule_verdict, late_us: int = LATE_US, closed: M.BatchCounts | None = None):
+        self.state, self.alerts, self.score, self.late_us, self.closed = state, alerts, score, late_us, closed
 
     def _fs(self, spark: SparkSession, path: str):
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,9 +70,11 @@ class Detector:
         carried = self._last(spark, number, "open", PACKET + ", base long")
         names = _names(PACKET)
         ends = self._last(spark, number, "ends", ENDS)  # a row a capture
-        batch = batch.select(*names).join(ends, "capture", "left").withColumn("late", F.coalesce(F.col("ts_us") < F.col("end_us"), F.lit(False)))
+        batch = batch.select(*names).join(ends.drop("windows"), "capture", "left").withColumn("late", F.coalesce(F.col("ts_us") < F.col("end_us"), F.lit(False)))
+        batch = self._keep(batch.select(*names, "late"), number, "batch")  # the source is read once, and so counted once
         late = batch.where("late").groupBy("capture").agg(F.count("*").alias("packets"))
-        self._keep(self._last(spark, number, "late", LATE).unionByName(late).groupBy("capture").agg(F.sum("packets").alias("packets")), number, "late")
+        before = self._last(spark, number, "late", LATE)
+        late = self._keep(before.unionByName(late).groupBy("capture").agg(F.sum("packets").alias("packets")), number, "late")
         batch = batch.where("NOT late")
         bases = carried.groupBy("capture").agg(F.max("base").alias("base"))
         met = W.anchored(carried.select(*names).unionByName(batch.select(*names))).join(bases, "capture", "left")
@@ -83,7 +86,11 @@ class Detector:
         split = met.join(edge, "capture")
         self._keep(split.where("window_id >= edge").select(*names, F.col("edge").alias("base")), number, "open")
         closed = split.where("window_id < edge").select(*names, "window_id", "window_us")
-        self._keep(ends.unionByName(closed.select("capture", (F.col("window_us") + K.WINDOW_US).alias("end_us"))).groupBy("capture").agg(F.max("end_us").alias("end_us")), number, "ends")
+        fresh = closed.select("capture", (F.col("window_us") + K.WINDOW_US).alias("end_us"), (F.col("window_id") + 1).alias("windows"))
+        after = self._keep(ends.unionByName(fresh).groupBy("capture").agg(F.max("end_us").alias("end_us"), F.max("windows").alias("windows")), number, "ends")
+        if self.closed is not None:
+            total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]  # noqa: E731  a row a capture
+            self.closed.put(number, total(after, "windows") - total(ends, "windows"), total(late, "packets") - total(before, "packets"))
 
         flows = self._keep(FL.flows(closed), number, "fresh")
         labelled = self._keep(L.campaigns(self.score(flows)), number, "labels")
@@ -118,10 +125,16 @@ class Detector:
         fs.rename(self._fs(spark, f"{self.state}/{number}/alerts")[1], place)
 
 
-def detect(packets: DataFrame, alerts: str, checkpoint: str, score: Callable[[DataFrame], DataFrame] = L.rule_verdict, **trigger) -> StreamingQuery:
-    """Starts the first query over a stream of packets (see PACKET). trigger: as DataStreamWriter.trigger takes it."""
-    detector = Detector(f"{checkpoint}/state", alerts, score)
-    return packets.writeStream.foreachBatch(detector).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+def detect(packets: DataFrame, alerts: str, checkpoint: str, score: Callable[[DataFrame], DataFrame] = L.rule_verdict, session: str | None = None, **trigger) -> StreamingQuery:
+    """Starts the first query over a stream of packets (see PACKET). trigger: as DataStreamWriter.trigger takes it.
+
+    session: where the run's document is kept (see metrics.SessionWriter), which ends with the query.
+    """
+    spark, closed = packets.sparkSession, M.BatchCounts() if session else None
+    if session:
+        spark.streams.addListener(M.SessionWriter(spark, session, closed))
+    detector = Detector(f"{checkpoint}/state", alerts, score, closed=closed)
+    return M.observed(packets).writeStream.foreachBatch(detector).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
 def late_packets(spark: SparkSession, checkpoint: str) -> DataFrame:

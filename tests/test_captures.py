@@ -1,6 +1,7 @@
 """Captures that grow under a stream, capture files written by tasks, and packets that come late."""
 
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,24 @@ def test_late_packets_move_no_closed_window(spark, tmp_path):
     assert [tuple(r) for r in live.late_packets(spark, f"{tmp_path}/x").collect()] == [("c", 1)]
     assert live.late_packets(spark, f"{tmp_path}/none").count() == 0
     assert made(spark).count() == 641
+
+
+def test_session_document_of_a_stream(spark, tmp_path, monkeypatch):
+    import json
+
+    from flowloom.streaming import metrics
+
+    monkeypatch.setattr(metrics, "EVERY_WINDOWS", 2)
+    packets = made(spark)
+    for i, (a, b) in enumerate([(0, 58), (58, 1000)]):
+        packets.where((F.col("ts_us") >= a * K.SECOND_US) & (F.col("ts_us") < b * K.SECOND_US)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(live.PACKET).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = live.detect(stream, f"{tmp_path}/alerts", f"{tmp_path}/one", session=f"file://{tmp_path}/session.json", availableNow=True)
+    q.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    at = time.time()
+    while time.time() < at + 20 and not ((tmp_path / "session.json").exists() and json.loads((tmp_path / "session.json").read_text())["end"]):
+        time.sleep(0.2)
+    got = json.loads((tmp_path / "session.json").read_text())
+    assert (got["packets"], got["dropped"], got["first_us"], got["last_us"]) == (641, 0, 0, 400 * K.SECOND_US) and got["windows"] > 10
+    assert got["slowest_window_s"] > 0 and got["margin"] > 0 and got["start"] and got["end"] and got["loss_percent"] == 0.0
