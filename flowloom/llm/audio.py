@@ -1,6 +1,6 @@
 """Chroma fingerprints of audio and their alignment (operator 5).
 
-A recording is 16-bit mono PCM in WAV. Frames of its spectrum are folded to twelve pitch classes; an integral image over
+A recording is 16-bit PCM in WAV of any rate, brought to one rate first. Frames of its spectrum are folded to twelve pitch classes; an integral image over
 (frame, pitch class) gives the sums that sixteen filters compare; each comparison is quantised to two bits (Gray code), and
 a frame's sixteen make one 32-bit integer. Two recordings align where their equal integers agree on one offset: votes are
 counted by offset, and the best offset is verified by the share of differing bits over the overlap.
@@ -34,6 +34,8 @@ SPAN = max(f[3] for f in FILTERS)
 #: A match overlaps the query by this share of its frames at least, and differs in this share of bits at most.
 OVERLAP, ERROR = 0.5, 0.25
 HOT, BLOCK = 256, 512
+#: Frames, or samples of another rate, that are worked on at once; and equal pairs of frames, which beyond are counted by a transform.
+PART, PAIRS = 2048, 1 << 18
 QUERY = 50
 
 
@@ -76,20 +78,36 @@ def _fold(rate: int) -> np.ndarray:
     return _FOLDS[rate]
 
 
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """The samples at RATE, by windowed sinc functions that cut what the lower of both rates can't hold; a part at a time."""
+    if rate == RATE or not len(samples) or rate <= 0:
+        return samples
+    n, band = int(len(samples) * RATE / rate), min(1.0, RATE / rate)
+    half = int(np.ceil(16 / band))
+    padded, out = np.pad(samples, half + 1), np.empty(n)
+    for at in range(0, n, PART):
+        t = np.arange(at, min(at + PART, n)) * (rate / RATE)
+        first = np.floor(t).astype(np.int64)
+        near = np.arange(1 - half, half + 1)
+        x = (first[:, None] + near) - t[:, None]
+        out[at : at + len(t)] = (padded[first[:, None] + near + half + 1] * np.sinc(band * x) * band * (0.5 + 0.5 * np.cos(np.pi * x / (half + 1)))).sum(axis=1)
+    return out
+
+
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames of pitch-class energy, each of length one (silence stays zero)."""
+    """Frames of pitch-class energy, each of length one (silence stays zero); spectra are held for PART frames at a time."""
     n = (len(samples) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    image = (np.abs(np.fft.rfft(frames, axis=1)) ** 2).astype(np.float32) @ _fold(rate)
+    frames, window, fold = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP], np.hanning(FRAME).astype(np.float32), _fold(rate)
+    image = np.concatenate([(np.abs(np.fft.rfft(frames[k : k + PART] * window, axis=1)) ** 2).astype(np.float32) @ fold for k in range(0, n, PART)])
     size = np.linalg.norm(image, axis=1, keepdims=True)
     return np.where(size > 1e-4, image / np.maximum(size, 1e-4), 0.0)
 
 
 def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     """One unsigned 32-bit integer a frame that SPAN frames follow."""
-    image = chroma(samples, rate)
+    image = chroma(resampled(samples, rate), RATE)
     n = len(image) - SPAN + 1
     if n < 1:
         return np.zeros(0, np.uint32)
@@ -141,11 +159,42 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))
 
 
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many frames of a equal those of b at each offset from 1 - len(a) to len(b) - 1.
+
+    Equal integers are found by sorting and counted PAIRS at a time. An integer that stands so often on both sides that its pairs are more
+    (a steady tone) is counted by a Fourier transform of where it stands, so memory and time follow the lengths.
+    """
+    votes, back = np.zeros(len(a) + len(b) - 1, np.int64), len(a) - 1
+    order = np.argsort(b, kind="stable")
+    left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    count = right - left
+    values, held = np.unique(a, return_counts=True)
+    there = np.searchsorted(b[order], values, "right") - np.searchsorted(b[order], values, "left")
+    often = values[held * there > PAIRS]
+    if len(often):
+        size = 1 << int(np.ceil(np.log2(len(votes) + 1)))
+        for v in often:
+            both = np.fft.irfft(np.fft.rfft((b == v).astype(float), size) * np.fft.rfft((a == v)[::-1].astype(float), size), size)
+            votes += np.rint(both[: len(votes)]).astype(np.int64)
+        count[np.isin(a, often)] = 0
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(a):
+        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+        n = count[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        votes += np.bincount(order[np.repeat(left[at:stop], n) + within] - i + back, minlength=len(votes))
+        at = stop
+    return votes
+
+
 def offset_of(a: np.ndarray, b: np.ndarray) -> int:
     """Where b's frames less a's agree most often on equal integers; of ties the offset nearest to none, then the smaller."""
-    i, j = np.nonzero(a[:, None] == b[None, :])
-    offsets, votes = np.unique(j - i, return_counts=True)
-    return int(offsets[np.lexsort((offsets, np.abs(offsets), -votes))[0]])
+    votes = offset_votes(a, b)
+    offsets = np.flatnonzero(votes == votes.max()) - (len(a) - 1)
+    return int(offsets[np.lexsort((offsets, np.abs(offsets)))[0]])
 
 
 def aligned(query: int, a: np.ndarray, other: int, b: np.ndarray, error: float) -> list[tuple]:
@@ -172,7 +221,7 @@ def search(prints: DataFrame, queries: DataFrame, error: float = ERROR) -> DataF
     heavy = work.keep(entries.select("class", "v").distinct().groupBy("v").count().where(F.col("count") > HOT).select("v", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
     crowded = heavy.limit(1).count() > 0
     cold = (lambda x: x.join(heavy.select("v"), "v", "left_anti")) if crowded else (lambda x: x)
-    met = cold(probes).join(entries, "v").select("query", "class").distinct()
+    met = cold(probes.select("query", "v").distinct()).join(entries.select("class", "v").distinct(), "v").select("query", "class").distinct()
     pairs = met.join(asked.selectExpr("query", "fp AS x"), "query").join(classes.selectExpr("class", "fp AS y"), "class")
 
     def verify(it):

@@ -731,6 +731,29 @@ def test_a_word_and_a_text_longer_than_a_pass_hash_as_their_parts_say(monkeypatc
 # ---------------------------------------------------------------- 5 audio
 
 
+def test_offset_votes_as_all_pairs_give_them(monkeypatch):
+    r = np.random.default_rng(2)
+    for pairs in (7, 1 << 18):
+        monkeypatch.setattr(audio, "PAIRS", pairs)
+        for _ in range(60):
+            a, b = (r.integers(0, r.choice([1, 2, 30]), r.integers(1, 60)).astype(np.uint32) for _ in range(2))
+            i, j = np.nonzero(a[:, None] == b[None, :])
+            want = np.bincount(j - i + len(a) - 1, minlength=len(a) + len(b) - 1)
+            assert audio.offset_votes(a, b).tolist() == want.tolist()
+    long = np.full(60_000, 7, np.uint32)  # an hour's steady tone; a matrix of all pairs would take gigabytes
+    assert audio.offset_of(long, long) == 0 and audio.offset_of(long[:100], long) == 0
+
+
+def test_rates_are_brought_to_one():
+    t = lambda rate: np.arange(20 * rate) / rate
+    tune = lambda rate: sum(np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t(rate)) * ((t(rate) % 2.4) // 0.2 == k) for k in range(12)) * 0.5
+    prints = {rate: audio.fingerprint(tune(rate), rate) for rate in (4000, 8000, 11025, 3500)}
+    for rate, fp in prints.items():
+        assert abs(len(fp) - len(prints[4000])) <= 1
+        n, error = audio.bit_error(fp, prints[4000], audio.offset_of(fp, prints[4000]))
+        assert audio.offset_of(fp, prints[4000]) == 0 and n >= 290 and error < 0.12, (rate, error)
+
+
 def test_audio_aligns_shifted_and_noisy_recordings(spark):
     r = np.random.default_rng(3)
     sound = {i: audio.render(r.normal(0, 1, 40).tolist()) for i in range(30)}
