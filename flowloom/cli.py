@@ -5,6 +5,7 @@ detect CAPTURE OUT [--after SECONDS | --after-csv TABLE]
                                          from a time on, or from the least window_time of a held-out table on
 soak ALERTS [SESSION]                    report of a long run: rates an hour, busiest pairs, what was shown
 metrics ALERTS EXPECTED NORMAL           evaluation of alerts against CSV tables (capture, expected, in_training) and (capture)
+live RESULTS                             section on what was measured live, of a JSON document
 dataset REGISTRY OUT                     labelled flows of the captures in a CSV table (path, label), as Parquet
 train DATA MODEL [--set NAME]            a forest of such flows, saved with its feature set
 compare DATA [--set NAME]                forest, boosted trees and logistic regression on a random split
@@ -85,12 +86,10 @@ def soak(spark: SparkSession, path: str, session_path: str | None = None) -> str
 
 
 def dataset(spark: SparkSession, registry: str, out: str) -> None:
-    """Flows with features, context, label and capture of every capture that is there; those that aren't are named."""
+    """Flows with features, context, label and capture of every capture that is there."""
     pcap.register(spark)
     rows = [(r.path, r.label) for r in alert_files.table(spark, registry, "path string, label string").collect()]  # the capture registry
     there = alert_files.captures(spark, rows).collect()
-    for path in sorted({p for p, _ in rows} - {r.path for r in there}):
-        print(f"missing: {path}")
     parts = [spark.read.format("pcap").load(r.path).withColumn("label", F.lit(r.label)) for r in there]
     if not parts:
         raise ValueError("none of the captures is there")
@@ -103,7 +102,7 @@ def dataset(spark: SparkSession, registry: str, out: str) -> None:
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="flowloom")
     sub = p.add_subparsers(dest="command", required=True)
-    commands = {"detect": ["capture", "out"], "report": ["alerts"], "dashboard": ["alerts", "page"], "summarize": ["alerts"], "soak": ["alerts"], "metrics": ["alerts", "expected", "normal"], "dataset": ["registry", "out"], "train": ["data", "model"], "compare": ["data"]}
+    commands = {"detect": ["capture", "out"], "report": ["alerts"], "dashboard": ["alerts", "page"], "summarize": ["alerts"], "soak": ["alerts"], "metrics": ["alerts", "expected", "normal"], "live": ["results"], "dataset": ["registry", "out"], "train": ["data", "model"], "compare": ["data"]}
     made = {}
     for name, words in commands.items():
         made[name] = sub.add_parser(name)
@@ -125,6 +124,8 @@ def main(args: list[str] | None = None) -> None:
         given = lambda name: F.try_element_at("fields", F.lit(name))
         rows = rows.select("kind", given("capture").alias("capture"), F.coalesce(given("notified").try_cast("boolean"), F.lit(True)).alias("notified"))
         print(reports.metrics(rows, alert_files.table(spark, a.expected, "capture string, expected string, in_training boolean"), alert_files.table(spark, a.normal, "capture string")))
+    elif a.command == "live":
+        print(reports.live(alert_files.live_results(spark, a.results)))
     elif a.command == "dataset":
         dataset(spark, a.registry, a.out)
     elif a.command in ("train", "compare"):

@@ -66,3 +66,7 @@ FLOW_TABLE_NAMES = {
 
 # The ephemeral range, and empty windows in a row before a warning.
 EPHEMERAL_PORT, EMPTY_WINDOWS = 32768, 12
+
+# What a source's connection attempts look like, and the words of a notice.
+HINT_ONE_PORT, HINT_SCAN, HINT_MIXED = "one port hammered (flood / brute-force)", "many different ports (scan)", "mixed"
+NOTICE_START, NOTICE_MORE, NOTICE_UPGRADE = "ALERT: ", " similar since last notice: ", " [more specific than the earlier notice]"

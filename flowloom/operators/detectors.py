@@ -129,7 +129,7 @@ def distributed_scan(flows: DataFrame) -> DataFrame:
 
 def profile(packets: DataFrame) -> DataFrame:
     """Connection attempts (SYN without ACK) a source and window: attempts, ports, destinations, and what they look like."""
-    hint = F.when(F.col("ports") == 1, "one port hammered (flood / brute-force)").when(F.col("attempts") / F.col("ports") <= K.SCAN_RATIO, "many different ports (scan)").otherwise("mixed")
+    hint = F.when(F.col("ports") == 1, K.HINT_ONE_PORT).when(F.col("attempts") / F.col("ports") <= K.SCAN_RATIO, K.HINT_SCAN).otherwise(K.HINT_MIXED)
     return attempts(packets).groupBy("capture", "window_id", "src").agg(F.count("*").alias("attempts"), F.countDistinct("dport").alias("ports"), F.countDistinct("dst").alias("dsts")).where("attempts >= 5").withColumn("hint", hint)
 
 

@@ -72,6 +72,6 @@ def notice(alerts: DataFrame) -> DataFrame:
     """Console lines of shown alerts."""
     from ..functions.exprs import format_counts
 
-    more = F.when(F.col("suppressed_repeats") > 0, F.concat(F.lit(" (+"), F.col("suppressed_repeats").cast("string"), F.lit(" similar since last notice: "), format_counts(F.col("suppressed_kinds")), F.lit(")"))).otherwise("")
-    up = F.when(F.col("upgrade"), " [more specific than the earlier notice]").otherwise("")
-    return alerts.where("notified").select("window_us", F.concat(F.lit("ALERT: "), "description", F.lit(" "), "source", F.lit(" -> "), "destination", up, more).alias("line"))
+    more = F.when(F.col("suppressed_repeats") > 0, F.concat(F.lit(" (+"), F.col("suppressed_repeats").cast("string"), F.lit(K.NOTICE_MORE), format_counts(F.col("suppressed_kinds")), F.lit(")"))).otherwise("")
+    up = F.when(F.col("upgrade"), K.NOTICE_UPGRADE).otherwise("")
+    return alerts.where("notified").select("window_us", F.concat(F.lit(K.NOTICE_START), "description", F.lit(" "), "source", F.lit(" -> "), "destination", up, more).alias("line"))

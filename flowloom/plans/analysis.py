@@ -43,11 +43,6 @@ def probe_ports(packets: DataFrame) -> DataFrame:
     return x.groupBy("capture", "window_id", "src", "dst").agg(F.countDistinct("dport").alias("ports"), F.countDistinct(F.when(clear, F.col("dport"))).alias("probe_ports"), F.countDistinct(F.when(F.col("dport") >= 32768, F.col("dport"))).alias("ephemeral"))
 
 
-def growth(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """rows (a handful) with the ratio of a value to the row before."""
-    return rows.withColumn("ratio", F.col(value) / F.lag(value).over(Window.orderBy(order)))
-
-
 def session(packets: DataFrame) -> DataFrame:
     """start, last and number of packets and windows of a run."""
     return packets.agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("packets"), F.countDistinct("capture", "window_id").alias("windows"))
@@ -75,11 +70,6 @@ def describe(packets: DataFrame) -> DataFrame:
     return packets.select("pkt_no", F.concat(F.coalesce("proto", F.lit("other")), F.lit(" "), ends, F.lit(" "), F.col("frame_len").cast("string"), F.lit(" bytes")).alias("line"))
 
 
-def proportional(rows: DataFrame, by: str, share: float, key: str, seed: int = 42) -> DataFrame:
-    """The same share of each group, by hash of the key."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), by, key), F.lit(1_000_000)) < share * 1_000_000)
-
-
 def profile_votes(nearest: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     """Votes of nearest_profile()'s features for the labels (by, label) of their nearest groups, and features outside all groups."""
     x = labels.withColumnRenamed(by, "nearest").join(F.broadcast(nearest), "nearest")  # nearest: a row a feature

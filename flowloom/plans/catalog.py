@@ -402,7 +402,7 @@ def rf_predict(s, d):
 
 @query
 def iforest_flags(s, d):
-    """Flag rate of an isolation forest on the earlier half of normal flows, over all flows by label."""
+    """Flag rate of an isolation forest on normal flows, over all flows by label."""
     from ..ml.forest import IsolationForest
 
     rows = kept(s, "iforest", dataset(s, d))
@@ -419,6 +419,37 @@ def loco_scores(s, d):
     return s.createDataFrame(got, "capture string, label string, flows long, accuracy double")
 
 
+@query
+def contamination_sweep(s, d):
+    """Percent flagged at several contaminations: each host's normal flows by a forest of all others, attacks by a forest of all."""
+    from ..ml import classify as C
+
+    rows = kept(s, "sweep-flows", dataset(s, d).withColumn("capture", F.col("host")))
+    normal = rows.where("label = 'normal'")
+    got = C.sweep(normal, FL.feature_set("D"), (0.001, 0.01, 0.05), judged=rows.where("label <> 'normal'").withColumn("capture", F.col("label")))
+    return got.select("left_out", "capture", "contamination", "rows", F.round("flag_rate", 6).alias("flag_rate"))
+
+
+@query
+def feature_importance(s, d):
+    """Accuracy that boosted trees lose when a feature is permuted: mean and deviation of five repeats."""
+    from ..ml import boosting, classify as C
+
+    rows = kept(s, "importance-flows", C.stratified(dataset(s, d), "label", 0.75))
+    features = FL.feature_set("D")
+    model = boosting.Boosted.fit(rows.where("part = 'train'"), features, rounds=5, depth=4)
+    return C.permutation_importance(model, rows.where("part = 'test'"), features)
+
+
+@query
+def model_comparison(s, d):
+    """Accuracy and macro recall of three kinds of models on held-out flows."""
+    from ..ml import boosting, classify as C
+
+    rows = kept(s, "comparison-flows", C.stratified(dataset(s, d), "label", 0.75))
+    return boosting.compare(rows.where("part = 'train'"), rows.where("part = 'test'"), FL.feature_set("D"), trees=20, depth=8, rounds=5)
+
+
 # ---------------------------------------------------------------- comparisons
 
 PROFILE = ["packets", "fwd_bytes", "duration", "pkt_len_mean"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import family, format_duration, format_time, is_low_confidence, layer, one_or_mixed, percent_of
+from ..functions.exprs import family, format_duration, format_time, is_low_confidence, layer, loss_percent, one_or_mixed, percent_of
 
 
 def severity_by_day(incidents: DataFrame) -> DataFrame:
@@ -255,6 +255,22 @@ def markdown(title: str, df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([f"## {title}", "", line(df.columns), "|" + "---|" * len(df.columns), *map(line, rows)]) + "\n"
 
 
+def live_losses(results: DataFrame) -> DataFrame:
+    """name, received, dropped and loss in percent of each measured capture path of live_results()."""
+    x = results.select(F.explode("capture_path").alias("name", "x")).select("name", "x.*")
+    return x.withColumn("loss_percent", loss_percent(F.col("received"), F.col("dropped")))
+
+
+def live(results: DataFrame | None) -> str:
+    """What was once measured live, as a section of a report; it isn't measured anew."""
+    row = results.first() if results is not None else None
+    if row is None:
+        return "## Live\n\nNothing was measured live.\n"
+    found = results.select(F.explode("detections").alias("name", "x")).select("name", F.when(F.col("x.detected"), "detected").otherwise("missed").alias("result"), "x.by", "x.half_open", "x.ports")
+    about = f"## Live\n\nMeasured {row.measured_on} on {row.interface} with {row.generator}; not measured anew here.\n"
+    return "\n".join([about, markdown("Loss", live_losses(results).orderBy("name")), markdown("Detections", found.orderBy("name")), row.note or ""])
+
+
 def metrics(alerts: DataFrame, expected: DataFrame, normal: DataFrame) -> str:
     """The evaluation as a document; expected has capture, expected and in_training, normal has capture."""
     found, wrong = evaluate(alerts, expected.select("capture", "expected")), wrong_kinds(alerts, expected.select("capture", "expected"))

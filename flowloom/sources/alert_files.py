@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,7 @@ from ..functions.exprs import first_key, parse_seconds
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """One column `value`; a path that doesn't exist has no lines."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], "value string")
-    return spark.read.text(path)
+    return spark.read.text(path) if exists(spark, path) else spark.createDataFrame([], "value string")
 
 
 def as_object(value: Column) -> Column:
@@ -54,8 +53,14 @@ def strict(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def document(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON document; None where there is none."""
+    return spark.read.option("multiLine", True).json(path) if exists(spark, path) else None
 
 
 def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -63,8 +68,21 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.write.mode("append").json(path)
+# The fields of a document of live measurements.
+LIVE = (
+    "measured_on string, interface string, generator string, note string, capture_path map<string, struct<received: long, dropped: long>>, "
+    "detections map<string, struct<detected: boolean, by: string, half_open: long, ports: long>>"
+)
+
+
+def live_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """Measurements that were taken on a live interface, one row (see LIVE); None where there are none."""
+    return spark.read.schema(LIVE).option("multiLine", True).json(path) if exists(spark, path) else None
+
+
+def append_alerts(alerts: DataFrame, path: str, fresh: bool = False) -> None:
+    """Adds alerts to a log of JSON lines, or begins it anew."""
+    alerts.write.mode("overwrite" if fresh else "append").json(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -76,14 +94,11 @@ def write_session(df: DataFrame, path: str) -> None:
 
 
 def captures(spark: SparkSession, registry: list[tuple[str, str]]) -> DataFrame:
-    """(path, label) of the captures that exist."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def there(p: str) -> bool:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        return path.getFileSystem(conf).exists(path)
-
-    return spark.createDataFrame([r for r in registry if there(r[0])], "path string, label string")
+    """(path, label) of the captures that exist; of the others a warning tells."""
+    there = [r for r in registry if exists(spark, r[0])]
+    for path in sorted({r[0] for r in registry} - {r[0] for r in there}):
+        warnings.warn(f"{path} is missing and left out", stacklevel=2)
+    return spark.createDataFrame(there, "path string, label string")
 
 
 # The sample scenarios, (source, target, kind, alerts, seconds between, day, first second of the day).

@@ -45,12 +45,13 @@ def test_soak_refuses_a_session_without_packets(spark):
     assert "2.00 h, not stopped cleanly" in reports.soak(alerts, one(5, None)) and "| logged | 2 | - |" in reports.soak(alerts, None)
 
 
-def test_dataset_train_and_compare(spark, tmp_path, capsys):
+def test_dataset_and_training(spark, tmp_path):
     for name, flags in (("calm", 24), ("scan", 2)):
         pcap.write([(1_000_000_000 + i * 10_000, frame((10, 0, 0, i % 7), (10, 0, 0, 99), 6, tcp(5000 + i, i % 30 + 1, flags, b"x" * (i % 5 if flags == 24 else 0)))) for i in range(120)], str(tmp_path / f"{name}.pcap"))
     (tmp_path / "registry.csv").write_text("path,label\n" + "".join(f"{tmp_path}/{n}.pcap,{n}\n" for n in ("calm", "scan", "gone")))
-    cli.main(["dataset", str(tmp_path / "registry.csv"), str(tmp_path / "data")])
-    assert "gone.pcap" in capsys.readouterr().out
+    with pytest.warns(UserWarning, match="gone.pcap"):
+        cli.main(["dataset", str(tmp_path / "registry.csv"), str(tmp_path / "data")])
+    assert alert_files.document(spark, str(tmp_path / "none")) is None
     rows = spark.read.parquet(str(tmp_path / "data"))
     assert {(r.capture, r.label) for r in rows.select("capture", "label").distinct().collect()} == {("calm.pcap", "calm"), ("scan.pcap", "scan")}
     cli.main(["train", str(tmp_path / "data"), str(tmp_path / "model")])
@@ -65,3 +66,12 @@ def test_metrics_document(spark, tmp_path, capsys):
     cli.main(["metrics", *(str(tmp_path / n) for n in ("a.jsonl", "e.csv", "n.csv"))])
     said = capsys.readouterr().out
     assert "| one | dos | 1 | 1 | True | True | True |" in said and "| calm | 1 | 1 | odd |" in said
+
+
+def test_live_section(spark, tmp_path, capsys):
+    (tmp_path / "live.json").write_text('{"measured_on": "2024-01-01", "interface": "eth0", "generator": "a tool", "note": "once",\n "capture_path": {"flood": {"received": 990, "dropped": 10}, "none": {"received": 0, "dropped": 0}},\n "detections": {"flood": {"detected": true, "by": "tracker", "half_open": 7}, "scan": {"detected": false, "by": "-"}}}')
+    cli.main(["live", str(tmp_path / "live.json")])
+    said = capsys.readouterr().out
+    assert "| flood | 990 | 10 | 1.0 |" in said and "| none | 0 | 0 | 0.0 |" in said and "| flood | detected | tracker | 7 | - |" in said and "| scan | missed |" in said
+    cli.main(["live", str(tmp_path / "gone.json")])
+    assert "Nothing was measured" in capsys.readouterr().out
