@@ -66,17 +66,17 @@ def with_group(rows: DataFrame) -> DataFrame:
     """incidents with part and epoch, which name groups that can't share a campaign.
 
     An incident joins a campaign near in time that has its source or one of its targets. So incidents fall into epochs, those
-    of an epoch into components of incidents that real hosts link, and these, without the others in between, into epochs again. A host
-    links its incidents through the first of them, a star and not all pairs; that first is aggregated before its shuffle.
+    of an epoch into components of incidents that real hosts link, and these, without the others in between, into epochs again. The
+    components are found on the graph of an epoch's hosts, which is small where incidents are many: each incident links its hosts to the
+    first of them. Hosts go by a hash; should two share one, two groups are one, which changes no campaign.
     """
     work = Workspace(rows.sparkSession, "campaign-groups")
-    x = work.keep(with_epoch(rows), "epochs")
-    ends = F.concat(F.array(F.struct(F.lit(True).alias("source"), F.col("src").alias("host"))), F.transform("destinations", lambda d: F.struct(F.lit(False).alias("source"), d.alias("host"))))
-    hosts = x.select("seq", "epoch", F.inline(F.array_distinct(ends))).where(F.col("host").isNotNull() & ~F.col("host").isin(*K.PLACEHOLDERS))
-    key = ["epoch", "source", "host"]
-    star = hosts.join(hosts.groupBy(*key).agg(F.min("seq").alias("b")), key).where("seq <> b").select(F.col("seq").alias("a"), "b")
-    label = components(work, star).withColumnsRenamed({"node": "seq", "label": "part"})
-    parts = x.drop("epoch").join(label, "seq", "left").withColumn("part", F.coalesce("part", "seq"))
+    real = lambda source, host: F.when(host.isNotNull() & ~host.isin(*K.PLACEHOLDERS), F.xxhash64("epoch", F.lit(source), host))
+    hosts = F.array_compact(F.concat(F.array(real(True, F.col("src"))), F.transform(F.coalesce("destinations", F.array().cast("array<string>")), lambda d: real(False, d))))
+    x = work.keep(with_epoch(work.keep(rows, "rows")).withColumn("hosts", hosts).withColumn("host", F.array_min("hosts")), "epochs")
+    star = x.select(F.col("host").alias("a"), F.explode("hosts").alias("b")).where("a <> b")
+    label = components(work, star).withColumnsRenamed({"node": "host", "label": "part"})
+    parts = x.drop("epoch", "hosts").join(label, "host", "left").withColumn("part", F.coalesce("part", "host", "seq")).drop("host")
     return with_epoch(work.keep(parts, "parts"), ("part",))
 
 

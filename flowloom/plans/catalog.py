@@ -432,12 +432,12 @@ def contamination_sweep(s, d):
 
 @query
 def feature_importance(s, d):
-    """Accuracy that boosted trees lose when a feature is permuted: mean and deviation of five repeats."""
-    from ..ml import boosting, classify as C
+    """Accuracy that a forest loses when a feature is permuted: mean and deviation of five repeats."""
+    from ..ml import classify as C
 
     rows = kept(s, "importance-flows", C.stratified(dataset(s, d), "label", 0.75))
     features = FL.feature_set("D")
-    model = boosting.Boosted.fit(rows.where("part = 'train'"), features, rounds=5, depth=4)
+    model = C.fit(rows.where("part = 'train'"), features, trees=20, depth=8)
     return C.permutation_importance(model, rows.where("part = 'test'"), features)
 
 
@@ -447,7 +447,7 @@ def model_comparison(s, d):
     from ..ml import boosting, classify as C
 
     rows = kept(s, "comparison-flows", C.stratified(dataset(s, d), "label", 0.75))
-    return boosting.compare(rows.where("part = 'train'"), rows.where("part = 'test'"), FL.feature_set("D"), trees=20, depth=8, rounds=5)
+    return boosting.compare(rows.where("part = 'train'"), rows.where("part = 'test'"), FL.feature_set("D"), trees=20, depth=8, rounds=3)
 
 
 # ---------------------------------------------------------------- comparisons
