@@ -14,7 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts (five-word shingles, 0.8) stays, the one of the smallest doc_id."""
+    """One document of each group of near copies stays, the one of the smallest doc_id: SimHash fingerprints within three bits, by
+    multi-index hashing, and similar texts (five-word shingles, 0.8) that these don't link."""
     return simhash.keep_first(docs)
 
 

@@ -285,13 +285,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return made.select("doc_id", "id").join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
+def copy_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links of either kind: fingerprints that differ in three bits or
+    fewer (near_duplicates), and similar texts (similar_groups), which may stand further apart.
+
+    Rows of null doc_id are left out. An empty table gives no rows.
+    """
+    work = Workspace(docs.sparkSession, "simhash-groups")
+    docs = docs.where("doc_id IS NOT NULL")
+    near = near_duplicates(docs).selectExpr("doc_id", "component_id AS a")
+    both = work.keep(near.join(similar_groups(docs, similarity).withColumnRenamed("component_id", "b"), "doc_id"), "both")
+    labels = components(work, both.select("a", "b"))
+    named = both.join(labels.withColumnRenamed("node", "b"), "b", "left")
+    return named.select("doc_id", F.coalesce("label", "b").alias("component_id"))
+
+
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of similar texts.
+    """docs without all but the smallest doc_id of each of their copy_groups.
 
     Rows of null doc_id can't be told apart and stay. Of rows that repeat a doc_id one stays (the smallest by its text's hash).
     """
     work = Workspace(docs.sparkSession, "simhash-keep")
-    found = work.keep(similar_groups(docs, similarity), "found")
+    found = work.keep(copy_groups(docs, similarity), "found")
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id")
     kept = drop_ids(docs, work.keep(gone, "gone"))
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -213,6 +213,27 @@ def test_copies_with_blocks_appended_or_replaced_are_found(spark, hot, monkeypat
     assert len(pairs) > 100 and {(got[i], i) for i in got if got[i] != i} == pairs
 
 
+def test_the_pipeline_drops_what_fingerprints_link_and_what_is_similar(spark, small):
+    import corpus_pipeline as cp
+
+    r, rows = random.Random(23), []
+    bits = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    like = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    while len(rows) < 6:  # three bits or fewer, yet not similar
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        copy = [f"w{r.randrange(10**6)}" if k % 43 == 20 else w for k, w in enumerate(base)]
+        texts = [" ".join(base), " ".join(copy)]
+        if bits(*texts) <= 3 and like(*texts) < 0.8:
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    base = [f"v{k}" for k in range(300)]  # similar, yet more than three bits
+    rows += [(10, " ".join(base)), (11, " ".join(base[:280] + [f"u{k}" for k in range(12)]))]
+    assert bits(rows[-2][1], rows[-1][1]) > 3 and like(rows[-2][1], rows[-1][1]) >= 0.8
+    rows += [(20, " ".join(f"t{k}" for k in range(300))), (None, rows[0][1]), (30, None), (31, "")]
+    kept = [x.doc_id for x in cp.drop_copies(spark, frame(spark, rows), small).collect()]
+    assert sorted(kept, key=lambda i: -1 if i is None else i) == [None, 0, 2, 4, 10, 20, 30]
+
+
 def test_crowded_keys_lose_no_pair_close_to_the_bound(spark):
     r, sets = random.Random(22), []
     for _ in range(150):
