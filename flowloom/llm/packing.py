@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, release, table
+from .common import batches, passes, release, table
 from .tokens import VOCABULARY, encoder
 
 WINDOW = 2048
@@ -180,8 +180,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
         end, ids, names, size = np.array([end_id], "<u4").tobytes(), [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 8):
-                for d, x in zip(doc_ids[at : at + 8], words.encode([t or "" for t in texts.slice(at, 8).to_pylist()])):
+            for at, n, data, offsets in passes(texts):
+                for d, x in zip(doc_ids[at : at + n], words.ids(data, offsets)):
                     ids.append(np.frombuffer(x + end, "<u4"))
                     names.append(d)
                     size += len(ids[-1])

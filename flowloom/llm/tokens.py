@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches, table
+from .common import Workspace, batches, passes, table, word_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A segment is closed when it holds this many ids (it always holds whole documents).
@@ -18,33 +18,101 @@ SEGMENT_IDS = 1 << 21
 BROADCAST_SEGMENTS = 500_000
 #: Bytes of encoded pieces that a worker keeps, half of them from one task to the next.
 CACHE_BYTES = 64 << 20
-#: What a piece costs beside its letters and ids: two objects and its share of the table.
-PIECE_BYTES = 220
+#: Longer pieces are encoded as they come and not kept.
+LONGEST_PIECE = 64
+#: Bytes that may follow the space or line end at which a piece begins: no white space, nor the first of one's UTF-8.
+_FOLLOWS = np.ones(256, bool)
+_FOLLOWS[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_CUTS = np.isin(np.arange(256), [0x0A, 0x20, 0x2C, 0x2E])
+#: Two readings of a byte, for two hashes of a piece.
+_READINGS = [(None, np.arange(256, dtype=np.uint8)), (None, np.random.default_rng(1).permutation(256).astype(np.uint8))]
+
+
+class Pieces:
+    """Ids of pieces by two 64-bit hashes: open addressing over arrays, all pieces of a call looked up at once."""
+
+    def __init__(self, slots: int = 1 << 12):
+        self.key, self.check, self.row = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.hashes, self.start = np.zeros((2, slots // 2), np.uint64), np.zeros(slots // 2 + 1, np.int32)
+        self.ids, self.n = np.zeros(slots * 2, "<u4"), 0
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.key, self.check, self.row, self.hashes, self.start, self.ids))
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Each piece's row, -1 where it isn't held."""
+        mask = np.uint64(len(self.key) - 1)
+        slot = (key & mask).astype(np.int64)
+        out = self.row[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.check[slot] != check)))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & int(mask)
+            out[todo] = row = self.row[slot]
+            on = (row >= 0) & ((self.key[slot] != key[todo]) | (self.check[slot] != check[todo]))
+            todo, slot = todo[on], slot[on]
+        return out
+
+    def _place(self, rows: np.ndarray) -> None:
+        key, check = self.hashes[:, rows]
+        mask = len(self.key) - 1
+        slot = (key & np.uint64(mask)).astype(np.int64)
+        while len(rows):
+            free = np.flatnonzero(self.row[slot] < 0)
+            self.row[slot[free]] = rows[free]  # of several that want a slot the last has it
+            won = self.row[slot] == rows
+            self.key[slot[won]], self.check[slot[won]] = key[won], check[won]
+            on = ~won
+            rows, key, check, slot = rows[on], key[on], check[on], (slot[on] + 1) & mask
+
+    def add(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in distinct pieces that aren't held, with their ids one after the other."""
+        total, end = self.n + len(key), int(self.start[self.n])
+        if end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:end], np.zeros(max(len(self.ids) // 2, len(ids)) + len(ids), "<u4")])
+        grow = total > len(self.key) // 2
+        if grow:
+            slots = 1 << (2 * total).bit_length()
+            self.key, self.check, self.row = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+            self.hashes = np.concatenate([self.hashes[:, : self.n], np.zeros((2, slots // 2 - self.n), np.uint64)], axis=1)
+            self.start = np.concatenate([self.start[: self.n + 1], np.zeros(slots // 2 - self.n, np.int32)])
+        self.hashes[0, self.n : total], self.hashes[1, self.n : total] = key, check
+        self.start[self.n + 1 : total + 1] = end + np.cumsum(sizes)
+        self.ids[end : end + len(ids)] = ids
+        rows = np.arange(0 if grow else self.n, total, dtype=np.int32)
+        self.n = total
+        self._place(rows)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each row has, and the ids of all, one row after the other."""
+        start = self.start[rows].astype(np.int64)
+        sizes = self.start[rows + 1] - start
+        ends = np.cumsum(sizes)
+        return sizes, self.ids[np.repeat(start - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class Encoder:
     """tokenizers' ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The byte-level pattern always begins a token at white space that a non-space follows, and what stands before encodes as
-    it does alone. So a text falls into a head and pieces at such spaces and line ends; each distinct piece is encoded once by
-    the library (many in one call, and cut by the bytes that each id stands for) and cached. White space that stands
-    together stays in one piece. A piece is kept without its space; one that begins a line is kept with the line end.
+    The byte-level pattern always begins a token at a space that a non-space follows, at a line end between non-spaces, and at
+    a comma or full stop after a letter or digit; what stands before encodes as it does alone. So a text falls into pieces at
+    such places (those of its bytes that show it by themselves); each distinct piece is encoded once by the library (many in
+    one call, and cut by the bytes that each id stands for) and kept. White space that stands together stays in one piece.
 
-    The cache holds two generations of half its bytes each: when the younger is full it becomes the older, whose pieces come
+    Pieces are kept in two generations of half the room each: when the younger is full it becomes the older, whose pieces come
     back as they are met again, so frequent pieces stay and rare ones go. rest() lets go of the older one, as tasks do at their end.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, room: int = CACHE_BYTES):
         import os
-        import re
 
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.room = Tokenizer.from_file(public_tokenizers.path(vocabulary)), room
-        self.cache, self.older, self.held = {}, {}, 0
-        self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.young, self.older = Pieces(), None
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
@@ -53,79 +121,97 @@ class Encoder:
             self.sizes[i] = added.get(i, len(token))  # the vocabulary writes each byte as one character
 
     def rest(self) -> None:
-        self.older = {}
-
-    def _make_room(self, new: set[str]) -> list[str]:
-        """Brings back what the older generation has of the new pieces, and returns the others."""
-        self.held += sum(map(len, new)) * 3 + PIECE_BYTES * len(new)
-        if self.held > self.room // 2:
-            self.cache, self.older, self.held = {}, self.cache, 0
-        back = [x for x in new if x in self.older]
-        for x in back:
-            self.cache[x] = self.older.pop(x)
-        return [x for x in new if x not in self.cache] if back else list(new)
-
-    def pieces(self, text: str) -> list[str]:
-        """The head, then pieces whose ids, one after the other, follow the head's."""
-        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or self.other_space(text)):
-            return text.replace("\n", " \n").split(" ")
-        parts = text.split(" ")
-        out = parts[:1]
-        for x in parts[1:]:
-            if not x or x[0].isspace():
-                out[-1] += " " + x
-            else:
-                out.append(x)
-        return out
+        self.older = None
+
+    @staticmethod
+    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin in texts that stand one after the other; each text that isn't empty begins one."""
+        at = np.flatnonzero(_CUTS[data])
+        own, first, last = data[at], np.zeros(len(data), bool), np.zeros(len(data), bool)
+        begin, end = offsets[:-1], offsets[1:]
+        some = begin < end
+        first[begin[some]], last[end[some] - 1] = True, True
+        after = np.where(last[at], 0x20, data[np.minimum(at + 1, len(data) - 1)])
+        before = np.where(first[at], 0x20, data[np.maximum(at - 1, 0)])
+        follows = _FOLLOWS[after]
+        good = (own == 0x20) & follows | (own == 0x0A) & follows & _FOLLOWS[before] & (before < 0x80) | (own > 0x20) & _ALNUM[before] & ((after == 0x20) | (after == 0x0A))
+        first[at[good]] = True
+        return np.flatnonzero(first)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        cache, texts = self.cache, [x if x[0] == "\n" else " " + x for x in pieces]
-        joined = "".join(texts)
+    def _learn(self, raw: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The pieces' places in another order, how many ids each has then, and the ids of all."""
+        follows = _FOLLOWS.tolist()
+        joins = [x[0] in b" \n" and len(x) > 1 and follows[x[1]] for x in raw]
+        texts = [x.decode() for x in raw]
+        joined = "".join([x for x, j in zip(texts, joins) if j])
         if any(t in joined for t in self.added):  # such a token ends what stands before it, so its piece is encoded alone
-            alone = {x for x in texts if any(t in x for t in self.added)}
-            for x, y in zip(pieces, texts):
-                if y in alone:
-                    cache[x] = self._ids([y])[0].tobytes()
-            pieces = [x for x, y in zip(pieces, texts) if y not in alone]
-            texts = [y for y in texts if y not in alone]
-            if not pieces:
-                return
-        ids = np.concatenate(self._ids(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)]))
-        sizes = map(len, texts) if joined.isascii() else [len(y.encode()) for y in texts]
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(sizes, np.int64)), "left") + 1
-        raw, at = ids.tobytes(), 0
-        for x, cut in zip(pieces, (cuts * 4).tolist()):
-            cache[x] = raw[at:cut]
-            at = cut
+            joins = [j and not any(t in x for t in self.added) for x, j in zip(texts, joins)]
+        places, alone = [i for i, j in enumerate(joins) if j], [i for i, j in enumerate(joins) if not j]
+        sizes, ids = [], self._ids(["".join([texts[i] for i in places[k : k + 64]]) for k in range(0, len(places), 64)])
+        if places:
+            ends = np.cumsum(self.sizes[np.concatenate(ids)])
+            sizes.append(np.diff(np.searchsorted(ends, np.cumsum([len(raw[i]) for i in places]), "left") + 1, prepend=0))
+        if alone:
+            own = self._ids([texts[i] for i in alone])
+            sizes.append(np.array([len(x) for x in own]))
+            ids += own
+        return places + alone, np.concatenate(sizes), np.concatenate(ids)
+
+    def _rows(self, key: np.ndarray, check: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces' rows in the younger generation, which has them all afterwards."""
+        rows = self.young.find(key, check)
+        new = np.flatnonzero(rows < 0)
+        if not len(new):
+            return rows
+        if self.young.nbytes() > self.room // 2:
+            self.young, self.older = Pieces(), self.young
+            new = np.arange(len(key))
+        kept = new[np.unique(key[new], return_index=True)[1]]
+        if self.older is not None:
+            held = self.older.find(key[kept], check[kept])
+            back = kept[held >= 0]
+            self.young.add(key[back], check[back], *self.older.gather(held[held >= 0]))
+            kept = kept[held < 0]
+        if len(kept):
+            raw = data.tobytes()
+            order, sizes, ids = self._learn([raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist())])
+            self.young.add(key[kept[order]], check[kept[order]], sizes, ids)
+        rows[new] = self.young.find(key[new], check[new])
+        # Pieces of one key and another check, if there ever are any.
+        return rows if (rows >= 0).all() else self._rows(key, check, data, starts, ends)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each of the texts that stand one after the other, from offset to offset, as UTF-8."""
+        n = len(offsets) - 1
+        if not len(data):
+            return [b""] * n
+        starts = self.cuts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        short = ends - starts <= LONGEST_PIECE
+        s, e = starts[short], ends[short]
+        rows = self._rows(*(word_hashes(data, s, e, x) for x in _READINGS), data, s, e)
+        sizes, ids = self.young.gather(rows)
+        if not short.all():
+            most = np.flatnonzero(~short)
+            long = [x for i in range(0, len(most), 8) for x in self._ids([data[starts[k] : ends[k]].tobytes().decode() for k in most[i : i + 8]])]
+            parts, at = [], 0
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            for k, x in zip((most - np.arange(len(most))).tolist(), long):
+                parts += [ids[cut[at] : cut[k]], x]
+                at = k
+            ids, all_sizes = np.concatenate([*parts, ids[cut[at] :]]), np.empty(len(starts), np.int64)
+            all_sizes[short], all_sizes[~short] = sizes, [len(x) for x in long]
+            sizes = all_sizes
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = (upto[np.searchsorted(starts, offsets)] * 4).tolist()
+        raw = ids.astype("<u4", copy=False).tobytes()
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split = self.cache, [self.pieces(x) for x in texts]
-        get = cache.get
-        heads = self._ids([x[0] for x in split])
-        found, gaps, new = [], [], set()
-        for pieces in split:
-            del pieces[0]
-            ids, at, places = list(map(get, pieces)), -1, []
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    places.append(at)
-                    new.add(pieces[at])
-            except ValueError:
-                found.append(ids)
-                gaps.append(places)
-        if new:
-            unknown = self._make_room(new)
-            if unknown:
-                self._learn(unknown)
-            get = self.cache.get
-            for pieces, ids, places in zip(split, found, gaps):
-                for at in places:
-                    ids[at] = get(pieces[at])
-        return [head.tobytes() + b"".join(ids) for head, ids in zip(heads, found)]
+        return [x for _, _, data, offsets in passes(pa.array(texts, pa.large_string())) for x in self.ids(data, offsets)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -229,8 +315,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
         held_docs, held, size = [], [], 0
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 8):
-                for d, x in zip(doc_ids[at : at + 8], words.encode([t or "" for t in texts.slice(at, 8).to_pylist()])):
+            for at, n, data, offsets in passes(texts):
+                for d, x in zip(doc_ids[at : at + n], words.ids(data, offsets)):
                     x += end
                     if held and size + len(x) // 4 > SEGMENT_IDS:
                         yield batches(_segment(shard, number, held_docs, held))

@@ -62,6 +62,28 @@ def test_encoder_is_exact_on_odd_texts():
     assert got == want
 
 
+def test_encoder_keeps_pieces_of_the_vocabulary_in_arrays(monkeypatch):
+    """Generations change, keys clash, long pieces and texts of several passes come in between; a warm call asks for nothing."""
+    r = random.Random(4)
+    words = ["".join(r.choice(("on", "th", "er", "is", "é", "Sh", "'s", "3", "世")) for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    bits = lambda: r.choice(words) + r.choice(("", "", "", ",", ".", ".,", "\n", "..", "-", "x" * 70))
+    texts = [" ".join(bits() for _ in range(r.randint(0, 60))) + r.choice(("", " ", "\n", ".")) for _ in range(500)]
+    e = tokens.Encoder(room=200_000)
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [y for i in range(0, 500, 20) for y in e.encode(texts[i : i + 20])] == want and e.older is not None
+    e, plain = tokens.Encoder(), [i for i, t in enumerate(texts) if "x" * 70 not in t]
+    assert e.encode(texts) == want
+    monkeypatch.setattr(e, "_ids", None)
+    assert e.encode([texts[i] for i in plain]) == [want[i] for i in plain]
+    clash = tokens.Pieces(4)
+    key, check = np.repeat(np.arange(50, dtype=np.uint64), 3), np.arange(150, dtype=np.uint64)
+    for part in (slice(0, 150, 2), slice(1, 150, 2)):
+        clash.add(key[part], check[part], check[part].astype(np.int64) % 4, np.repeat(check[part], check[part].astype(np.int64) % 4))
+    sizes, ids = clash.gather(clash.find(key, check))
+    assert (sizes == np.arange(150) % 4).all() and (ids == np.repeat(np.arange(150), sizes)).all()
+    assert (clash.find(key, check + np.uint64(1000)) < 0).all()
+
+
 def test_token_ids_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT_IDS", 300)
     df = frame(spark, ODD).repartition(3)
