@@ -680,6 +680,38 @@ def test_a_passage_whose_halves_have_other_first_and_last_holders(spark):
         assert [(p.start, p.stop) for p in x.passages] == ([(60, 140)] if 300 <= x.doc_id < 500 else [])
 
 
+def test_a_fuzzy_passage_whose_seeds_all_have_other_holders_first_and_last(spark):
+    """Two texts of three share a passage with an edit every 16 words; each part of it stands alone in others before and after."""
+    r = random.Random(41)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    mine, rows = words(96, "s"), []
+    other = [f"x{k}" if k % 16 == 15 else w for k, w in enumerate(mine)]
+    parts = [mine[k : k + 15] for k in range(0, 96, 16)]
+    for k, part in enumerate(parts):
+        for first in (0, 200):
+            rows.append((first + k, " ".join(words(60, "o") + part + words(60, "o"))))
+    rows += [(100, " ".join(words(30, "c") + mine + words(40, "d"))), (101, " ".join(words(70, "e") + other + words(9, "f")))]
+    got = {x.doc_id: x for x in chaining.repeated(frame(spark, rows).repartitionByRange(4, "doc_id")).collect()}
+    a, b = got.pop(100), got.pop(101)
+    assert [(p.start, p.stop) for p in a.passages] == [(30, 125)] and [(p.start, p.stop) for p in b.passages] == [(70, 165)]
+    assert (a.shared_with, b.shared_with) == (101, 100) and not any(x.n_repeated for x in got.values())
+
+
+def test_texts_are_judged_by_the_words_beside_two_seeds_as_they_are_aligned():
+    r, n = np.random.default_rng(42), 0
+    for _ in range(400):
+        core, sides = int(r.integers(12, 45)), [r.integers(0, 1 << 16, 60) for _ in range(2)]
+        flips = [np.where(r.random(60) < r.choice([0.1, 0.5, 1]), r.integers(0, 1 << 16, 60), s) for s in sides]
+        middle = r.integers(0, 1 << 16, core)
+        a, b = (np.concatenate([x[::-1], middle, y]).astype("<u4") for x, y in (sides, flips))
+        found = [p for p in chaining.align(a, b, [60, 60 + core - chaining.K], [60, 60 + core - chaining.K]) if p[1] - p[0] >= chaining.LEAST_WORDS]
+        beside = [np.concatenate([x[:16], y[:16]]).astype(np.uint8)[None] for x, y in (sides, flips)]
+        good = bool(chaining.hopeful(*beside, np.array([core]))[0])
+        assert good or not found
+        n += good
+    assert 50 < n < 350
+
+
 def shared_windows(texts, n=chaining.LEAST_WORDS):
     """Per text the words in windows of n words that another row has too."""
     where = collections.defaultdict(set)
