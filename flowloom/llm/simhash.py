@@ -3,9 +3,9 @@
 Fingerprints (64 bits) fall into two 32-bit segments. Two of them that differ in at most three bits differ in at most one
 bit of some segment, so for each segment every fingerprint looks up its segment's Hamming ball of radius one (33 values) in
 the table of exact segment values, and matches are verified over all 64 bits. Only distinct fingerprints take part, so
-copies cost one row each. A table entry with more than `HOT` fingerprints isn't joined: its fingerprints, with those that
-look it up, are dealt to pairs of hashed blocks of bounded size, and each pair returns a spanning forest of its links, not
-the links. Components are the same either way.
+copies cost one row each. A table entry that more than `HOT` fingerprints look up isn't joined: these are dealt to pairs of
+hashed blocks of bounded size, and each pair returns a spanning forest of its links, not the links, whose number would grow
+with the square of a group of near copies. Components are the same either way.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, release, table, texts_of, word_hashes, words_in
 
-#: Fingerprints under one segment value beyond which the value's links are found in blocks.
-HOT = 64
+#: Fingerprints that look up one segment value beyond which the value's links are found in blocks.
+HOT = 4
 #: Fingerprints of a block (each task compares two).
 BLOCK = 2048
 #: Shingles whose bits are counted at once.
@@ -86,16 +86,16 @@ def links(work: Workspace, distinct: DataFrame, radius: int = 3, hot: int = HOT,
     flips = F.sequence(F.lit(0), F.lit(31))
     ball = lambda s: F.concat(F.array(s), F.transform(flips, lambda i: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     probes = distinct.select("fp", F.explode(F.concat(ball(first), ball(second))).alias("key"))
-    heavy = work.keep(exact.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
-    crowded = heavy.limit(1).count() > 0
-    cold = exact.join(heavy, "key", "left_anti") if crowded else exact
-    found = probes.alias("p").join(cold.alias("e"), F.col("p.key") == F.col("e.key")).where(F.col("p.fp") < F.col("e.fp"))
-    found = found.where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("e.fp"))) <= radius).select(F.col("p.fp").alias("a"), F.col("e.fp").alias("b"))
-    if not crowded:
+    # What one fingerprint's segment is near to may be as many as a crowd that shares a segment: those that look up count, too.
+    items = work.keep(probes.join(exact.select("key").distinct(), "key"), "items")
+    items = work.keep(items.join(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "met")
+    few = items.where(F.col("n") <= hot).select("key", "fp")
+    found = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
+    found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+    crowded = items.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    if not crowded.limit(1).count():
         return found
-    items = work.keep(probes.join(heavy, "key"), "items")
-    blocks = items.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = items.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    dealt = crowded.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
 

@@ -194,6 +194,45 @@ def test_links_connect_what_all_pairs_connect(spark, hot, block):
             assert (find(a) == find(b)) == (got.get(a, a) == got.get(b, b))
 
 
+def test_links_of_a_group_grow_with_its_size_and_are_followed_once(spark):
+    """A group of near copies returns links in proportion to its fingerprints; components joins an edge of it no second time."""
+    r, counts = random.Random(24), []
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    for n in (40, 160):
+        base = r.getrandbits(64)
+        values = {base}
+        while len(values) < n:
+            values.add(base ^ sum(1 << k for k in r.sample(range(64), r.choice((1, 2)))))
+        work = Workspace(spark, "group")
+        found = work.keep(simhash.links(work, spark.createDataFrame([(signed(v),) for v in values], "fp long")), "links")
+        counts.append(found.distinct().count() / n)
+        got = {x.node: x.label for x in components(work, found).collect()}
+        assert got == dict.fromkeys(map(signed, values), min(map(signed, values)))
+        first, then = (spark.read.parquet(f"{work.path}/{x}").count() for x in ("cc-edges", "cc-edges-1"))
+        assert then <= 0.2 * first
+    assert max(counts) <= 16
+
+
+def test_components_of_chains_stars_and_scattered_labels(spark):
+    r, edges = random.Random(25), [(k, k + 1) for k in range(300)]
+    edges += [(9999, k) for k in range(1000, 1200)] + [(x, x) for x in (7000, 7001)]
+    order = r.sample(range(2000, 2400), 400)
+    edges += list(zip(order, order[1:])) + [(r.randrange(3000, 3300), r.randrange(3000, 3300)) for _ in range(200)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    rows = components(Workspace(spark, "graph"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(rows) == len(up) and {x.node: x.label for x in rows} == {x: root(x) for x in up}
+
+
 def near_copies(seed=0, groups=30):
     r, rows = random.Random(seed), []
     vocab = [f"w{i}" for i in range(4000)]
