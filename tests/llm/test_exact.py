@@ -736,6 +736,22 @@ def test_a_fuzzy_passage_whose_seeds_all_have_other_holders_first_and_last(spark
     assert (a.shared_with, b.shared_with) == (101, 100) and not any(x.n_repeated for x in got.values())
 
 
+def test_only_what_asks_and_others_hold_is_counted_or_met(spark):
+    """Seeds that one text repeats aren't shared; pairs within found passages, and those of one text alone, name no key."""
+    r = random.Random(43)
+    words = lambda n: [f"a{r.randrange(10**6)}" for _ in range(n)]
+    line, copy, part = words(20), words(120), words(30)
+    rows = [(1, " ".join(line * 9 + words(50))), (2, " ".join(copy)), (3, " ".join(copy)), *[(k, " ".join(words(60) + part + words(60))) for k in (4, 5)]]
+    work = Workspace(spark, "chaining")
+    texts = work.keep(chaining.seeds(frame(spark, rows).repartitionByRange(5, "doc_id")), "texts")
+    found = chaining.passages(texts, work).collect()
+    names = {x.row: x.doc_id for x in texts.collect()}
+    kept = lambda name: spark.read.parquet(f"{work.path}/{name}")
+    assert {names[x.row] for x in found} == {2, 3} and {names[x.row] for x in kept("shared").collect()} == {2, 3, 4, 5}
+    seeds = [x.pos for x in kept("shared").collect() if names[x.row] == 4]
+    assert 1 < len(seeds) and 0 < kept("rest-keys").count() <= len(seeds) * (len(seeds) - 1) // 2
+
+
 def test_texts_are_judged_by_the_words_beside_two_seeds_as_they_are_aligned():
     r, n = np.random.default_rng(42), 0
     for _ in range(400):
