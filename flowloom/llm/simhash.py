@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, release, table, texts_of, word_hashes, words_in
+from .common import SPACE_WORDS, Workspace, batches, components, drop_ids, grams, int64, large_rows, mix, passes, release, shuffled, table, texts_of, word_hashes, words_in
 
 #: Fingerprints that look up one segment value beyond which the value's links are found in blocks.
 HOT = 4
@@ -87,10 +87,10 @@ def links(work: Workspace, distinct: DataFrame, radius: int = 3, hot: int = HOT,
     ball = lambda s: F.concat(F.array(s), F.transform(flips, lambda i: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     probes = distinct.select("fp", F.explode(F.concat(ball(first), ball(second))).alias("key"))
     # What one fingerprint's segment is near to may be as many as a crowd that shares a segment: those that look up count, too.
-    items = work.keep(probes.join(exact.select("key").distinct(), "key"), "items")
-    items = work.keep(items.join(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "met")
+    items = work.keep(shuffled(probes).join(shuffled(exact.select("key").distinct()), "key"), "items")
+    items = work.keep(shuffled(items).join(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "met")
     few = items.where(F.col("n") <= hot).select("key", "fp")
-    found = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
+    found = shuffled(few.withColumnRenamed("fp", "a")).join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
     found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     crowded = items.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     if not crowded.limit(1).count():

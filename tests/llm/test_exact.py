@@ -213,6 +213,30 @@ def test_links_of_a_group_grow_with_its_size_and_are_followed_once(spark):
     assert max(counts) <= 16
 
 
+def plans_of(spark, monkeypatch, run) -> dict[str, str]:
+    """Plans of the tables that are kept while run() goes on, by name, under the broadcast threshold that Spark has by itself."""
+    plans, keep = {}, Workspace.keep
+
+    def watched(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(Workspace, "keep", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    return plans
+
+
+def test_no_exploded_table_of_fingerprints_is_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 40} of some {i % 7} words") for i in range(80)], "doc_id long, text string")
+    plans = plans_of(spark, monkeypatch, lambda: simhash.near_duplicates(docs))
+    assert "Generate" in plans["items"] and not [k for k in ("items", "met", "links") if "BroadcastHashJoin" in plans[k]]
+
+
 def test_components_of_chains_stars_and_scattered_labels(spark):
     r, edges = random.Random(25), [(k, k + 1) for k in range(300)]
     edges += [(9999, k) for k in range(1000, 1200)] + [(x, x) for x in (7000, 7001)]
