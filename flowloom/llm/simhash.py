@@ -232,14 +232,14 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
     # Keys that the same ids have count once.
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("root"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")).where("n > 1")
     groups = groups.groupBy("n", "root", "who", "too").agg(F.min("key").alias("key")).select("key", "n", "root")
-    members = work.keep(keys.join(groups, "key"), "members")
+    members = work.keep(shuffled(keys).join(shuffled(groups), "key"), "members")
     pairs = members.where((F.col("id") != F.col("root")) & (F.col("n") > (hot if hot > 2 else 0))).select(F.col("root").alias("a"), F.col("id").alias("b"))
     if hot > 2:
         few = members.where(F.col("n") <= hot).select("key", "id")
-        pairs = pairs.union(few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b"))
+        pairs = pairs.union(shuffled(few.withColumnRenamed("id", "a")).join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b"))
     near = work.keep(pairs.distinct(), "near")
     sets = sets_of(work, docs, distinct, members.select("id"))
-    both = near.join(sets.selectExpr("id AS a", "shingles AS x"), "a").join(sets.selectExpr("id AS b", "shingles AS y"), "b")
+    both = shuffled(near).join(sets.selectExpr("id AS a", "shingles AS x"), "a").join(shuffled(sets.selectExpr("id AS b", "shingles AS y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     found = work.keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "found")
     crowded = members.where(F.col("n") > max(hot, 2))
@@ -249,8 +249,8 @@ def similar_links(work: Workspace, docs: DataFrame, distinct: DataFrame, similar
     items = crowded.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     items = work.keep(items, "items")
     blocks = items.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
-    dealt = items.join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
+    dealt = shuffled(items).join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = shuffled(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))).join(shuffled(sets), "id")
     tasks = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "label", "shingles")).alias("items"))
 
     def compare(it):

@@ -237,6 +237,12 @@ def test_no_exploded_table_of_fingerprints_is_broadcast(spark, monkeypatch):
     assert "Generate" in plans["items"] and not [k for k in ("items", "met", "links") if "BroadcastHashJoin" in plans[k]]
 
 
+def test_no_exploded_table_of_similar_texts_is_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 5, i % 5 + 30))) for i in range(40)], "doc_id long, text string")
+    plans = plans_of(spark, monkeypatch, lambda: simhash.similar_groups(docs))
+    assert "Generate" in plans["members"] and not [k for k in ("members", "found") if "BroadcastHashJoin" in plans[k]]
+
+
 def test_components_of_chains_stars_and_scattered_labels(spark):
     r, edges = random.Random(25), [(k, k + 1) for k in range(300)]
     edges += [(9999, k) for k in range(1000, 1200)] + [(x, x) for x in (7000, 7001)]
