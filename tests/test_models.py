@@ -89,6 +89,35 @@ def test_permutation_importance(spark):
     assert C.permutation_importance(model, df.where("false"), ["x"]).count() == 0
 
 
+def test_made_up_rows_fit_a_task_whatever_repeats(spark):
+    """Neighbours of a block take little memory; equal rows and a label of few rows don't crowd one group, and all rows are made."""
+    import tracemalloc
+
+    v = np.random.default_rng(1).normal(size=(1500, 25))
+    tracemalloc.start()
+    near = C.neighbours(v, 3)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    d = ((v[:40, None] - v[None]) ** 2).sum(axis=2)
+    assert (near[:40] == np.argsort(d, axis=1)[:, 1:4]).all()
+    rows = [("many", float(i), 0.0) for i in range(900)] + [("same", 7.0, 7.0)] * 300 + [("two", 1.0, 2.0), ("two", 3.0, 6.0)]
+    held, apply = [], type(spark.range(1).groupBy("id")).applyInPandas
+
+    def watched(self, f, schema):
+        held.append(self._df.groupBy("label", "block").count().agg(F.max("count")).first()[0])
+        return apply(self, f, schema)
+
+    kind = type(spark.range(1).groupBy("id"))
+    kind.applyInPandas = watched
+    try:
+        made = C.smote(spark.createDataFrame(rows, "label string, x double, y double").repartition(4), ["x", "y"], block=50)
+    finally:
+        kind.applyInPandas = apply
+    got = {x["label"]: x["count"] for x in made.groupBy("label").count().collect()}
+    assert held and held[0] < 100 and got["many"] == 900 and got["two"] in (900, 2) and abs(got["same"] - 900) <= 6
+    assert made.where("label = 'two' AND abs(y - 2 * x) > 1e-9").count() == 0 and made.where("label = 'same' AND (x <> 7 OR y <> 7)").count() == 0
+
+
 def test_sweep_equals_forests_fitted_one_by_one(spark):
     r = random.Random(9)
     rows = spark.createDataFrame([(f"c{i % 3}", r.gauss(i % 3, 1), r.gauss(0, 1)) for i in range(300)], "capture string, x double, y double")
