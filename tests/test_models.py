@@ -89,6 +89,28 @@ def test_permutation_importance(spark):
     assert C.permutation_importance(model, df.where("false"), ["x"]).count() == 0
 
 
+def test_permuted_forest_scores_as_its_model(spark):
+    """Verdicts of every row and feature with another row's value are those of the model itself, without a pass of it a feature."""
+    r = random.Random(3)
+    rows = [(r.choice("abc"), r.choice([0.0, 1.0, 2.0]), r.gauss(0, 1), r.choice([5.0, float("nan"), float("inf")])) for _ in range(300)]
+    rows = [(k if i % 9 else None, x + "abc".index(k), y, z) for i, (k, x, y, z) in enumerate(rows)]
+    df, names = spark.createDataFrame(rows, "label string, x double, y double, z double"), ["x", "y", "z"]
+    model = C.fit(df, names, trees=7, depth=5)
+    seen = []
+    was, C.predict = C.predict, lambda m, x: seen.append(1) or was(m, x)
+    try:
+        got = {v.feature: (v.importance, v.deviation) for v in C.permutation_importance(model, df, names[::-1], repeats=2).collect()}
+    finally:
+        C.predict = was
+    assert len(seen) == 1
+
+    class Plain:  # takes the general way, a pass of the model for every feature
+        predict = staticmethod(lambda x: was(model, x))
+
+    want = {v.feature: (v.importance, v.deviation) for v in C.permutation_importance(Plain, df, names[::-1], repeats=2).collect()}
+    assert got.keys() == want.keys() == set(names) and all(got[f] == pytest.approx(want[f], abs=1e-12) for f in names)
+
+
 def test_made_up_rows_fit_a_task_whatever_repeats(spark):
     """Neighbours of a block take little memory; equal rows and a label of few rows don't crowd one group, and all rows are made."""
     import tracemalloc
