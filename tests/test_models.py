@@ -140,6 +140,18 @@ def test_made_up_rows_fit_a_task_whatever_repeats(spark):
     assert made.where("label = 'two' AND abs(y - 2 * x) > 1e-9").count() == 0 and made.where("label = 'same' AND (x <> 7 OR y <> 7)").count() == 0
 
 
+def test_leave_one_out_takes_few_jobs_a_fit(spark):
+    rows = [(f"c{i % 4}", "a" if i % 2 else "b", float(i % 2) + (i % 5) / 9, float(i % 7)) for i in range(160)]
+    df = spark.createDataFrame([*rows, ("c1", None, 0.5, 1.0), (None, "b", 0.1, 2.0)], "capture string, label string, x double, y double").repartition(40)
+    spark.sparkContext.setJobGroup("left-out", "leave_one_out")
+    got = C.leave_one_out(df, ["x", "y"], trees=3, depth=2)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("left-out")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [x[:3] for x in got] == [(f"c{i}", "ab"[1 - i % 2], 40) for i in range(4)] and all(x[3] > 0.9 for x in got)
+    assert 0 < len(jobs) <= 64
+
+
 def test_sweep_equals_forests_fitted_one_by_one(spark):
     r = random.Random(9)
     rows = spark.createDataFrame([(f"c{i % 3}", r.gauss(i % 3, 1), r.gauss(0, 1)) for i in range(300)], "capture string, x double, y double")
