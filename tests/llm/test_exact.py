@@ -782,6 +782,21 @@ def test_only_what_asks_and_others_hold_is_counted_or_met(spark):
     assert 1 < len(seeds) and 0 < kept("rest-keys").count() <= len(seeds) * (len(seeds) - 1) // 2
 
 
+def test_runs_of_one_word_meet_by_their_ends(spark):
+    """Texts that repeat a word have some thousand pairs of its places in common; they meet by as many as they have places."""
+    r = random.Random(44)
+    words = lambda n: [f"a{r.randrange(10**6)}" for _ in range(n)]
+    work = Workspace(spark, "chaining")
+    rows = [(k, " ".join(words(30) + ["same"] * 40 + words(30))) for k in range(6)]
+    texts = work.keep(chaining.seeds(frame(spark, rows)), "texts")
+    shared = texts.select(F.explode("seeds").alias("s"), "row").select("s.h", "row", "s.pos")
+    rest = chaining.rest_matches(work, texts, shared, spark.createDataFrame([], chaining.PASSAGES))
+    assert 0 < rest.count() <= 30 * 60
+    assert spark.read.parquet(f"{work.path}/rest-keys").count() == 1
+    two = [(1, " ".join(words(30) + ["same"] * 40 + ["other"] * 36 + words(30))), (2, " ".join(words(30) + ["same"] * 36 + ["other"] * 44 + words(30)))]
+    assert all(x.n_repeated >= 72 for x in chaining.repeated(frame(spark, two)).collect())
+
+
 def test_texts_are_judged_by_the_words_beside_two_seeds_as_they_are_aligned():
     r, n = np.random.default_rng(42), 0
     for _ in range(400):
